@@ -199,7 +199,7 @@ TREE_CANDIDATES = (
 )
 
 
-def _trees(setting: dict, rounds: int, label: str, seed: int):
+def boosted_learner(setting: dict, rounds: int, label: str, seed: int):
     from pyspark.ml.regression import GBTRegressor
 
     return GBTRegressor(
@@ -232,14 +232,14 @@ def fit_trees(
         label = f"label_{h}"
         best = None
         for setting in candidates:
-            learner = _trees(setting, rounds, label, seed).setValidationIndicatorCol("is_val")
+            learner = boosted_learner(setting, rounds, label, seed).setValidationIndicatorCol("is_val")
             used = learner.fit(table).getNumTrees
-            model = _trees(setting, used, label, seed).fit(train)
+            model = boosted_learner(setting, used, label, seed).fit(train)
             mae = model.transform(val).agg(F.avg(F.abs(F.col(f"{label}_hat") - F.col(label)))).first()[0]
             if best is None or mae < best[0]:
                 best = (mae, setting, used, model)
         fitted.append(best[3])
-        refitted.append(_trees(best[1], best[2], label, seed).fit(table))
+        refitted.append(boosted_learner(best[1], best[2], label, seed).fit(table))
     table.unpersist()
     return fitted, refitted
 
