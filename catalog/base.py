@@ -65,9 +65,9 @@ def with_ctes(sql: str) -> str:
                 visit(CTES[name])
 
     visit(sql)
-    recursive = any("UNION ALL SELECT k + 1" in CTES[n] for n in needed)
+    recursive = {n for n in needed if "UNION ALL SELECT k + 1" in CTES[n]}
     parts = [
-        f"{n}{' (k, m)' if 'UNION ALL SELECT k + 1' in CTES[n] else ''} AS {'' if recursive and 'UNION ALL SELECT k + 1' in CTES[n] else 'MATERIALIZED '}({CTES[n]})"
+        f"{n} (k, alpha, m) AS ({CTES[n]})" if n in recursive else f"{n} AS MATERIALIZED ({CTES[n]})"
         for n in CTES if n in needed
     ]
     if not parts:

@@ -82,6 +82,17 @@ def require_contract(report: DataFrame, name: str) -> None:
         raise ValueError(f"{name}: contract violated: {broken}")
 
 
+def drop_invalid(df: DataFrame, level: str, date: str | None = None) -> DataFrame:
+    """Rows with a level of at least zero and, when named, a date."""
+    keep = F.col(level).isNotNull() & (F.col(level) >= 0.0)
+    return df.where(keep if date is None else keep & F.col(date).isNotNull())
+
+
+def drop_copies(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per distinct combination."""
+    return df.dropDuplicates(columns)
+
+
 def clean_observations(
     df: DataFrame, well: str, date: str, level: str, entity: str, carry: list[str] | None = None
 ) -> DataFrame:
@@ -93,10 +104,8 @@ def clean_observations(
     """
     carry = [c for c in (carry or []) if c in df.columns]
     attributes = [entity, *carry]
-    rows = (
-        df.withColumn("raw_date", calendar_date(date))
-        .withColumn(level, numeric(level))
-        .where(F.col("raw_date").isNotNull() & (F.col(level) >= 0.0))
+    rows = drop_invalid(
+        df.withColumn("raw_date", calendar_date(date)).withColumn(level, numeric(level)), level, "raw_date"
     )
     return (
         drop_conflicts(rows, [well, "raw_date"], level, attributes)
@@ -121,8 +130,7 @@ def drop_conflicts(df: DataFrame, keys: list[str], level: str, attributes: list[
 
 def monthly_observations(df: DataFrame, well: str, level: str, entity: str) -> DataFrame:
     """The same cleaning repeated at (well, month) grain."""
-    rows = df.where(F.col(level).isNotNull() & F.col("obs_date").isNotNull() & (F.col(level) >= 0.0))
-    return drop_conflicts(rows, [well, "obs_date"], level, [entity])
+    return drop_conflicts(drop_invalid(df, level, "obs_date"), [well, "obs_date"], level, [entity])
 
 
 def mask_artifacts(
