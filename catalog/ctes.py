@@ -147,10 +147,15 @@ SELECT p.entity, p.date, p.year, p.month, p.rainfall_mm, p.rainfall_3m_mm AS x,
   coalesce(g.alpha, 1.0) AS a, p.rainfall_3m_mm / coalesce(g.scale, 1.0) AS z
 FROM c_prep p LEFT JOIN c_gamma g USING (entity, month) WHERE p.date BETWEEN {START} AND {END}
 """)
-cte("c_spi_series", """
-SELECT entity, date, sum(exp((a + j) * ln(z) - z - lgamma(a + j + 1.0))) AS p
-FROM (SELECT entity, date, a, z, unnest(range(0, CAST(ceil(greatest(z - a, 0.0) + 12.0 * sqrt(greatest(z, a)) + 41.0) AS BIGINT))) AS j
-  FROM c_spi_in WHERE x > 0.001 AND z <= a + 40.0 * sqrt(a) + 200.0) GROUP BY entity, date
+_LOG_TERM = (
+    f"CASE WHEN a < 10.0 THEN a * ln(z) - z - lgamma(a + 1.0) ELSE a * ln(z / a) - (z - a) - 0.5 * ln(a) - {special._HALF_LOG_2PI!r}"
+    f" - {poly(special._LGAMMA_SERIES, '(1.0 / (a * a))')} / a END"
+)
+cte("c_spi_series", f"""
+SELECT entity, date, exp({_LOG_TERM}) * sum(t) AS p FROM (
+  SELECT entity, date, a, z, exp(sum(CASE WHEN j = 0 THEN 0.0 ELSE ln(z / (a + j)) END) OVER (PARTITION BY entity, date ORDER BY j)) AS t
+  FROM (SELECT entity, date, a, z, unnest(range(0, CAST(ceil(greatest(z - a, 0.0) + 12.0 * sqrt(greatest(z, a)) + 41.0) AS BIGINT))) AS j
+    FROM c_spi_in WHERE x > 0.001 AND z <= a + 40.0 * sqrt(a) + 200.0)) GROUP BY entity, date, a, z
 """)
 cte("c_spi_h", """
 SELECT i.*, CASE WHEN x IS NULL THEN NULL ELSE greatest(1e-7, least(1.0 - 1e-7,

@@ -43,7 +43,7 @@ SELECT g, list_transform(range(1, {size}), lambda i: g[1][i + 1] / g[1][1]) AS m
   list_transform(range(1, {p + 1}), lambda i: CASE WHEN g[i + 1][i + 1] - g[1][i + 1] * g[1][i + 1] / g[1][1] <= 0 THEN 1.0
     ELSE sqrt((g[i + 1][i + 1] - g[1][i + 1] * g[1][i + 1] / g[1][1]) / g[1][1]) END) AS sd FROM c_{tag}_{stage}_g
 """)
-        alphas = f"unnest({list(RIDGE_ALPHAS)})" if stage == "fit" else f"(SELECT alpha FROM c_{tag}_best)"
+        alphas = f"unnest({list(RIDGE_ALPHAS)}::DOUBLE[])" if stage == "fit" else f"(SELECT alpha FROM c_{tag}_best)"
         cte(f"c_{tag}_{stage}_m0", f"""
 SELECT {alphas} AS alpha, list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {p + 4}), lambda j:
   (g[i + 1][j + 1] - g[1][1] * mu[i] * mu[j]) / sd[i] / (CASE WHEN j <= {p} THEN sd[j] ELSE 1.0 END))) AS m FROM c_{tag}_{stage}_s

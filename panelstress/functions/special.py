@@ -34,7 +34,7 @@ _FAR_DEN = (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.01487536129
             0.000786869131145613259100, 0.0000184631831751005468180, 1.42151175831644588870e-7, 2.04426310338993978564e-15)
 
 # Above this shape the cube-root normal approximation is used instead of the power series.
-LARGE_SHAPE = 10000.0
+LARGE_SHAPE = 1000000.0
 
 
 def let(value: Column, body) -> Column:
@@ -97,6 +97,15 @@ def gamma_shape_mle(log_mean_gap: Column, steps: int = 6) -> Column:
     return let(log_mean_gap, body)
 
 
+def _log_density_term(z: Column, a: Column) -> Column:
+    """a ln z - z - ln Gamma(a + 1); for larger shapes in a form without cancelling large terms."""
+    gap = (z - a) / a
+    stirling = 0.5 * F.ln(a) + _HALF_LOG_2PI + polynomial(_LGAMMA_SERIES, 1.0 / (a * a)) / a
+    return F.when(a < float(_SHIFT), a * F.ln(z) - z - log_gamma(a + 1.0)).otherwise(
+        a * F.log1p(gap) - (z - a) - stirling
+    )
+
+
 def gamma_cdf(x: Column, shape: Column) -> Column:
     """Regularised lower incomplete gamma function P(shape, x) for x > 0."""
 
@@ -110,7 +119,7 @@ def gamma_cdf(x: Column, shape: Column) -> Column:
             return F.struct(term.alias("t"), (acc["s"] + term).alias("s"))
 
         series = F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda acc: acc["s"])
-        exact = F.exp(a * F.ln(z) - z - log_gamma(a + 1.0)) * series
+        exact = F.exp(_log_density_term(z, a)) * series
         cube = 3.0 * F.sqrt(a) * (F.pow(z / a, F.lit(1.0 / 3.0)) - 1.0 + 1.0 / (9.0 * a))
         return (
             F.when(z <= 0.0, F.lit(0.0))

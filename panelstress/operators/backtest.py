@@ -121,7 +121,7 @@ def fit_origin_models(panel: DataFrame, origins: list[str], spec: PanelSpec, alp
         .agg(F.sum("v").alias("v"))
     )
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         origin, kind = key
         size = int(round(len(pdf) ** 0.5))
         gram = pdf.sort_values("i")["v"].to_numpy().reshape(size, size)
