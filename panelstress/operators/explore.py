@@ -221,14 +221,14 @@ def trend_table(long: DataFrame, spec: PanelSpec, significance: float = 0.05) ->
     ).otherwise((F.get("_slopes", mid - 1) + F.get("_slopes", mid)) / 2.0)
     s = F.aggregate("_slopes", F.lit(0.0), lambda acc, v: acc + F.signum(v))
     nd = n.cast("double")
-    out = ordered.withColumn("_S", s).withColumn("years_count", n)
+    out = ordered.withColumn("_score", s).withColumn("years_count", n)
     variance = nd * (nd - 1.0) * (2.0 * nd + 5.0) / 18.0
     pairs = nd * (nd - 1.0) / 2.0
-    z = (F.col("_S") - F.signum("_S")) / F.sqrt(F.nullif(variance, F.lit(0.0)))
+    z = (F.col("_score") - F.signum("_score")) / F.sqrt(F.nullif(variance, F.lit(0.0)))
     significant = F.col("p_value") < significance
     return (
         out.withColumn("theil_sen_slope", F.when(F.col("_k") > 0, median))
-        .withColumn("kendall_tau", F.col("_S") / F.nullif(pairs, F.lit(0.0)))
+        .withColumn("kendall_tau", F.col("_score") / F.nullif(pairs, F.lit(0.0)))
         .withColumn("mann_kendall_z", z)
         .withColumn("p_value", normal_two_sided_p(F.col("mann_kendall_z")))
         .withColumn(

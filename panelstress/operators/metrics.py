@@ -81,11 +81,11 @@ def metrics_table(predictions: DataFrame, spec: PanelSpec, reference: str = "Per
     return table.select("model", *[(F.col(c) if digits is None else rounded(F.col(c), digits)).alias(c) for c in order])
 
 
-def entity_metrics(predictions: DataFrame, spec: PanelSpec, digits: int = 4) -> DataFrame:
+def entity_metrics(predictions: DataFrame, spec: PanelSpec, digits: int | None = 4) -> DataFrame:
     columns = {"mae": mae(), "rmse": rmse(), "r2": r2()}
     columns |= {f"mae_{h}": mae(F.col("horizon") == h) for h in _horizons(spec)}
     return predictions.groupBy("model", spec.entity).agg(
-        *[rounded(c, digits).alias(n) for n, c in columns.items()]
+        *[(c if digits is None else rounded(c, digits)).alias(n) for n, c in columns.items()]
     )
 
 
