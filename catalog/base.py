@@ -122,7 +122,7 @@ def history(spark, sf_dir):
 
 @_stage("wells")
 def well_aggregates(spark, sf_dir):
-    return panel_plan.well_tables(proxy.well_readings(spark, sf_dir), SPEC)[0]
+    return proxy.well_aggregates(spark, sf_dir)
 
 
 @_stage("panel")

@@ -12,6 +12,7 @@ from panelstress.functions.numeric import classify as classify_column
 from panelstress.operators import anomaly, audit, calendar, index, spi, wells
 from panelstress.plans import panel as panel_plan
 from panelstress.plans import proxy
+from panelstress.session import materialize
 from panelstress.spec import COMPONENTS
 
 
@@ -105,7 +106,10 @@ def d11(spark, sf_dir):
 SELECT entity, obs_date, n_wells, {rs('median_depth_m_bgl', 'mean_depth_m_bgl', 'std_depth_m_bgl', 'iqr_depth_m_bgl')}, year, month, is_qualifying FROM c_wagg
 """)
 def d12(spark, sf_dir):
-    return panel_plan.well_tables(proxy.well_readings(spark, sf_dir), SPEC)[0]
+    return proxy.well_aggregates(spark, sf_dir).select(
+        "entity", "obs_date", "n_wells", "median_depth_m_bgl", "mean_depth_m_bgl", "std_depth_m_bgl", "iqr_depth_m_bgl", "year",
+        "month", "is_qualifying",
+    )
 
 
 @query("d13_well_climatology", f"SELECT entity, month, {rs('mean_depth')} FROM c_wclim")
@@ -199,9 +203,12 @@ _MASTER_PLAIN = [
 
 @query("d21_master_panel", f"SELECT {', '.join(_MASTER_PLAIN)}, {rs(*_MASTER)}, {rs('wsi')}, wsi_category FROM c_panel")
 def d21(spark, sf_dir):
-    """The whole panel plan from the raw tables, without written stages in between."""
-    h = panel_plan.prepare_history(proxy.history(spark, sf_dir), SPEC, proxy.artifact_rules(spark, sf_dir))
-    agg, clim = panel_plan.well_tables(proxy.well_readings(spark, sf_dir), SPEC)
+    """The whole panel from the raw tables: two written stages that several fits read, then one plan."""
+    h = materialize(
+        panel_plan.prepare_history(proxy.history(spark, sf_dir), SPEC, proxy.artifact_rules(spark, sf_dir)), "history"
+    )
+    agg = materialize(proxy.well_aggregates(spark, sf_dir), "wells")
+    clim = wells.fit_well_climatology(agg, SPEC)
     return panel_plan.build_panel(h, agg, clim, SPEC).select(*_MASTER_PLAIN, *_MASTER, "wsi", "wsi_category")
 
 

@@ -163,7 +163,7 @@ SELECT 'spi_gamma_' || k AS statistic, entity, month, {r('v', 5)} AS value FROM
 UNION ALL SELECT 'soil_climatology', entity, month, {r('avg(soil_water_storage_mm)', 5)} FROM c_prep
   WHERE date BETWEEN {START} AND {TRAIN_END} GROUP BY entity, month
 UNION ALL SELECT 'ndvi_median_' || level, entity, month, {r('med', 5)} FROM c_med_ndvi
-UNION ALL SELECT 'lst_median_' || level, entity, month, {r('med', 5)} FROM c_med_lst
+UNION ALL SELECT 'lst_celsius_median_' || level, entity, month, {r('med', 5)} FROM c_med_lst
 UNION ALL SELECT CASE WHEN month IS NULL THEN 'groundwater_entity_mean' ELSE 'groundwater_climatology' END, entity, month, {r('mean_depth', 5)} FROM c_wclim
 UNION ALL SELECT 'spi_stress_' || k, entity, CAST(NULL AS INTEGER), {r('v', 5)} FROM (
   SELECT entity, unnest(['mean', 'std']) AS k, unnest([avg(spi_stress), stddev_pop(spi_stress)]) AS v FROM c_spi_z
@@ -176,7 +176,7 @@ def a13(spark, sf_dir):
         gamma=spi.fit_gamma(h, "rainfall_3m_mm", SPEC),
         climatologies={"soil": anomaly.fit_climatology(p, "soil_water_storage_mm", SPEC)},
         z_parameters={"spi_stress": anomaly.fit_z_parameters(p, "spi_stress", SPEC)},
-        medians={"ndvi": impute.fit_medians(h, "ndvi", SPEC), "lst": impute.fit_medians(h, "lst_celsius", SPEC)},
+        medians=impute.fit_medians(h, ["ndvi", "lst_celsius"], SPEC),
         wells=wells.fit_well_climatology(base.well_aggregates(spark, sf_dir), SPEC),
     )
     path = stage_path(spark, "statistics")

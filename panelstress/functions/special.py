@@ -1,15 +1,19 @@
-"""Gamma and normal distribution functions as column expressions.
+"""Gamma and normal distribution functions.
 
-Iterations run inside ``aggregate`` so every intermediate value is a lambda variable and
-the expression tree stays small.
+Closed forms are column expressions. The likelihood equation of the gamma fit, solved once per
+(entity, month), iterates inside ``aggregate``. The incomplete gamma function, evaluated once per row,
+is a vectorised function on Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _SHIFT = 10
 _HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
@@ -97,62 +101,68 @@ def gamma_shape_mle(log_mean_gap: Column, steps: int = 6) -> Column:
     return let(log_mean_gap, body)
 
 
-def _log_density_term(z: Column, a: Column) -> Column:
-    """a ln z - z - ln Gamma(a + 1); for larger shapes in a form without cancelling large terms."""
-    gap = (z - a) / a
-    stirling = 0.5 * F.ln(a) + _HALF_LOG_2PI + polynomial(_LGAMMA_SERIES, 1.0 / (a * a)) / a
-    return F.when(a < float(_SHIFT), a * F.ln(z) - z - log_gamma(a + 1.0)).otherwise(
-        a * F.log1p(gap) - (z - a) - stirling
-    )
-
-
-def gamma_cdf(x: Column, shape: Column) -> Column:
-    """Regularised lower incomplete gamma function P(shape, x) for x > 0."""
-
-    def body(v: Column) -> Column:
-        z, a = v["z"], v["a"]
-        terms = F.ceil(F.greatest(z - a, F.lit(0.0)) + 12.0 * F.sqrt(F.greatest(z, a)) + 40.0).cast("int")
-        start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
-
-        def step(acc: Column, k: Column) -> Column:
-            term = acc["t"] * z / (a + k.cast("double"))
-            return F.struct(term.alias("t"), (acc["s"] + term).alias("s"))
-
-        series = F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda acc: acc["s"])
-        exact = F.exp(_log_density_term(z, a)) * series
-        cube = 3.0 * F.sqrt(a) * (F.pow(z / a, F.lit(1.0 / 3.0)) - 1.0 + 1.0 / (9.0 * a))
-        return (
-            F.when(z <= 0.0, F.lit(0.0))
-            .when(z > a + 40.0 * F.sqrt(a) + 200.0, F.lit(1.0))
-            .when(a > LARGE_SHAPE, _small_shape_normal_cdf(cube))
-            .otherwise(F.least(exact, F.lit(1.0)))
+def _log_gamma_values(x: np.ndarray) -> np.ndarray:
+    product = np.prod([x + k for k in range(_SHIFT)], axis=0)
+    big = x + _SHIFT
+    tail = sum(c / big ** (2 * i + 1) for i, c in enumerate(_LGAMMA_SERIES))
+    return (big - 0.5) * np.log(big) - big + _HALF_LOG_2PI + tail - np.log(product)
+
+
+def lower_gamma(x: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Regularised lower incomplete gamma function P(shape, x), element by element.
+
+    Power series; the prefactor uses a form without cancelling large terms for larger shapes. Far in the
+    upper tail the value is 1, beyond ``LARGE_SHAPE`` the cube-root normal approximation takes over.
+    """
+    x, shape = np.asarray(x, float), np.asarray(shape, float)
+    out = np.full(x.shape, np.nan)
+    known = np.isfinite(x) & np.isfinite(shape)
+    out[known & (x <= 0.0)] = 0.0
+    high = known & (x > shape + 40.0 * np.sqrt(np.abs(shape)) + 200.0)
+    out[high] = 1.0
+    todo = known & (x > 0.0) & ~high
+    large = todo & (shape > LARGE_SHAPE)
+    if large.any():
+        a = shape[large]
+        out[large] = normal_cdf_values(3.0 * np.sqrt(a) * (np.cbrt(x[large] / a) - 1.0 + 1.0 / (9.0 * a)))
+    todo &= ~large
+    z, a = x[todo], shape[todo]
+    if not len(z):
+        return out
+    with np.errstate(divide="ignore"):
+        stirling = 0.5 * np.log(a) + _HALF_LOG_2PI + sum(
+            c / np.maximum(a, 1.0) ** (2 * i + 1) for i, c in enumerate(_LGAMMA_SERIES)
         )
+    log_term = np.where(
+        a < _SHIFT, a * np.log(z) - z - _log_gamma_values(a + 1.0), a * np.log1p((z - a) / a) - (z - a) - stirling
+    )
+    term, total = np.ones_like(z), np.ones_like(z)
+    active = np.arange(len(z))
+    k = 0
+    while len(active):
+        k += 1
+        term[active] *= z[active] / (a[active] + k)
+        total[active] += term[active]
+        active = active[(term[active] > 1e-17 * total[active]) | (a[active] + k < z[active])]
+    out[todo] = np.minimum(np.exp(log_term) * total, 1.0)
+    return out
 
-    return F.when(x.isNotNull() & shape.isNotNull(), let(F.struct(x.alias("z"), shape.alias("a")), body))
-
-
-def _small_shape_normal_cdf(value: Column) -> Column:
-    """Normal distribution function from the error-function series, for |value| below 10."""
-
-    def body(z: Column) -> Column:
-        half = z * z / 2.0
-        terms = F.ceil(half + 12.0 * F.sqrt(half) + 40.0).cast("int")
-        start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
 
-        def step(acc: Column, k: Column) -> Column:
-            term = acc["t"] * half / (k.cast("double") + 0.5)
-            return F.struct(term.alias("t"), (acc["s"] + term).alias("s"))
+def normal_cdf_values(z: np.ndarray) -> np.ndarray:
+    z = np.asarray(z, float)
+    return 0.5 + 0.5 * np.sign(z) * lower_gamma(z * z / 2.0, np.full(z.shape, 0.5))
 
-        series = F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda acc: acc["s"])
-        # P(1/2, h) = sqrt(h) exp(-h) / Gamma(3/2) * series and Gamma(3/2) = sqrt(pi)/2
-        p = F.sqrt(half) * F.exp(-half) * (2.0 / math.sqrt(math.pi)) * series
-        return 0.5 + 0.5 * F.signum(z) * F.least(p, F.lit(1.0))
 
-    return let(F.greatest(F.least(value, F.lit(10.0)), F.lit(-10.0)), body)
+@F.pandas_udf(DoubleType())
+def gamma_cdf(x: pd.Series, shape: pd.Series) -> pd.Series:
+    """P(shape, x) on Arrow batches: Spark has no incomplete gamma function, and a series evaluated by
+    higher-order functions runs interpreted, term by term and row by row."""
+    return pd.Series(lower_gamma(x.to_numpy(), shape.to_numpy()))
 
 
-def normal_cdf(z: Column) -> Column:
-    return F.when(z.isNotNull(), _small_shape_normal_cdf(z))
+@F.pandas_udf(DoubleType())
+def normal_cdf(z: pd.Series) -> pd.Series:
+    return pd.Series(normal_cdf_values(z.to_numpy()))
 
 
 def normal_two_sided_p(z: Column) -> Column:
@@ -161,17 +171,11 @@ def normal_two_sided_p(z: Column) -> Column:
 
 
 def normal_quantile(p: Column) -> Column:
-    def body(u: Column) -> Column:
-        q = u - 0.5
-        r0 = F.lit(0.180625) - q * q
-        central = q * polynomial(_CENTRAL_NUM, r0) / polynomial(_CENTRAL_DEN, r0)
-
-        def tail(r: Column) -> Column:
-            near = polynomial(_TAIL_NUM, r - 1.6) / polynomial(_TAIL_DEN, r - 1.6)
-            far = polynomial(_FAR_NUM, r - 5.0) / polynomial(_FAR_DEN, r - 5.0)
-            return F.signum(q) * F.when(r <= 5.0, near).otherwise(far)
-
-        edge = let(F.sqrt(-F.ln(F.least(u, 1.0 - u))), tail)
-        return F.when(F.abs(q) <= 0.425, central).otherwise(edge)
-
-    return F.when(p.isNotNull(), let(p, body))
+    """Plain arithmetic, so it stays inside generated code; ``p`` should be a stored column."""
+    q = p - 0.5
+    r0 = F.lit(0.180625) - q * q
+    central = q * polynomial(_CENTRAL_NUM, r0) / polynomial(_CENTRAL_DEN, r0)
+    r = F.sqrt(-F.ln(F.least(p, 1.0 - p)))
+    near = polynomial(_TAIL_NUM, r - 1.6) / polynomial(_TAIL_DEN, r - 1.6)
+    far = polynomial(_FAR_NUM, r - 5.0) / polynomial(_FAR_DEN, r - 5.0)
+    return F.when(F.abs(q) <= 0.425, central).otherwise(F.signum(q) * F.when(r <= 5.0, near).otherwise(far))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,22 +15,44 @@ def _in_train(spec: PanelSpec):
     return F.col(spec.date) <= F.lit(spec.train_end).cast("date")
 
 
-def anomaly_z(df: DataFrame, value: str, climatology: str, anomaly: str, z: str, sign: int, spec: PanelSpec) -> DataFrame:
+@dataclass(frozen=True)
+class Anomaly:
+    """Names of one stream's feature tiers; ``sign`` orients the z-score so that stress is positive."""
+
+    value: str
+    climatology: str
+    anomaly: str
+    z: str
+    sign: int
+
+
+# Column names and orientation of the anomaly features.
+SOIL = Anomaly("soil_water_storage_mm", "soil_water_climatology_mm", "soil_water_anomaly_mm", "soil_stress_z", -1)
+VEGETATION = Anomaly("ndvi", "ndvi_climatology", "ndvi_anomaly", "ndvi_stress_z", -1)
+TEMPERATURE = Anomaly("lst_celsius", "lst_climatology_celsius", "lst_anomaly_celsius", "lst_stress_z", 1)
+SURFACE_WATER = Anomaly(
+    "surface_water_frequency", "surface_water_climatology", "surface_water_anomaly", "surface_water_stress_z", -1
+)
+
+
+def anomaly_z(df: DataFrame, streams: list[Anomaly], spec: PanelSpec) -> DataFrame:
     """Train climatology per (entity, calendar month), anomaly, and anomaly divided by its train deviation.
 
-    Both windows cluster by the entity, which is the panel's partitioning, so chaining this operator
-    over several streams of one wide panel adds no shuffle. The z-score is not re-centred.
+    All streams share two window operators. Both cluster by the entity, which is the panel's partitioning,
+    so no shuffle is added. The z-score is not re-centred.
     """
     train = _in_train(spec)
     by_month = Window.partitionBy(spec.entity, "month")
     by_entity = Window.partitionBy(spec.entity)
     return (
-        df.withColumn(climatology, F.avg(F.when(train, F.col(value))).over(by_month))
-        .withColumn(anomaly, F.col(value) - F.col(climatology))
-        .withColumn(
-            z,
-            float(sign) * F.col(anomaly)
-            / guarded_std(F.stddev_pop(F.when(train, F.col(anomaly))).over(by_entity)),
+        df.withColumns({s.climatology: F.avg(F.when(train, F.col(s.value))).over(by_month) for s in streams})
+        .withColumns({s.anomaly: F.col(s.value) - F.col(s.climatology) for s in streams})
+        .withColumns(
+            {
+                s.z: float(s.sign) * F.col(s.anomaly)
+                / guarded_std(F.stddev_pop(F.when(train, F.col(s.anomaly))).over(by_entity))
+                for s in streams
+            }
         )
     )
 
@@ -63,16 +87,15 @@ def fit_z_parameters(df: DataFrame, value: str, spec: PanelSpec) -> DataFrame:
 
 
 def soil_features(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    return anomaly_z(df, "soil_water_storage_mm", "soil_water_climatology_mm", "soil_water_anomaly_mm",
-                     "soil_stress_z", -1, spec)
+    return anomaly_z(df, [SOIL], spec)
 
 
 def vegetation_features(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    return anomaly_z(df, "ndvi", "ndvi_climatology", "ndvi_anomaly", "ndvi_stress_z", -1, spec)
+    return anomaly_z(df, [VEGETATION], spec)
 
 
 def temperature_features(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    return anomaly_z(df, "lst_celsius", "lst_climatology_celsius", "lst_anomaly_celsius", "lst_stress_z", 1, spec)
+    return anomaly_z(df, [TEMPERATURE], spec)
 
 
 def lag_surface_water(stream: DataFrame, spec: PanelSpec, use_lag: bool | None = None) -> DataFrame:
@@ -89,10 +112,12 @@ def lag_surface_water(stream: DataFrame, spec: PanelSpec, use_lag: bool | None =
     return out
 
 
-def surface_water_features(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Expects the columns of :func:`lag_surface_water`; a missing lagged value falls back to the raw one."""
-    df = df.withColumn(
+def fall_back_to_raw(df: DataFrame) -> DataFrame:
+    """A missing lagged frequency takes the raw one; expects the columns of :func:`lag_surface_water`."""
+    return df.withColumn(
         "surface_water_frequency", F.coalesce("surface_water_frequency", "surface_water_frequency_raw")
     )
-    return anomaly_z(df, "surface_water_frequency", "surface_water_climatology", "surface_water_anomaly",
-                     "surface_water_stress_z", -1, spec)
+
+
+def surface_water_features(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    return anomaly_z(fall_back_to_raw(df), [SURFACE_WATER], spec)

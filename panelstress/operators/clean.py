@@ -118,14 +118,11 @@ def clean_observations(
 
 def drop_conflicts(df: DataFrame, keys: list[str], level: str, attributes: list[str]) -> DataFrame:
     """One row per key whose readings all agree; keys with differing levels vanish."""
-    grouped = df.groupBy(*keys).agg(
-        F.min(level).alias(level),
-        F.max(level).alias("_hi"),
-        F.min(F.struct(*attributes)).alias("_attr"),
-    )
-    return grouped.where(F.col("_hi") == F.col(level)).select(
-        *keys, level, *[F.col(f"_attr.{a}").alias(a) for a in attributes]
-    )
+    # A single fixed-width attribute keeps the aggregation hash-based.
+    attribute = F.min(attributes[0]) if len(attributes) == 1 else F.min(F.struct(*attributes))
+    grouped = df.groupBy(*keys).agg(F.min(level).alias(level), F.max(level).alias("_hi"), attribute.alias("_attr"))
+    picked = [F.col("_attr").alias(attributes[0])] if len(attributes) == 1 else [F.col(f"_attr.{a}").alias(a) for a in attributes]
+    return grouped.where(F.col("_hi") == F.col(level)).select(*keys, level, *picked)
 
 
 def monthly_observations(df: DataFrame, well: str, level: str, entity: str) -> DataFrame:

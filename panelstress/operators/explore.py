@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelstress.functions.numeric import month_number
 from panelstress.functions.special import normal_two_sided_p
 from panelstress.operators.clean import outside
-from panelstress.operators.quantiles import exact_quantiles
+from panelstress.operators.quantiles import split_quantiles
 from panelstress.spec import PanelSpec
 
 
@@ -127,7 +127,7 @@ def summary_statistics(long: DataFrame) -> DataFrame:
         F.max(x).alias("max"),
         (100.0 * F.count(F.when(x == 0.0, 1)) / F.count(x)).alias("zero_frequency"),
     )
-    return moments.join(exact_quantiles(long, ["variable"], "value", SUMMARY_QUANTILES).drop("n"), "variable", "left")
+    return moments.join(split_quantiles(long, ["variable"], "value", SUMMARY_QUANTILES).drop("n"), "variable", "left")
 
 
 def monthly_climatology(long: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -139,7 +139,7 @@ def monthly_climatology(long: DataFrame, spec: PanelSpec) -> DataFrame:
     e = spec.entity
     own = long.groupBy(e, "month", "variable").agg(F.avg("value").alias("mean"), F.median("value").alias("median"))
     means = long.groupBy("month", "variable").agg(F.avg("value").alias("mean"))
-    medians = exact_quantiles(long, ["month", "variable"], "value", {"median": 0.5}).drop("n")
+    medians = split_quantiles(long, ["month", "variable"], "value", {"median": 0.5}).drop("n")
     pooled = means.join(medians, ["month", "variable"], "left").withColumn(e, F.lit(None).cast("string"))
     return own.unionByName(pooled)
 
@@ -148,7 +148,7 @@ def outliers(long: DataFrame, ids: list[str], sigmas: float = 3.0, fence: float
     """Values beyond ``sigmas`` deviations or outside the interquartile fences of their variable."""
     x = F.col("value")
     stats = long.groupBy("variable").agg(F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_std")).join(
-        exact_quantiles(long, ["variable"], "value", {"_q1": 0.25, "_q3": 0.75}).drop("n"), "variable"
+        split_quantiles(long, ["variable"], "value", {"_q1": 0.25, "_q3": 0.75}).drop("n"), "variable"
     )
     reach = fence * (F.col("_q3") - F.col("_q1"))
     return (

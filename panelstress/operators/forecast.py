@@ -72,36 +72,36 @@ class RidgeModel:
 
 
 def partial_moments(inputs: int, targets: int):
-    """Task-side reduction: one matrix product per Arrow batch, one row per partition."""
+    """Task-side reduction: one matrix product per split and Arrow batch, one row per split and partition."""
 
     def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = 1 + inputs + targets
-        total = np.zeros((size, size))
+        totals: dict[str, np.ndarray] = {}
         for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["x"].to_numpy()).astype(float)
-                y = np.stack(pdf["y"].to_numpy()).astype(float)
-                z = np.hstack([np.ones((len(pdf), 1)), x, y])
-                total += z.T @ z
-        yield pd.DataFrame({"g": [total.ravel()]})
+            for split, rows in pdf.groupby("split"):
+                x = np.stack(rows["x"].to_numpy()).astype(float)
+                y = np.stack(rows["y"].to_numpy()).astype(float)
+                z = np.hstack([np.ones((len(rows), 1)), x, y])
+                totals[split] = totals.get(split, 0.0) + z.T @ z
+        yield pd.DataFrame({"split": list(totals), "g": [g.ravel() for g in totals.values()]})
 
     return reduce_batches
 
 
-def fit_moments(df: DataFrame, x: Column, y: Column, inputs: int, targets: int) -> Moments:
-    """Gram matrix of all rows: matrix products in the tasks, sums in one small aggregation.
+def fit_moments(df: DataFrame, x: Column, y: Column, inputs: int, targets: int) -> dict[str, Moments]:
+    """Gram matrix of the rows of each split: matrix products in the tasks, sums in one small aggregation.
 
-    Only (1 + inputs + targets)^2 numbers reach the driver, whatever the number of rows.
+    Only (1 + inputs + targets)^2 numbers per split reach the driver, whatever the number of rows.
     """
-    partial = df.select(x.cast("array<double>").alias("x"), y.cast("array<double>").alias("y")).mapInPandas(
-        partial_moments(inputs, targets), "g array<double>"
-    )
-    cells = partial.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    rows = df.select("split", x.cast("array<double>").alias("x"), y.cast("array<double>").alias("y"))
+    partial = rows.mapInPandas(partial_moments(inputs, targets), "split string, g array<double>")
+    cells = partial.select("split", F.posexplode("g").alias("i", "v")).groupBy("split", "i").agg(F.sum("v").alias("v"))
     size = 1 + inputs + targets
-    gram = np.zeros(size * size)
-    for row in cells.collect():
-        gram[row["i"]] = row["v"]
-    return Moments(gram.reshape(size, size), inputs)
+    grams: dict[str, np.ndarray] = {}
+    for split, part in cells.toPandas().groupby("split"):
+        gram = np.zeros(size * size)
+        gram[part["i"].to_numpy()] = part["v"].to_numpy()
+        grams[split] = gram.reshape(size, size)
+    return {split: Moments(g, inputs) for split, g in grams.items()}
 
 
 def solve_ridge(moments: Moments, alpha: float) -> RidgeModel:
@@ -158,14 +158,13 @@ def fit_ridge(
 ) -> RidgeFit:
     """Fit on 'train', choose alpha on 'val', refit on both.
 
-    Moments add up, so the refit needs no second pass over the training rows.
+    Moments add up, so one pass gives the fit and the refit.
     """
-    train = fit_moments(sequences.where("split = 'train'"), x, y, inputs, targets)
-    val_rows = sequences.where("split = 'val'")
+    moments = fit_moments(of_splits(sequences, "train", "val"), x, y, inputs, targets)
+    train, val_rows = moments["train"], of_splits(sequences, "val")
     models = [solve_ridge(train, a) for a in alphas]
     alpha, scores = select_alpha(val_rows, x, y, models)
-    both = train + fit_moments(val_rows, x, y, inputs, targets)
-    return RidgeFit(alpha, scores, solve_ridge(train, alpha), solve_ridge(both, alpha))
+    return RidgeFit(alpha, scores, solve_ridge(train, alpha), solve_ridge(train + moments["val"], alpha))
 
 
 def ridge_inputs(kind: str, spec: PanelSpec) -> tuple[Column, int]:

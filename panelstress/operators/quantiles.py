@@ -1,4 +1,4 @@
-"""Exact grouped quantiles that never hold a whole group in one task."""
+"""Exact grouped quantiles that never hold an unbounded group in one task."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from panelstress.functions.numeric import linear_quantile
 
 _RESOLUTION = 512.0
 _UNIT = 1e6
+# Groups up to this many rows use the built-in percentile, whose buffer holds the group's distinct values.
+GROUP_LIMIT = 200_000
 
 
 def _bucket(value: Column) -> Column:
@@ -16,8 +18,39 @@ def _bucket(value: Column) -> Column:
     return (F.signum(value) * F.floor(F.log1p(F.abs(value) * _UNIT) * _RESOLUTION)).cast("long")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Linear-interpolation quantiles per key group, as columns named by ``quantiles``.
+def exact_quantiles(
+    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
+    extra: dict[str, Column] | None = None, limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Linear-interpolation quantiles per key group, and further aggregates in ``extra``.
+
+    Groups are counted first. Those within ``limit`` go through one ordinary aggregation; larger ones are
+    split by :func:`split_quantiles`. When no group is large, which adaptive execution learns from the
+    counts, the second branch is dropped from the plan. Result: keys, n, extra columns, quantiles.
+    """
+    extra = extra or {}
+    rows = df.where(F.col(value).isNotNull())
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
+    order = list(quantiles)
+    others = [c.alias(name) for name, c in extra.items()]
+    small = (
+        rows.join(large, keys, "left_anti")
+        .groupBy(*keys)
+        .agg(
+            F.count(value).alias("n"), *others,
+            F.percentile(value, F.array(*[F.lit(quantiles[q]) for q in order])).alias("_p"),
+        )
+        .select(*keys, "n", *extra, *[F.col("_p")[i].alias(q) for i, q in enumerate(order)])
+    )
+    hot = rows.join(large, keys, "left_semi")
+    split = split_quantiles(hot, keys, value, quantiles)
+    if others:
+        split = split.join(hot.groupBy(*keys).agg(*others), keys)
+    return small.unionByName(split)
+
+
+def split_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """The same for groups without a size bound, such as a few pooled groups over all rows.
 
     The group is first reduced to distinct values with counts, spread by (keys, value). A bucket
     histogram, bounded by the number of buckets whatever the group size, tells which buckets hold
@@ -76,7 +109,3 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[
         fraction = position - F.floor(position).cast("double")
         columns.append(linear_quantile(F.col(f"_lo{i}"), F.col(f"_hi{i}"), fraction).alias(name))
     return summary.select(*keys, "n", *columns)
-
-
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    return exact_quantiles(df, keys, value, {name: 0.5}).drop("n")

@@ -14,18 +14,17 @@ from panelstress.spec import DEFAULT_DEPTH, NEVER_OBSERVED_AGE, PanelSpec
 def aggregate_wells(obs: DataFrame, level: str, spec: PanelSpec, min_wells: int | None = None) -> DataFrame:
     """Count, median, mean, deviation and interquartile range of the levels per (entity, month).
 
-    Moments combine map-side; order statistics come from the bounded-memory quantile operator, so a
-    month with a large share of all wells is spread over many tasks.
+    Order statistics come from the quantile operator, which splits a month holding a large share of all wells.
     """
     keys = [spec.entity, "obs_date"]
-    moments = obs.groupBy(*keys).agg(
-        F.count(level).alias("n_wells"),
-        F.avg(level).alias("mean_depth_m_bgl"),
-        F.stddev_pop(level).alias("std_depth_m_bgl"),
-    )
-    order = exact_quantiles(obs, keys, level, {"median_depth_m_bgl": 0.5, "_p25": 0.25, "_p75": 0.75}).drop("n")
+    moments = {
+        "n_wells": F.count(level),
+        "mean_depth_m_bgl": F.avg(level),
+        "std_depth_m_bgl": F.stddev_pop(level),
+    }
+    quantiles = {"median_depth_m_bgl": 0.5, "_p25": 0.25, "_p75": 0.75}
     return (
-        moments.join(order, keys)
+        exact_quantiles(obs, keys, level, quantiles, moments)
         .withColumn("iqr_depth_m_bgl", F.col("_p75") - F.col("_p25"))
         .withColumn("year", F.year("obs_date"))
         .withColumn("month", F.month("obs_date"))

@@ -31,9 +31,8 @@ def prepare_history(history: DataFrame, spec: PanelSpec, rules: DataFrame | None
 
 def impute_streams(prepared: DataFrame, spec: PanelSpec) -> DataFrame:
     """Vegetation and temperature gaps filled from training medians of the prepared history."""
-    ndvi = impute.fit_medians(prepared, "ndvi", spec)
-    lst = impute.fit_medians(prepared, "lst_celsius", spec)
-    return impute.impute(impute.impute(prepared, "ndvi", ndvi, "ndvi_imputed"), "lst_celsius", lst, "lst_imputed")
+    stats = impute.fit_medians(prepared, ["ndvi", "lst_celsius"], spec)
+    return impute.impute(prepared, stats, {"ndvi": "ndvi_imputed", "lst_celsius": "lst_imputed"})
 
 
 def build_panel(
@@ -57,13 +56,11 @@ def build_panel(
     streams = impute_streams(prepared, spec).drop("year", "month")
     panel = grid.repartition(F.col(spec.entity)).join(streams, spec.keys, "left")
     panel = spi.add_spi_stress(spi.add_spi(panel, "rainfall_3m_mm", gamma, spec).drop("spi_probability"), spec)
-    for feature in (
-        anomaly.soil_features,
-        anomaly.vegetation_features,
-        anomaly.temperature_features,
-        anomaly.surface_water_features,
-    ):
-        panel = feature(panel, spec)
+    panel = anomaly.anomaly_z(
+        anomaly.fall_back_to_raw(panel),
+        [anomaly.SOIL, anomaly.VEGETATION, anomaly.TEMPERATURE, anomaly.SURFACE_WATER],
+        spec,
+    )
     groundwater = wells.well_features(grid.select(*spec.keys), aggregates, climatology, spec)
     panel = index.assemble(panel, [groundwater], spec)
     return index.add_index(panel, spec)

@@ -6,11 +6,14 @@ monthly streams; single line items serve as well readings. The panel grows with
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelstress.operators.calendar import build_calendar
 from panelstress.operators.clean import soil_storage
+from panelstress.plans.panel import well_tables
 from panelstress.spec import PanelSpec, SplitPolicy
 
 SPEC = PanelSpec(
@@ -38,9 +41,10 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _exact_sum(column, condition=None):
-    """Cents add up exactly, so the result does not depend on the order of summation."""
-    value = column.cast("decimal(18,2)")
-    return F.coalesce(F.sum(F.when(condition, value) if condition is not None else value).cast("double"), F.lit(0.0))
+    """Hundredths add up exactly as integers, so the result does not depend on the order of summation."""
+    value = F.floor(column * 100.0 + 0.5)
+    total = F.sum(F.when(condition, value) if condition is not None else value)
+    return F.coalesce(total, F.lit(0)) / 100.0
 
 
 def monthly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,17 +91,27 @@ def history(spark: SparkSession, sf_dir: str, spec: PanelSpec = SPEC) -> DataFra
     )
 
 
-def well_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Irregular readings: part = well, shipment day = date, quantity = level."""
-    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
-    return li.join(suppliers(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")).select(
+def keyed_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Irregular readings by supplier key: part = well, shipment day = date, quantity = level."""
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("well_id"),
-        "entity",
+        F.col("l_suppkey").alias("s_suppkey"),
         F.col("l_shipdate").alias("date"),
         F.col("l_quantity").alias("water_level_m_bgl"),
     )
 
 
+def well_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same readings under supplier names."""
+    return keyed_readings(spark, sf_dir).join(suppliers(spark, sf_dir), "s_suppkey").drop("s_suppkey")
+
+
+def well_aggregates(spark: SparkSession, sf_dir: str, spec: PanelSpec = SPEC) -> DataFrame:
+    """Monthly well aggregates: cleaned and aggregated by key, names joined to the far smaller result."""
+    aggregates, _ = well_tables(keyed_readings(spark, sf_dir), replace(spec, entity="s_suppkey"))
+    return aggregates.join(suppliers(spark, sf_dir), "s_suppkey").drop("s_suppkey")
+
+
 def artifact_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vegetation readings of one month taken for artifacts: a full-month spike in July 2000."""
     return (

@@ -22,7 +22,7 @@ def write_exports(panel: DataFrame, audit_path: str, model_path: str, spec: Pane
 
 def statistics_long(
     spec: PanelSpec, gamma: DataFrame | None = None, climatologies: dict[str, DataFrame] | None = None,
-    z_parameters: dict[str, DataFrame] | None = None, medians: dict[str, MedianStats] | None = None,
+    z_parameters: dict[str, DataFrame] | None = None, medians: MedianStats | None = None,
     wells: DataFrame | None = None,
 ) -> DataFrame:
     """All fitted parameters as one table (statistic, entity, month, value)."""
@@ -43,9 +43,9 @@ def statistics_long(
     for name, df in (z_parameters or {}).items():
         for p in ("mean", "std"):
             parts.append(df.select(F.lit(f"{name}_{p}").alias("statistic"), e, none_month, F.col(p).alias("value")))
-    for name, stats in (medians or {}).items():
+    for name in medians.columns if medians is not None else ():
         parts.append(
-            stats.long().select(
+            medians.long(name).select(
                 F.concat(F.lit(f"{name}_median_"), "level").alias("statistic"), e, "month", F.col("median").alias("value")
             )
         )
