@@ -64,17 +64,19 @@ def i2(spark, sf_dir):
 
 
 @query("i3_entity_coverage", f"""
-SELECT h.entity, rainfall_total, rainfall_cp, ndvi_total, ndvi_cp, gw_total_records, gw_unique_wells, gw_monitored_months, gw_cp_monitored_months FROM (
+SELECT h.entity, rainfall_total, rainfall_cp, ndvi_total, ndvi_cp, gw_total_records, gw_unique_wells, gw_monitored_months, gw_cp_monitored_months, gw_blocks FROM (
   SELECT entity, count(*) AS rainfall_total, count(*) FILTER (WHERE date BETWEEN {START} AND {END}) AS rainfall_cp,
     count(ndvi) AS ndvi_total, count(ndvi) FILTER (WHERE date BETWEEN {START} AND {END}) AS ndvi_cp FROM c_hist GROUP BY entity) h
-JOIN (SELECT entity, count(*) AS gw_total_records, count(DISTINCT l_partkey) AS gw_unique_wells, count(DISTINCT date_trunc('month', l_shipdate)) AS gw_monitored_months,
+JOIN (SELECT entity, count(*) AS gw_total_records, count(DISTINCT p_brand) AS gw_blocks, count(DISTINCT l_partkey) AS gw_unique_wells, count(DISTINCT date_trunc('month', l_shipdate)) AS gw_monitored_months,
   count(DISTINCT date_trunc('month', l_shipdate)) FILTER (WHERE CAST(date_trunc('month', l_shipdate) AS DATE) BETWEEN {START} AND {END}) AS gw_cp_monitored_months
-  FROM lineitem JOIN c_sup ON l_suppkey = s_suppkey GROUP BY entity) w ON w.entity = h.entity
+  FROM lineitem JOIN c_sup ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey GROUP BY entity) w ON w.entity = h.entity
 """)
 def i3(spark, sf_dir):
     h = base.history(spark, sf_dir)
     streams = {"rainfall": h, "ndvi": h.where(F.col("ndvi_raw").isNotNull())}
-    return explore.entity_coverage(streams, proxy.well_readings(spark, sf_dir), "well_id", SPEC)
+    blocks = proxy.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("well_id"), F.col("p_brand").alias("block"))
+    readings = proxy.well_readings(spark, sf_dir).join(blocks, "well_id")
+    return explore.entity_coverage(streams, readings, "well_id", SPEC, block="block")
 
 
 @query("i4_missingness", """

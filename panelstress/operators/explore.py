@@ -75,8 +75,9 @@ def temporal_coverage(df: DataFrame, dataset: str, entity: str, date: str) -> Da
 
 def entity_coverage(
     streams: dict[str, DataFrame], observations: DataFrame, well: str, spec: PanelSpec, obs_date: str = "date",
+    block: str | None = None,
 ) -> DataFrame:
-    """Rows per entity in each stream, in total and inside the calendar, plus well counts."""
+    """Rows per entity in each stream, in total and inside the calendar, plus well, block and month counts."""
     e = spec.entity
     d = F.col(spec.date)
     inside = d.between(F.lit(spec.start).cast("date"), F.lit(spec.end).cast("date"))
@@ -95,7 +96,14 @@ def entity_coverage(
     months = seen.select(e, "_m", "_in").distinct().groupBy(e).agg(
         F.count(F.lit(1)).alias("gw_monitored_months"), F.count(F.when(F.col("_in"), 1)).alias("gw_cp_monitored_months")
     )
-    return reduce(lambda a, b: a.join(b, e, "full"), [*parts, records, unique_wells, months])
+    parts += [records, unique_wells, months]
+    if block is not None:
+        parts.append(
+            observations.select(e, block).where(F.col(block).isNotNull()).distinct().groupBy(e).agg(
+                F.count(F.lit(1)).alias("gw_blocks")
+            )
+        )
+    return reduce(lambda a, b: a.join(b, e, "full"), parts)
 
 
 def missingness(df: DataFrame, columns: dict[str, str], spec: PanelSpec) -> DataFrame:

@@ -31,15 +31,18 @@ def persistence(sequences: DataFrame, spec: PanelSpec, use_origin: bool = True)
 
 
 def seasonal_persistence(
-    sequences: DataFrame, panel: DataFrame, spec: PanelSpec, fallback: str = "lookback", period: int = 12
+    sequences: DataFrame, panel: DataFrame | None, spec: PanelSpec, fallback: str = "lookback", period: int = 12
 ) -> DataFrame:
-    """Index one season before each target.
+    """Index one season before each target; without a panel, the matching lookback steps alone.
 
     All targets of a sequence lie in consecutive months of one entity, so the panel is packed into
     one map per entity (bounded by the calendar) and joined once. A missing month falls back to the
     matching lookback step, or to the index at the origin with ``fallback='origin'``.
     """
     e = spec.entity
+    if panel is None:
+        steps = [_step_mean(F.col("x"), h).cast("float") for h in range(1, spec.horizon + 1)]
+        return sequences.withColumn("pred", F.array(*steps))
     series = panel.groupBy(e).agg(
         F.map_from_entries(F.collect_list(F.struct(spec.date, INDEX))).alias("_series")
     )
@@ -168,10 +171,13 @@ def fit_ridge(
 
 
 def ridge_inputs(kind: str, spec: PanelSpec) -> tuple[Column, int]:
-    """Inputs by name: 'history' (index lags), 'features' (flattened window), 'features_state' (plus the index)."""
+    """Inputs by name: 'history' (index lags), 'step_means' (feature means in place of stored lags),
+    'features' (flattened window), 'features_state' (plus the index at the origin)."""
     width = spec.lookback * len(spec.components)
     if kind == "history":
         return F.col("wsi_history"), spec.lookback
+    if kind == "step_means":
+        return F.transform("x", lambda step: F.aggregate(step, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.size(step)), spec.lookback
     if kind == "features":
         return flat_inputs(), width
     if kind == "features_state":

@@ -9,15 +9,11 @@ from panelstress.functions.numeric import linear_quantile
 
 _RESOLUTION = 512.0
 _UNIT = 1e6
+_BINS = 4096
 # Groups up to this many rows use the built-in percentile, whose buffer holds the group's distinct values.
 GROUP_LIMIT = 200_000
 
 
-def _bucket(value: Column) -> Column:
-    """Monotone logarithmic bucket, about 0.2 % wide."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value) * _UNIT) * _RESOLUTION)).cast("long")
-
-
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
     extra: dict[str, Column] | None = None, limit: int = GROUP_LIMIT,
@@ -49,57 +45,88 @@ def exact_quantiles(
     return small.unionByName(split)
 
 
+def _coarse_bucket() -> Column:
+    """Monotone logarithmic bucket of a value, about 0.2 % wide."""
+    v = F.col("_v")
+    return (F.signum(v) * F.floor(F.log1p(F.abs(v) * _UNIT) * _RESOLUTION)).cast("long")
+
+
+def _fine_bucket() -> Column:
+    """Equal bins between the smallest and largest value found in the coarse bucket."""
+    width = F.col("_hi") - F.col("_lo")
+    share = (F.col("_v") - F.col("_lo")) / F.nullif(width, F.lit(0.0))
+    return F.coalesce(F.floor(share * _BINS), F.lit(0)).cast("long")
+
+
+def _wanted(probabilities: list[float], first: Column, last: Column) -> Column:
+    """True where one of the ranks lies in [first, last)."""
+    hit = F.lit(False)
+    for p in probabilities:
+        for side in (F.floor, F.ceil):
+            rank = _rank(p, side)
+            hit = hit | ((rank >= first) & (rank < last))
+    return hit
+
+
+def _rank(p: float, side) -> Column:
+    return side((F.col("n") - 1).cast("double") * F.lit(p)).cast("long")
+
+
+def _narrow(values: DataFrame, group: list[str], bucket: str, probabilities: list[float]) -> DataFrame:
+    """Keep the values of those buckets that hold a wanted rank.
+
+    The histogram has one row per bucket, which bounds the window over it whatever the group holds.
+    ``_before`` counts the values in front of the bucket.
+    """
+    in_group = Window.partitionBy(*group)
+    running = in_group.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = "_before" in values.columns
+    histogram = values.groupBy(*group, bucket).agg(
+        F.sum("_c").alias("_bc"),
+        F.min("_v").alias("_lo"),
+        F.max("_v").alias("_hi"),
+        *([F.max("_before").alias("_base"), F.max("n").alias("n")] if known else []),
+    )
+    if not known:
+        histogram = histogram.withColumn("_base", F.lit(0)).withColumn("n", F.sum("_bc").over(in_group))
+    histogram = histogram.withColumn("_before", F.col("_base") + F.sum("_bc").over(running) - F.col("_bc"))
+    targets = histogram.where(_wanted(probabilities, F.col("_before"), F.col("_before") + F.col("_bc")))
+    rows = values.select(*group, bucket, "_v", "_c")
+    return rows.join(targets.select(*group, bucket, "_before", "n", "_lo", "_hi"), [*group, bucket])
+
+
 def split_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """The same for groups without a size bound, such as a few pooled groups over all rows.
 
-    The group is first reduced to distinct values with counts, spread by (keys, value). A bucket
-    histogram, bounded by the number of buckets whatever the group size, tells which buckets hold
-    the wanted ranks; only the values of those buckets are ordered. Result: keys, n, quantiles.
+    The group is first reduced to distinct values with counts, spread by (keys, value). Two histograms,
+    a logarithmic one and a linear one inside the buckets that matter, narrow the search; only the values of
+    the fine buckets that hold a wanted rank are ordered. Exact for any data. Result: keys, n, quantiles.
     """
-    group = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
     names = keys or ["_all"]
-    frequency = (
+    probabilities = sorted(set(quantiles.values()))
+    values = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).alias("_v"))
+        .groupBy(*([F.col(k) for k in keys] or [F.lit(0).alias("_all")]), F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", _bucket(F.col("_v")))
+        .withColumn("_b", _coarse_bucket())
     )
-    by_key = Window.partitionBy(*names)
-    running = by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    histogram = (
-        frequency.groupBy(*names, "_b")
-        .agg(F.sum("_c").alias("_bc"))
-        .withColumn("_before", F.sum("_bc").over(running) - F.col("_bc"))
-        .withColumn("n", F.sum("_bc").over(by_key))
-    )
-
-    def rank(p: float, side) -> Column:
-        return side((F.col("n") - 1).cast("double") * F.lit(p)).cast("long")
-
-    probabilities = sorted(set(quantiles.values()))
-    wanted = F.lit(False)
-    for p in probabilities:
-        for side in (F.floor, F.ceil):
-            r = rank(p, side)
-            wanted = wanted | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_bc")))
-    targets = histogram.where(wanted).select(*names, "_b", "_before", "n")
+    coarse = _narrow(values, names, "_b", probabilities).withColumn("_f", _fine_bucket())
+    fine = _narrow(coarse, [*names, "_b"], "_f", probabilities)
 
     inside = (
-        Window.partitionBy(*names, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*names, "_b", "_f").orderBy("_v")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ordered = (
-        frequency.join(targets, [*names, "_b"])
-        .withColumn("_last", F.col("_before") + F.sum("_c").over(inside))
-        .withColumn("_first", F.col("_last") - F.col("_c"))
+    ordered = fine.withColumn("_last", F.col("_before") + F.sum("_c").over(inside)).withColumn(
+        "_first", F.col("_last") - F.col("_c")
     )
 
-    def at(r: Column) -> Column:
-        return F.max(F.when((r >= F.col("_first")) & (r < F.col("_last")), F.col("_v")))
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_first")) & (rank < F.col("_last")), F.col("_v")))
 
     picks = [F.max("n").alias("n")]
     for i, p in enumerate(probabilities):
-        picks.append(at(rank(p, F.floor)).alias(f"_lo{i}"))
-        picks.append(at(rank(p, F.ceil)).alias(f"_hi{i}"))
+        picks += [at(_rank(p, F.floor)).alias(f"_lo{i}"), at(_rank(p, F.ceil)).alias(f"_hi{i}")]
     summary = ordered.groupBy(*names).agg(*picks)
 
     columns = []

@@ -56,7 +56,7 @@ def test_residual_identity(sequences, panel, spec):
         residual.origin_index(panel.unionByName(panel), sequences, spec).collect()
 
 
-@pytest.mark.parametrize("kind", ["history", "features", "features_state"])
+@pytest.mark.parametrize("kind", ["history", "step_means", "features", "features_state"])
 def test_ridge_equals_the_closed_form(sequences, spec, kind):
     x, width = forecast.ridge_inputs(kind, spec)
     fit = forecast.fit_ridge(sequences, x, F.col("y"), width, 3)
@@ -80,6 +80,8 @@ def test_persistence_and_seasonal(sequences, panel, spec):
     for r in out:
         assert r["pred"][0] == pytest.approx(np.mean(r["x"][0]), abs=1e-6)  # April 2006 is missing
         assert r["pred"][1] == pytest.approx(lookup[(r["entity"], "2006-05-01")], abs=1e-6)
+    for r in forecast.seasonal_persistence(sequences.limit(3), None, spec).collect():
+        assert r["pred"] == pytest.approx([np.mean(r["x"][h]) for h in range(3)], abs=1e-6)
 
 
 def test_boosted_trees_run(sequences, spec):

@@ -62,7 +62,8 @@ def test_quantiles_on_skewed_groups(spark, limit):
     """One key holds most rows; both branches and their mixture give the same exact values."""
     rng = np.random.default_rng(3)
     groups = {"hot": rng.normal(0, 100, 3000).round(1), "one": np.array([4.2]), "few": np.array([1.0, 2.0, 4.0, 10.0]),
-              "same": np.full(60, -7.5), "tiny": rng.normal(0, 1e-9, 20)}
+              "same": np.full(60, -7.5),
+              "narrow": 1.0 + rng.random(2000) * 1e-9, "tiny": rng.normal(0, 1e-9, 20)}
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("few", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(4)
     probs = {"p1": 0.01, "p25": 0.25, "p50": 0.5, "p99": 0.99}
