@@ -127,6 +127,17 @@ def test_backtest_against_brute_force(panel, panel_pdf, spec):
                 assert r.predicted_wsi == pytest.approx(expected[(r.model, r.entity)][int(r.horizon[1]) - 1], abs=5e-6)
 
 
+def test_origins_without_training_windows_are_left_out(panel, spec):
+    out = backtest.rolling_backtest(panel, ["2003-12-01", "2004-06-01"], spec)
+    assert [str(r[0]) for r in out.select("forecast_origin").distinct().collect()] == ["2004-06-01"]
+
+
+def test_moments_survive_empty_partitions(sequences, spec):
+    x, width = forecast.ridge_inputs("history", spec)
+    few = sequences.orderBy("position").limit(60).repartition(64)
+    assert forecast.fit_moments(few, x, F.col("y"), width, 3)["train"].gram[0, 0] == few.where("split = 'train'").count()
+
+
 def test_backtest_is_causal(panel, spec):
     changed = panel.withColumns({c: F.when(F.col("date") > "2006-02-01", F.col(c) + 100).otherwise(F.col(c)) for c in (*COMPONENTS, "wsi")})
     key = ["model", "entity", "horizon"]
