@@ -100,7 +100,7 @@ FROM c_seq s
 LEFT JOIN c_panel p1 ON p1.entity = s.entity AND p1.date = s.target_t1 - INTERVAL 12 MONTH
 LEFT JOIN c_panel p2 ON p2.entity = s.entity AND p2.date = s.target_t2 - INTERVAL 12 MONTH
 LEFT JOIN c_panel p3 ON p3.entity = s.entity AND p3.date = s.target_t3 - INTERVAL 12 MONTH
-JOIN c_ar_fit ar ON ar.split = s.split JOIN c_rr_fit rr ON rr.split = s.split
+LEFT JOIN c_ar_fit ar ON ar.split = s.split LEFT JOIN c_rr_fit rr ON rr.split = s.split
 """)
 
 
@@ -119,7 +119,7 @@ SELECT CASE split WHEN 'val' THEN 'official_validation' ELSE 'official_test' END
     CAST(pred[h] AS DOUBLE) AS p, CAST([y1, y2, y3][h] AS DOUBLE) AS a FROM (
     SELECT *, unnest([1, 2, 3]) AS h FROM (
       SELECT * EXCLUDE (x, hist), unnest(['Persistence', 'Seasonal_Persistence', 'WSI_Autoregression', 'Ridge_Regression']) AS model,
-        unnest([persistence, seasonal, ar, ridge]) AS pred FROM c_wide)))
+        unnest([persistence, seasonal, ar, ridge]) AS pred FROM c_wide WHERE split <> 'train')))
 """)
 cte("c_test", "SELECT * FROM c_pred WHERE evaluation_type = 'official_test'")
 cte("c_val", "SELECT * FROM c_pred WHERE evaluation_type = 'official_validation'")

@@ -13,13 +13,14 @@ from panelstress.operators import sequences as seq
 from panelstress.plans import baselines
 from panelstress.spec import COMPONENTS, RIDGE_ALPHAS
 
-_STEP_COLUMNS = ", ".join(f"{r(f'x[(step - 1) * 6 + {i}]')} AS {c}" for i, c in enumerate(COMPONENTS, start=1))
+# Windows and forecasts are stored in single precision, so they are compared at five digits.
+_STEP_COLUMNS = ", ".join(f"{r(f'x[(step - 1) * 6 + {i}]', 5)} AS {c}" for i, c in enumerate(COMPONENTS, start=1))
 
 
 @query("f1_sequences", f"""
-SELECT entity, forecast_origin, input_start, target_t1, target_t2, target_t3, split, CAST(step - 1 AS INTEGER) AS step, {_STEP_COLUMNS}, {rs('y1', 'y2', 'y3')}
+SELECT entity, forecast_origin, input_start, target_t1, target_t2, target_t3, split, CAST(step - 1 AS INTEGER) AS step, {_STEP_COLUMNS}, {rs('y1', 'y2', 'y3', digits=5)}
 FROM (SELECT *, unnest(range(1, 13)) AS step FROM c_seq)
-""")
+""", digits=5)
 def f1(spark, sf_dir):
     rows = seq.build_sequences(base.panel(spark, sf_dir), SPEC)
     return rows.select(
@@ -59,10 +60,18 @@ def f4(spark, sf_dir):
     )
 
 
-@query("f5_flat_inputs", f"SELECT sequence_id, CAST(pos - 1 AS INTEGER) AS pos, {r('x[pos]')} AS value FROM (SELECT *, unnest(range(1, 73)) AS pos FROM c_seq WHERE split = 'val')")
+_WEIGHTED = "list_sum(list_transform(x, lambda v, i: CAST(v AS DOUBLE) * i))"
+
+
+@query("f5_flat_inputs", f"SELECT sequence_id, CAST(len(x) AS INTEGER) AS size, {r('x[1]', 4)} AS first, {r('x[72]', 4)} AS last, {r(_WEIGHTED, 4)} AS weighted FROM c_seq", digits=4)
 def f5(spark, sf_dir):
-    rows = seq.of_splits(base.sequences(spark, sf_dir), "val")
-    return rows.select("sequence_id", F.posexplode(seq.flat_inputs()).alias("pos", "value"))
+    """The weighted sum depends on the order of the flattened values."""
+    flat = seq.flat_inputs()
+    weighted = F.transform(flat, lambda v, i: v.cast("double") * (i + 1))
+    return base.sequences(spark, sf_dir).select(
+        "sequence_id", F.size(flat).alias("size"), F.get(flat, F.lit(0)).alias("first"), F.element_at(flat, -1).alias("last"),
+        F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v).alias("weighted"),
+    )
 
 
 @query("f6_index_histories", f"SELECT sequence_id, CAST(step - 1 AS INTEGER) AS step, {r('hist[step]')} AS wsi FROM (SELECT *, unnest(range(1, 13)) AS step FROM c_seq)")
@@ -77,10 +86,10 @@ def f7(spark, sf_dir):
     return residual.origin_index(base.panel(spark, sf_dir), base.sequences(spark, sf_dir), SPEC)
 
 
-_RESIDUALS = ", ".join(f"{r(f'CAST(y{h} AS DOUBLE) - wsi')} AS residual_t{h}" for h in (1, 2, 3))
+_RESIDUALS = ", ".join(f"{r(f'CAST(y{h} AS DOUBLE) - wsi', 5)} AS residual_t{h}" for h in (1, 2, 3))
 
 
-@query("f8_residual_targets", f"SELECT sequence_id, entity, forecast_origin, split, {r('wsi')} AS wsi_at_origin, {_RESIDUALS} FROM c_seq")
+@query("f8_residual_targets", f"SELECT sequence_id, entity, forecast_origin, split, {r('wsi', 5)} AS wsi_at_origin, {_RESIDUALS} FROM c_seq", digits=5)
 def f8(spark, sf_dir):
     return residual.add_residual_targets(base.sequences(spark, sf_dir), SPEC).select(
         "sequence_id", "entity", "forecast_origin", "split", "wsi_at_origin", *residual.residual_columns(SPEC)
@@ -169,30 +178,27 @@ def f13(spark, sf_dir):
 
 # ---- forecasters -----------------------------------------------------------------------------
 
-_PRED = "predicted_wsi"
-
-
 def _wide_prediction(rows):
     return rows.select("sequence_id", *[F.col("pred")[i].alias(f"p{i + 1}") for i in range(3)])
 
 
-def _wide_sql(column: str, where: str = "split IN ('val', 'test')", digits: int = 6) -> str:
+def _wide_sql(column: str, where: str = "true", digits: int = 5) -> str:
     return f"SELECT sequence_id, {', '.join(f'{r(f'{column}[{i}]', digits)} AS p{i}' for i in (1, 2, 3))} FROM c_wide WHERE {where}"
 
 
-@query("g1_persistence", _wide_sql("persistence"))
+@query("g1_persistence", _wide_sql("persistence"), digits=5)
 def g1(spark, sf_dir):
-    return _wide_prediction(forecast.persistence(seq.of_splits(base.sequences(spark, sf_dir), "val", "test"), SPEC))
+    return _wide_prediction(forecast.persistence(base.sequences(spark, sf_dir), SPEC))
 
 
-@query("g1_persistence_from_features", f"SELECT sequence_id, {', '.join(f'{r(f'CAST({mean_of_step(12)} AS FLOAT)')} AS p{h}' for h in (1, 2, 3))} FROM c_seq WHERE split = 'test'")
+@query("g1_persistence_from_features", f"SELECT sequence_id, {', '.join(f'{r(f'CAST({mean_of_step(12)} AS FLOAT)', 5)} AS p{h}' for h in (1, 2, 3))} FROM c_seq", digits=5)
 def g1b(spark, sf_dir):
-    return _wide_prediction(forecast.persistence(seq.of_splits(base.sequences(spark, sf_dir), "test"), SPEC, use_origin=False))
+    return _wide_prediction(forecast.persistence(base.sequences(spark, sf_dir), SPEC, use_origin=False))
 
 
-@query("g2_seasonal_persistence", _wide_sql("seasonal"))
+@query("g2_seasonal_persistence", _wide_sql("seasonal"), digits=5)
 def g2(spark, sf_dir):
-    rows = seq.of_splits(base.sequences(spark, sf_dir), "val", "test")
+    rows = base.sequences(spark, sf_dir)
     return _wide_prediction(forecast.seasonal_persistence(rows, base.panel(spark, sf_dir), SPEC))
 
 

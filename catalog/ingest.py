@@ -316,10 +316,10 @@ def b10(spark, sf_dir):
 
 
 @query("b11_mask_artifacts", f"""
-SELECT entity, date, {rs('ndvi_raw', 'ndvi')}, ndvi_artifact_masked FROM c_prep WHERE year = 2000
+SELECT entity, date, {rs('ndvi_raw', 'ndvi')}, ndvi_artifact_masked FROM c_prep
 """)
 def b11(spark, sf_dir):
-    rows = proxy.history(spark, sf_dir).where("year = 2000")
+    rows = proxy.history(spark, sf_dir)
     out = clean.mask_artifacts(rows, "ndvi", proxy.artifact_rules(spark, sf_dir), "entity")
     return out.select("entity", "date", "ndvi_raw", "ndvi", "ndvi_artifact_masked")
 
