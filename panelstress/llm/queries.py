@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelstress.llm import quality_rules, url_filters
+from panelstress.llm import line_dedup, quality_rules, url_filters
 from panelstress.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_line_dedup", line_dedup.OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), removed_col="n_removed")
+    return rows.select("doc_id", "text", "n_removed")
+
+
 @query("op3_quality_rules", quality_rules.OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
