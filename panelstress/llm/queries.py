@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelstress.llm import line_dedup, quality_rules, url_filters
+from panelstress.llm import dart_minhash, line_dedup, quality_rules, url_filters
 from panelstress.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_dart_minhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document: class_id is the smallest doc_id of its class, kept marks the document that stays."""
+    rows = dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select(rows["_id"].alias("doc_id"), "class_id", "kept")
+
+
 @query("op10_url_filters", url_filters.OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
