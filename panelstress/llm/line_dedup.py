@@ -113,7 +113,7 @@ def deleted_lines(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
     """d, t (document key) and ``gone``: sorted numbers, from 0, of the lines to delete."""
-    lines = _sequences(documents, id_col, text_col, min_words)
+    lines = materialize(_sequences(documents, id_col, text_col, min_words), "lines")
     ranks = materialize(_ranks(lines, max(min_words, 1).bit_length() - 1), "ranks")
     length = F.col("length")
     windows = (
@@ -150,7 +150,8 @@ def dedup_lines(
     d, t = _document_key(id_col, text_col)
     keyed = documents.withColumn(key, d).withColumn(mark, t)
     drop = drop.select(F.col("d").alias(key), F.col("t").alias(mark), F.col("gone").alias(gone))
-    joined = keyed.join(drop, [key, mark], "left")
+    # The deletions grow with the corpus, so they are never broadcast; hashing them spares a sort of the texts.
+    joined = keyed.join(drop.hint("shuffle_hash"), [key, mark], "left")
     lines = F.filter(F.split(text_col, "\n", -1), lambda x, n: ~F.array_contains(F.col(gone), n))
     out = joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n")))
     if removed_col:
