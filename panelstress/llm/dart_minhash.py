@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,23 +157,21 @@ def _similar(pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            joint = pa.concat_arrays([batch.column("text_a").cast(pa.large_string()), batch.column("text_b").cast(pa.large_string())])
-            n = batch.num_rows
-            order = np.arange(2 * n).reshape(2, n).T.reshape(-1)  # each pair's texts side by side
-            parts = [[], [], []]
-            base = joint.take(pa.array(order))
-            for lo, _, doc, h, count in _bags(base, SHINGLE):
-                for box, x in zip(parts, (doc + lo, h, count), strict=True):
-                    box.append(x)
-            row, h, count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts)
-            pair = row // 2
-            by = np.lexsort((h, pair))
-            pair, h, count = pair[by], h[by], count[by]
-            both = np.flatnonzero((pair[1:] == pair[:-1]) & (h[1:] == h[:-1]))
-            common = np.bincount(pair[both], weights=np.minimum(count[both], count[both + 1]), minlength=n)
-            union = np.bincount(pair, weights=count, minlength=n) - common
-            near = pa.array((den * common >= num * union) & (union > 0))
-            yield batch.select(["a", "b"]).filter(near)
+            sides = [batch.column(c).cast(pa.large_string()) for c in ("text_a", "text_b")]
+            sizes = sum(pc.fill_null(pc.binary_length(x), 0).to_numpy() for x in sides)
+            for lo, hi in tokens.slices(np.concatenate([[0], np.cumsum(sizes)])):
+                n = hi - lo
+                parts = [[], [], []]
+                for first, _, row, h, count in _bags(pa.concat_arrays([x.slice(lo, n) for x in sides]), SHINGLE):
+                    for box, x in zip(parts, ((row + first) % n, h, count), strict=True):
+                        box.append(x)
+                pair, h, count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts)
+                by = np.lexsort((h, pair))
+                pair, h, count = pair[by], h[by], count[by]
+                both = np.flatnonzero((pair[1:] == pair[:-1]) & (h[1:] == h[:-1]))
+                common = np.bincount(pair[both], weights=np.minimum(count[both], count[both + 1]), minlength=n)
+                union = np.bincount(pair, weights=count, minlength=n) - common
+                yield batch.slice(lo, n).select(["a", "b"]).filter(pa.array((den * common >= num * union) & (union > 0)))
 
     return pairs.mapInArrow(run, "a binary, b binary")
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelstress.llm import dart_minhash, line_dedup, quality_rules, url_filters
-from panelstress.llm.common import table
+from panelstress.llm import byte_bpe, dart_minhash, line_dedup, quality_rules, toxicity, url_filters
+from panelstress.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +47,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(rows["_id"].alias("doc_id"), "class_id", "kept")
 
 
+def bpe_ranks() -> dict[bytes, int]:
+    return byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op6_byte_bpe")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), bpe_ranks(), public_tokenizers.PATTERN)
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, lexicon).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_hits", "weight", "n_words")
+
+
 @query("op10_url_filters", url_filters.OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
