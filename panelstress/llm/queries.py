@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstress.llm import byte_bpe, dart_minhash, line_dedup, quality_rules, toxicity, url_filters
+from panelstress.llm import byte_bpe, dart_minhash, line_dedup, quality_rules, templates, toxicity, url_filters
 from panelstress.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_template_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item found in it."""
+    rows = templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "item_id", "n_found", "n_windows", "changed")
+
+
 @query("op5_dart_minhash")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document: class_id is the smallest doc_id of its class, kept marks the document that stays."""
