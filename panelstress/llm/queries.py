@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstress.llm import byte_bpe, dart_minhash, line_dedup, quality_rules, templates, toxicity, url_filters
+from panelstress.llm import (
+    byte_bpe,
+    dart_minhash,
+    line_dedup,
+    quality_classifier,
+    quality_rules,
+    templates,
+    toxicity,
+    url_filters,
+)
 from panelstress.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +80,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "n_hits", "weight", "n_words")
 
 
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    vectors = quality_classifier.word_vectors(documents)
+    network = quality_classifier.learn(documents, table(spark, sf_dir, "labels"), vectors)
+    scored = quality_classifier.score(documents, vectors, network)
+    held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 @query("op10_url_filters", url_filters.OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))

@@ -82,7 +82,10 @@ def canonical(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         (raw[lead] == 0xC3) & (np.append(raw, 0)[lead + 1] >= 0x80) & (np.append(raw, 0)[lead + 1] <= 0x9E)
     )
     opening = np.concatenate([[True], (doc[1:] != doc[:-1]) | _STOP[raw[end[:-1] - 1]]])
-    name = upper & ~opening & ~number
+    small = (raw >= 97) & (raw <= 122)
+    small[1:] |= (raw[:-1] == 0xC3) & (raw[1:] >= 0xA0) & (raw[1:] <= 0xBF)
+    lower = np.concatenate([[0], np.cumsum(small)])
+    name = upper & ~opening & ~number & (lower[end] > lower[start])  # words all in capitals stay literal
     units = _unit_hashes()
     known = units[np.minimum(np.searchsorted(units, value), len(units) - 1)] == value
     unit = known & np.concatenate([[False], number[:-1] & (doc[1:] == doc[:-1])]) & ~number
