@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelstress.llm import (
     byte_bpe,
     dart_minhash,
+    language_id,
     line_dedup,
     quality_classifier,
     quality_rules,
@@ -90,6 +91,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language_id.learn(documents, list(bpe_ranks()))
+    held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    return language_id.predict(documents, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @query("op10_url_filters", url_filters.OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
