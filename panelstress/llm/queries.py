@@ -13,6 +13,7 @@ from panelstress.llm import (
     dart_minhash,
     language_id,
     line_dedup,
+    pii,
     quality_classifier,
     quality_rules,
     templates,
@@ -41,6 +42,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", "n_removed")
 
 
+@query("op2_pii_surrogates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its entities replaced, and their number."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(documents, count_col="n_replaced")
+
+
 @query("op3_quality_rules", quality_rules.OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))

@@ -230,3 +230,21 @@ def score(documents: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_c
     z = b[0] + b[1] * F.log1p("weight") + b[2] * F.log1p(100.0 * F.col("weight") / F.greatest(F.col("n_words").cast("double"), F.lit(1.0)))
     scored = found.withColumn("score", 1.0 / (1.0 + F.exp(-z)))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def keep_clean(documents: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
+    """The documents that score below the threshold, with all their columns; judged where they are, without a join."""
+    beta = np.array(lexicon.curve)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton() if lexicon.weights else None
+        for batch in batches:
+            weight, words = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for i, text in enumerate(batch.column(text_col).to_pylist()):
+                folded = fold(text or "")
+                weight[i] = _found(automaton, folded)[0] if automaton is not None else 0.0
+                words[i] = max(0, folded.count(" ") - 1)
+            score = 1.0 / (1.0 + np.exp(-np.clip(features(weight, words) @ beta, -30, 30)))
+            yield batch.filter(pa.array(score < THRESHOLD))
+
+    return documents.mapInArrow(run, documents.schema)
