@@ -7,9 +7,11 @@ coordinate stays. Work per text is in proportion to its shingles plus k log k, i
 coordinates form bands; texts that agree on a band are candidates.
 
 Texts with equal bags are one node from the start. In a bucket (nodes that share a band) candidates are the pairs
-of each node with two pivots, the smallest and largest node key. Every candidate is verified by its exact similarity
+of each node with two pivots: the node that meets the most others over all its bands, which lies in the middle
+of its group, and the smallest node key. Every candidate is verified by its exact similarity
 unless the links found so far already join it. Buckets that still hold several components are then searched for
-the remaining pairs between components, so no link is lost and no bucket is written out as all of its pairs.
+the remaining links between components, block against block inside tasks, so that no link is lost and no bucket is
+written out as all of its pairs.
 
 Defined results: null texts and texts without a word are classes of their own; texts shorter than five words
 are one shingle; rows that repeat id and text are exact copies; null ids join classes like others and sort last;
@@ -34,6 +36,10 @@ SIMILARITY = (4, 5)
 SHINGLE = 5
 BANDS = 25
 ROWS = 5
+#: Nodes of a bucket that meet in one task, per side.
+BLOCK = 1024
+#: Pairs that agree on fewer coordinates of the sketch are not verified; 4.5 standard deviations below the bound.
+SKETCH_SHARE = 0.64
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -128,7 +134,10 @@ def _keys(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> list[byt
 
 
 def _sketch(documents: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
-    """id, fingerprint of the text, node (key of the bag) and band hashes of every row."""
+    """id, fingerprint of the text, node (key of the bag), band hashes and sketch of every row.
+
+    The sketch is the last byte of every coordinate: 125 bytes that estimate the similarity of two nodes.
+    """
     factors = tokens.mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
     salts = tokens.mix(np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(20))
 
@@ -138,17 +147,19 @@ def _sketch(documents: DataFrame, id_col: str, text_col: str, bands: int, rows:
                 n = hi - lo
                 sig = signatures(doc, h, count.astype(np.float64), n, bands * rows)
                 hashes = tokens.mix((sig.reshape(n, bands, rows) * factors).sum(axis=2, dtype=np.uint64) + salts)
+                low = np.ascontiguousarray((sig & np.uint64(255)).astype(np.uint8))
                 flat = pa.array(hashes.reshape(-1).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), flat)
                 part = batch.slice(lo, n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), part.column("_th"), pa.array(_keys(doc, h, count, n), pa.binary()), lists],
-                    ["_id", "_th", "node", "bands"],
+                    [part.column("_id"), part.column("_th"), pa.array(_keys(doc, h, count, n), pa.binary()), lists,
+                     pa.array([row.tobytes() for row in low], pa.binary())],
+                    ["_id", "_th", "node", "bands", "sketch"],
                 )
 
     source = documents.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.lower(text_col).alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"_id {kind}, _th bigint, node binary, bands array<bigint>")
+    return source.mapInArrow(run, f"_id {kind}, _th bigint, node binary, bands array<bigint>, sketch binary")
 
 
 def _similar(pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -214,6 +225,118 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys of a sorted partition; a run may span batches."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table]).combine_chunks()
+        if table.num_rows == 0:
+            continue
+        change = np.zeros(table.num_rows, dtype=bool)
+        for k in keys:
+            column = table[k].to_numpy()
+            change[1:] |= column[1:] != column[:-1]
+        bounds = np.concatenate([[0], np.flatnonzero(change), [table.num_rows]])
+        for lo, hi in zip(bounds[:-2], bounds[1:-1], strict=True):
+            yield table.slice(lo, hi - lo)
+        rest = table.slice(bounds[-2])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _likely(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each node outside the main component with the rows of the other side that may be linked to it.
+
+    These are in another component, agree on at least SKETCH_SHARE of the coordinates, and have this bucket as the first one
+    that both share, so that a pair is looked at once. Pairs of two nodes outside come once as well.
+    """
+    n = group.num_rows
+    sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), dtype=np.uint8).reshape(n, -1)
+    bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(n, -1)
+    side, stray = (group[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("outside", "stray"))
+    comp, code, bucket = (group[c].to_numpy() for c in ("comp", "code", "bucket"))
+    floor = SKETCH_SHARE * sketch.shape[1]
+    right = np.flatnonzero(~side)
+    for row in np.flatnonzero(side):
+        other = right[(comp[right] != comp[row]) & (~stray[right] | (code[right] > code[row]))]
+        if not len(other):
+            continue
+        other = other[(sketch[other] == sketch[row]).sum(axis=1) >= floor]
+        equal = bands[other] == bands[row]
+        first = bands[row][equal.argmax(axis=1)]
+        other = other[equal.any(axis=1) & (first == bucket[row])]
+        if len(other):
+            yield int(row), other
+
+
+def _between_components(shared: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """All links between different components within buckets, found without writing out pairs.
+
+    In every bucket that holds several components, the nodes outside its main component meet all nodes of the
+    bucket, in blocks of bounded size. A first pass over sketches keeps the nodes that have a likely partner; a second
+    one over their texts gives the links by exact similarity.
+    """
+    tagged = shared.join(labels, "node", "left").select("bucket", "node", F.xxhash64(F.coalesce("comp", "node")).alias("comp"))
+    sizes = tagged.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("bucket").agg(
+        F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("strays")
+    ).where((F.col("strays") > 0) & (F.col("all") > 2))
+    mixed = tagged.join(main, "bucket").withColumn("stray", F.col("comp") != F.col("main")).withColumn("code", F.xxhash64("node"))
+    mixed = materialize(mixed.join(nodes.select("node", "bands", "sketch"), "node"), "mixed")
+    blocks_out = F.ceil(F.col("strays") / BLOCK).cast("int")
+    blocks_all = F.ceil(F.col("all") / BLOCK).cast("int")
+
+    def dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+        own = F.pmod(F.col("code"), F.lit(1 << 40))
+        as_outside = rows.where("stray").select(
+            *columns, F.lit(True).alias("outside"), F.pmod(own, blocks_out).cast("int").alias("i"),
+            F.explode(F.sequence(F.lit(0), blocks_all - 1)).alias("j"),
+        )
+        as_all = rows.select(
+            *columns, F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), blocks_out - 1)).alias("i"),
+            F.pmod(own, blocks_all).cast("int").alias("j"),
+        )
+        return as_outside.unionByName(as_all).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    keys = ["bucket", "i", "j"]
+    num, den = similarity
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, keys):
+            rows: set[int] = set()
+            for row, other in _likely(group):
+                rows.update([row, *other.tolist()])
+            if rows:
+                yield group.select(["bucket", "node"]).take(sorted(rows)).combine_chunks().to_batches()[0]
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, keys):
+            doc, h, count = (np.concatenate(x) for x in zip(*((d + lo, h, c) for lo, _, d, h, c in _bags(group["text"], SHINGLE)), strict=True))
+            at = np.searchsorted(doc, np.arange(group.num_rows + 1))
+            total = np.bincount(doc, weights=count, minlength=group.num_rows)
+            left, right = [], []
+            for row, other in _likely(group):
+                mine, number = h[at[row] : at[row + 1]], count[at[row] : at[row + 1]]
+                sizes = at[other + 1] - at[other]
+                index = np.repeat(at[other] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                place = np.minimum(np.searchsorted(mine, h[index]), len(mine) - 1)
+                both = np.where(mine[place] == h[index], np.minimum(number[place], count[index]), 0)
+                common = np.add.reduceat(both, np.cumsum(sizes) - sizes)
+                near = other[den * common >= num * (total[row] + total[other] - common)]
+                left += [row] * len(near)
+                right += near.tolist()
+            if left:
+                names = group["node"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(left)), names.take(pa.array(right))], ["a", "b"])
+
+    columns = ["bucket", "node", "comp", "code", "stray", "bands", "sketch"]
+    flagged = materialize(dealt(mixed, columns).mapInArrow(likely, "bucket bigint, node binary").distinct(), "likely")
+    full = mixed.join(flagged, ["bucket", "node"], "left_semi").join(texts, "node")
+    return materialize(dealt(full, [*columns, "text"]).mapInArrow(exact, "a binary, b binary").distinct(), "links")
+
+
 def near_duplicates(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
@@ -225,11 +348,16 @@ def near_duplicates(
     sketch = materialize(_sketch(documents, id_col, text_col, bands, rows), "sketch")
     rank = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_th").alias("th"))
     nodes = materialize(
-        sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(rank).alias("rep"), F.first("bands").alias("bands")), "nodes"
+        sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(rank).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes"
     )
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    pivots = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") != F.col("high"))
-    shared = materialize(members.join(pivots, "bucket"), "buckets")
+    sizes = members.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("a") != F.col("b"))
+    met = materialize(members.join(sizes.select("bucket", "n"), "bucket"), "buckets")
+    # A node in the middle of a group meets the most others over its bands.
+    central = met.groupBy("node").agg(F.sum("n").alias("meets"))
+    ranked = materialize(met.join(central, "node").select("bucket", "node", "meets"), "buckets")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("meets", "node"))["node"].alias("high"), F.min("node").alias("low"))
+    shared = materialize(ranked.join(pivots, "bucket").select("bucket", "node", "low", "high"), "buckets")
     star = shared.select("node", F.explode(F.array("low", "high")).alias("pivot")).where(F.col("node") != F.col("pivot"))
     candidates = materialize(star.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n")), "candidates")
 
@@ -255,17 +383,7 @@ def near_duplicates(
         links = links.unionByName(more)
         labels = components(links)
 
-    # What is left: pairs between components in buckets that hold several, other than the pairs with a pivot.
-    tagged = shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = tagged.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where((F.col("c1") != F.col("c2")) & (F.col("n") > 2)).select("bucket")
-    inner = materialize(
-        tagged.where((F.col("node") != F.col("low")) & (F.col("node") != F.col("high"))).join(mixed, "bucket", "left_semi").select("bucket", "node", "comp"), "mixed"
-    )
-    left, right = inner.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca")), inner.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    cross = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-    third = materialize(cross.join(best, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "pairs")
-    last = _verified(third, texts, similarity)
+    last = _between_components(shared, nodes, labels, texts, similarity)
     if not last.isEmpty():
         labels = components(links.unionByName(last))
 
