@@ -304,10 +304,10 @@ def e6(spark, sf_dir):
 
 
 @query("e7_export_parity", unpivoted(
-    "model_audit_parity", "mismatching_columns = 0", ["shared_columns", "mismatching_columns", "mismatches"],
-    """(SELECT 15 AS shared_columns, CAST(max(abs(a.wsi - m.wsi)) > 1e-9 AS INTEGER) + CAST(count(*) FILTER (WHERE a.split <> m.split) > 0 AS INTEGER) AS mismatching_columns,
+    "model_audit_parity", "mismatching_columns = 0 AND unmatched_keys = 0", ["shared_columns", "mismatching_columns", "mismatches", "unmatched_keys"],
+    """(SELECT 15 AS shared_columns, count(*) FILTER (WHERE a.entity IS NULL OR m.entity IS NULL) AS unmatched_keys, CAST(max(abs(a.wsi - m.wsi)) > 1e-9 AS INTEGER) + CAST(count(*) FILTER (WHERE a.split <> m.split) > 0 AS INTEGER) AS mismatching_columns,
     CASE WHEN max(abs(a.wsi - m.wsi)) > 1e-9 THEN 'wsi' ELSE '' END AS mismatches FROM c_panel a
-    JOIN (SELECT entity, date, split, wsi + CASE WHEN wsi >= 1.5 THEN 1e-6 ELSE 0 END AS wsi FROM c_panel) m USING (entity, date))"""))
+    FULL JOIN (SELECT entity, date, split, wsi + CASE WHEN wsi >= 1.5 THEN 1e-6 ELSE 0 END AS wsi FROM c_panel) m ON a.entity = m.entity AND a.date = m.date)"""))
 def e7(spark, sf_dir):
     """The model export is altered in its most severe rows, which the check has to notice."""
     p = base.panel(spark, sf_dir)

@@ -57,4 +57,5 @@ def classify(value: str | Column, missing: str | None = "Unknown") -> Column:
 
 
 def linear_quantile(lower: Column, upper: Column, fraction: Column) -> Column:
-    return lower + (upper - lower) * fraction
+    """The bound itself when both neighbours are equal or none of the upper one is wanted, so infinities stay."""
+    return F.when((lower == upper) | (fraction == 0.0) | (lower == float("-inf")), lower).otherwise(lower + (upper - lower) * fraction)

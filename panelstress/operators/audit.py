@@ -121,7 +121,10 @@ def historical_events(df: DataFrame, expected: DataFrame, spec: PanelSpec, thres
 
 
 def export_parity(audit: DataFrame, model: DataFrame, spec: PanelSpec, tolerance: float = 1e-9) -> DataFrame:
-    """Shared columns of two exports agree on shared keys: largest gap, or mismatch count for non-numbers."""
+    """Shared columns of two exports agree on shared keys: largest gap, or mismatch count for non-numbers.
+
+    A null against a value is an infinite gap, and a key that only one side has fails the check.
+    """
     shared = [c for c in model.columns if c in audit.columns and c not in spec.keys]
     left = audit.select(*spec.keys, *[F.col(c).alias(f"a_{c}") for c in shared])
     right = model.select(*spec.keys, *[F.col(c).alias(f"m_{c}") for c in shared])
@@ -130,18 +133,21 @@ def export_parity(audit: DataFrame, model: DataFrame, spec: PanelSpec, tolerance
     for c in shared:
         a, m = F.col(f"a_{c}"), F.col(f"m_{c}")
         if isinstance(types[c], NumericType):
-            measures.append(F.coalesce(F.max(F.abs(a - m)).cast("double"), F.lit(0.0)).alias(c))
+            gap = F.when(a.isNull() != m.isNull(), F.lit(float("inf"))).otherwise(F.abs(a - m).cast("double"))
+            measures.append(F.coalesce(F.max(F.when(F.col("_a") & F.col("_m"), gap)), F.lit(0.0)).alias(c))
         else:
-            measures.append(F.count(F.when(~a.eqNullSafe(m), 1)).cast("double").alias(c))
-    out = left.join(right, spec.keys).agg(*measures)
+            measures.append(F.count(F.when(F.col("_a") & F.col("_m") & ~a.eqNullSafe(m), 1)).cast("double").alias(c))
+    both = left.withColumn("_a", F.lit(True)).join(right.withColumn("_m", F.lit(True)), spec.keys, "full")
+    both = both.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_a", "_m")})
+    out = both.agg(*measures, F.count(F.when(~(F.col("_a") & F.col("_m")), 1)).alias("unmatched_keys"))
     broken = [F.when(F.col(c) > tolerance, F.lit(c)) for c in shared]
     out = out.select(
         F.lit(len(shared)).alias("shared_columns"),
         F.size(F.array_compact(F.array(*broken))).alias("mismatching_columns"),
-        F.array_join(F.array_compact(F.array(*broken)), ",").alias("mismatches"),
+        F.array_join(F.array_compact(F.array(*broken)), ",").alias("mismatches"), "unmatched_keys",
     )
-    return _report(out, "model_audit_parity", F.col("mismatching_columns") == 0,
-                   ["shared_columns", "mismatching_columns", "mismatches"])
+    return _report(out, "model_audit_parity", (F.col("mismatching_columns") == 0) & (F.col("unmatched_keys") == 0),
+                   ["shared_columns", "mismatching_columns", "mismatches", "unmatched_keys"])
 
 
 def panel_contract(df: DataFrame, columns: list[str], spec: PanelSpec) -> DataFrame:

@@ -74,6 +74,8 @@ def _add_entity(totals, months, features, index, when, spec: PanelSpec) -> None:
     count = len(months) - back - ahead + 1  # windows with full lookback and horizon
     if count <= 0:
         return
+    # Standardising does not see a shift, and centred features lose no digits in the sums of squares and products.
+    features = features - features.mean(axis=0)
     ones = np.ones((count, 1))
     y = np.lib.stride_tricks.sliding_window_view(index[back:], ahead)[:count]
     x = _windows(features, back)[:count]

@@ -21,7 +21,11 @@ def normalize_entity(df: DataFrame, entity: str, aliases: DataFrame | dict[str,
     if isinstance(aliases, dict):
         lookup = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
         return df.withColumn(entity, F.coalesce(F.try_element_at(lookup, clean), clean))
-    table = aliases.select(F.col("alias").alias("_alias"), F.col("canonical").alias("_canonical"))
+    # One row per alias, so that readings are not multiplied; an alias with two names is an error, not a choice.
+    clash = F.raise_error(F.concat(F.lit("alias with several canonical names: "), F.first("alias")))
+    table = aliases.groupBy(F.col("alias").alias("_alias")).agg(
+        F.when(F.min("canonical") == F.max("canonical"), F.min("canonical")).otherwise(clash.cast("string")).alias("_canonical")
+    )
     return (
         df.withColumn(entity, clean)
         .join(table, F.col(entity) == F.col("_alias"), "left")

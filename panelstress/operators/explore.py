@@ -27,14 +27,12 @@ def quality_audit(
         F.count(F.when(x.isNull() | F.isnan(x), 1)).alias("_missing"),
         F.count(F.when(F.abs(x) == float("inf"), 1)).alias("_inf"),
         F.count(F.when(outside(x, *bounds), 1)).alias("_outside"),
-        F.min(entity).alias("_entity"),
         F.min(date).alias("_lo"),
         F.max(date).alias("_hi"),
         *[f(F.col(c).cast("string")).alias(f"_{n}_{c}") for c in constants for n, f in (("min", F.min), ("max", F.max))],
     )
     total = per_key.agg(
         F.sum("_n").alias("row_count"),
-        F.countDistinct("_entity").alias("entity_count"),
         F.min("_lo").alias("start_date"),
         F.max("_hi").alias("end_date"),
         F.sum(F.col("_n") - 1).alias("duplicate_keys"),
@@ -43,6 +41,8 @@ def quality_audit(
         F.sum("_outside").alias("domain_violations"),
         *[f(f"_{n}_{c}").alias(f"_{n}_{c}") for c in constants for n, f in (("min", F.min), ("max", F.max))],
     )
+    # Counted on its own: one key may hold several entities.
+    total = total.withColumn("entity_count", df.agg(F.countDistinct(entity)).scalar())
     constant = F.array_compact(
         F.array(*[F.when(F.col(f"_min_{c}").eqNullSafe(F.col(f"_max_{c}")), F.lit(c)) for c in constants])
     ) if constants else F.array().cast("array<string>")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelstress.functions.numeric import rounded
@@ -58,13 +58,14 @@ def seasonal_persistence(
 
 @dataclass(frozen=True)
 class Moments:
-    """Sum of outer products of [1, inputs, targets]."""
+    """Sum of outer products of [1, inputs, targets], the latter two less ``shift``, which keeps them small."""
 
     gram: np.ndarray
     inputs: int
+    shift: np.ndarray | None = None
 
     def __add__(self, other: Moments) -> Moments:
-        return Moments(self.gram + other.gram, self.inputs)
+        return Moments(self.gram + other.gram, self.inputs, self.shift)
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,7 @@ class RidgeModel:
     intercept: np.ndarray  # (targets,)
 
 
-def partial_moments(inputs: int, targets: int):
+def partial_moments(inputs: int, targets: int, shift: np.ndarray):
     """Task-side reduction: one matrix product per split and Arrow batch, one row per split and partition."""
 
     def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,7 +84,7 @@ def partial_moments(inputs: int, targets: int):
             for split, rows in pdf.groupby("split"):
                 x = np.stack(rows["x"].to_numpy()).astype(float)
                 y = np.stack(rows["y"].to_numpy()).astype(float)
-                z = np.hstack([np.ones((len(rows), 1)), x, y])
+                z = np.hstack([np.ones((len(rows), 1)), np.hstack([x, y]) - shift])
                 totals[split] = totals.get(split, 0.0) + z.T @ z
         if totals:  # a task without rows has nothing to add
             yield pd.DataFrame({"split": list(totals), "g": [g.ravel() for g in totals.values()]})
@@ -94,10 +95,15 @@ def partial_moments(inputs: int, targets: int):
 def fit_moments(df: DataFrame, x: Column, y: Column, inputs: int, targets: int) -> dict[str, Moments]:
     """Gram matrix of the rows of each split: matrix products in the tasks, sums in one small aggregation.
 
-    Only (1 + inputs + targets)^2 numbers per split reach the driver, whatever the number of rows.
+    Only (1 + inputs + targets)^2 numbers per split reach the driver, whatever the number of rows. A first
+    aggregation gives the means; products of centred values do not cancel when a mean is large.
     """
     rows = df.select("split", x.cast("array<double>").alias("x"), y.cast("array<double>").alias("y"))
-    partial = rows.mapInPandas(partial_moments(inputs, targets), "split string, g array<double>")
+    means = rows.agg(
+        *[F.avg(F.col("x")[i]).alias(f"x{i}") for i in range(inputs)], *[F.avg(F.col("y")[i]).alias(f"y{i}") for i in range(targets)]
+    ).first()
+    shift = np.array([0.0 if v is None else v for v in means])
+    partial = rows.mapInPandas(partial_moments(inputs, targets, shift), "split string, g array<double>")
     cells = partial.select("split", F.posexplode("g").alias("i", "v")).groupBy("split", "i").agg(F.sum("v").alias("v"))
     size = 1 + inputs + targets
     grams: dict[str, np.ndarray] = {}
@@ -105,7 +111,7 @@ def fit_moments(df: DataFrame, x: Column, y: Column, inputs: int, targets: int)
         gram = np.zeros(size * size)
         gram[part["i"].to_numpy()] = part["v"].to_numpy()
         grams[split] = gram.reshape(size, size)
-    return {split: Moments(g, inputs) for split, g in grams.items()}
+    return {split: Moments(g, inputs, shift) for split, g in grams.items()}
 
 
 def solve_ridge(moments: Moments, alpha: float) -> RidgeModel:
@@ -114,12 +120,18 @@ def solve_ridge(moments: Moments, alpha: float) -> RidgeModel:
     n = moments.gram[0, 0]
     mean = moments.gram[0, 1:] / n
     centred = moments.gram[1:, 1:] - n * np.outer(mean, mean)
-    scale = np.sqrt(np.maximum(np.diag(centred)[:p], 0.0) / n)
-    scale[scale == 0.0] = 1.0
+    variance = np.maximum(np.diag(centred)[:p], 0.0) / n
+    full = mean if moments.shift is None else mean + moments.shift
+    # A variance within rounding of zero, for a mean of that size, is a constant column: it divides by one.
+    eps = np.finfo(float).eps
+    constant = variance <= n * eps * variance + (n * eps * full[:p]) ** 2
+    scale = np.where(constant, 1.0, np.sqrt(variance))
+    centred[:p][constant] = 0.0
+    centred[:, :p][:, constant] = 0.0
     a = centred[:p, :p] / np.outer(scale, scale)
     b = centred[:p, p:] / scale[:, None]
     w = np.linalg.solve(a + alpha * np.eye(p), b) / scale[:, None]
-    return RidgeModel(alpha, w, mean[p:] - mean[:p] @ w)
+    return RidgeModel(alpha, w, full[p:] - full[:p] @ w)
 
 
 def linear_predict(x: Column, model: RidgeModel) -> Column:
@@ -223,13 +235,46 @@ def tree_table(sequences: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
+# Fixed value: rounds without a smaller validation error after which boosting stops.
+TREE_PATIENCE = 15
+
+
+def rounds_with_patience(errors: list[float], patience: int = TREE_PATIENCE) -> int:
+    """Number of rounds to keep: the best one met before ``patience`` rounds pass without a better one."""
+    best, kept = float("inf"), 0
+    for i, error in enumerate(errors, 1):
+        if error < best:
+            best, kept = error, i
+        elif i - kept >= patience:
+            break
+    return kept
+
+
+def first_trees(model, rounds: int):
+    """The boosted model made of the first trees of another; the fit is not repeated."""
+    from pyspark.ml.regression import GBTRegressionModel
+
+    source = model._java_obj
+    trees, weights = source.trees(), source.treeWeights()
+    gateway = SparkSession.getActiveSession().sparkContext._gateway
+    some = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    numbers = gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
+        some[i], numbers[i] = trees[i], float(weights[i])
+    short = gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(source.uid(), some, numbers)
+    out = GBTRegressionModel(source.copyValues(short, gateway.jvm.org.apache.spark.ml.param.ParamMap()))
+    out._resetUid(source.uid())
+    out._transfer_params_from_java()
+    return out
+
+
 def fit_trees(
     sequences: DataFrame, spec: PanelSpec, candidates=TREE_CANDIDATES, rounds: int = 300, seed: int = 42
 ) -> tuple[list, list]:
     """One boosted model per horizon: (models on train, models refitted on train plus validation).
 
-    Rounds stop early on the validation rows; the setting with the smallest validation MAE is refitted
-    with the number of rounds it used.
+    Each setting is fitted once on the training rows; the squared error on the validation rows after every round
+    and the patience decide how many trees stay. The setting with the smallest validation MAE is refitted with that number.
     """
     table = tree_table(of_splits(sequences, "train", "val"), spec).withColumn("is_val", F.col("split") == "val").cache()
     train, val = table.where(~F.col("is_val")), table.where("is_val")
@@ -238,9 +283,9 @@ def fit_trees(
         label = f"label_{h}"
         best = None
         for setting in candidates:
-            learner = boosted_learner(setting, rounds, label, seed).setValidationIndicatorCol("is_val")
-            used = learner.fit(table).getNumTrees
-            model = boosted_learner(setting, used, label, seed).fit(train)
+            whole = boosted_learner(setting, rounds, label, seed).fit(train)
+            used = rounds_with_patience(whole.evaluateEachIteration(val, "squared"))
+            model = first_trees(whole, used)
             mae = model.transform(val).agg(F.avg(F.abs(F.col(f"{label}_hat") - F.col(label)))).first()[0]
             if best is None or mae < best[0]:
                 best = (mae, setting, used, model)

@@ -6,56 +6,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstress.functions.numeric import linear_quantile
+from panelstress.session import materialize
 
 _RESOLUTION = 512.0
 _UNIT = 1e6
 _BINS = 4096
-# Groups up to this many rows use the built-in percentile, whose buffer holds the group's distinct values.
-GROUP_LIMIT = 200_000
+_TOP = 1 << 40
+#: Distinct values that one task orders; bins that hold more are narrowed again.
+BIN_LIMIT = 100_000
 
 
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
-    extra: dict[str, Column] | None = None, limit: int = GROUP_LIMIT,
+    extra: dict[str, Column] | None = None, limit: int = BIN_LIMIT,
 ) -> DataFrame:
     """Linear-interpolation quantiles per key group, and further aggregates in ``extra``.
 
-    Groups are counted first. Those within ``limit`` go through one ordinary aggregation; larger ones are
-    split by :func:`split_quantiles`. When no group is large, which adaptive execution learns from the
-    counts, the second branch is dropped from the plan. Result: keys, n, extra columns, quantiles.
+    Result: keys, n, extra columns, quantiles.
     """
     extra = extra or {}
+    split = split_quantiles(df, keys, value, quantiles, limit)
+    if not extra:
+        return split
     rows = df.where(F.col(value).isNotNull())
-    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
-    order = list(quantiles)
-    others = [c.alias(name) for name, c in extra.items()]
-    small = (
-        rows.join(large, keys, "left_anti")
-        .groupBy(*keys)
-        .agg(
-            F.count(value).alias("n"), *others,
-            F.percentile(value, F.array(*[F.lit(quantiles[q]) for q in order])).alias("_p"),
-        )
-        .select(*keys, "n", *extra, *[F.col("_p")[i].alias(q) for i, q in enumerate(order)])
-    )
-    hot = rows.join(large, keys, "left_semi")
-    split = split_quantiles(hot, keys, value, quantiles)
-    if others:
-        split = split.join(hot.groupBy(*keys).agg(*others), keys)
-    return small.unionByName(split)
+    others = rows.groupBy(*keys).agg(*[c.alias(name) for name, c in extra.items()])
+    names = {k: f"_key_{k}" for k in keys}
+    others = others.withColumnsRenamed(names)
+    same = [F.col(k).eqNullSafe(F.col(names[k])) for k in keys]
+    joined = split.join(others, same) if keys else split.crossJoin(others)
+    return joined.select(*keys, "n", *extra, *quantiles)
 
 
 def _coarse_bucket() -> Column:
-    """Monotone logarithmic bucket of a value, about 0.2 % wide."""
+    """Monotone logarithmic bucket of a value, about 0.2 % wide; infinities and NaN have their own, NaN last."""
     v = F.col("_v")
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v) * _UNIT) * _RESOLUTION)).cast("long")
+    finite = (F.signum(v) * F.floor(F.log1p(F.abs(v) * _UNIT) * _RESOLUTION)).cast("long")
+    infinite = F.when(v > 0, F.lit(_TOP)).otherwise(F.lit(-_TOP))
+    return F.when(F.isnan(v), F.lit(2 * _TOP)).when(F.abs(v) == float("inf"), infinite).otherwise(finite)
 
 
 def _fine_bucket() -> Column:
-    """Equal bins between the smallest and largest value found in the coarse bucket."""
-    width = F.col("_hi") - F.col("_lo")
-    share = (F.col("_v") - F.col("_lo")) / F.nullif(width, F.lit(0.0))
-    return F.coalesce(F.floor(share * _BINS), F.lit(0)).cast("long")
+    """Equal bins between the smallest and largest value found in the bin before."""
+    share = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    return F.when(F.col("_lo") == F.col("_hi"), F.lit(0)).otherwise(F.coalesce(F.floor(share * _BINS), F.lit(0))).cast("long")
 
 
 def _wanted(probabilities: list[float], first: Column, last: Column) -> Column:
@@ -92,29 +85,41 @@ def _narrow(values: DataFrame, group: list[str], bucket: str, probabilities: lis
     histogram = histogram.withColumn("_before", F.col("_base") + F.sum("_bc").over(running) - F.col("_bc"))
     targets = histogram.where(_wanted(probabilities, F.col("_before"), F.col("_before") + F.col("_bc")))
     rows = values.select(*group, bucket, "_v", "_c")
-    return rows.join(targets.select(*group, bucket, "_before", "n", "_lo", "_hi"), [*group, bucket])
+    targets = targets.select(*group, bucket, "_before", "n", "_lo", "_hi").withColumnsRenamed({c: f"_t{c}" for c in (*group, bucket)})
+    same = [F.col(c).eqNullSafe(F.col(f"_t{c}")) for c in (*group, bucket)]
+    return rows.join(targets, same).drop(*[f"_t{c}" for c in (*group, bucket)])
 
 
-def split_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """The same for groups without a size bound, such as a few pooled groups over all rows.
+def split_quantiles(
+    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], limit: int = BIN_LIMIT
+) -> DataFrame:
+    """Quantiles of groups of any size, one way for all of them.
 
-    The group is first reduced to distinct values with counts, spread by (keys, value). Two histograms,
-    a logarithmic one and a linear one inside the buckets that matter, narrow the search; only the values of
-    the fine buckets that hold a wanted rank are ordered. Exact for any data. Result: keys, n, quantiles.
+    A group is first reduced to distinct values with counts, spread by (keys, value). A logarithmic histogram, and then
+    linear ones inside the bins that matter, narrow the search until no bin that holds a wanted rank has
+    more than ``limit`` distinct values; only those are ordered. Exact for any data: infinities keep their
+    place, NaN counts as the largest value, null keys form a group. Result: keys, n, quantiles.
     """
     names = keys or ["_all"]
     probabilities = sorted(set(quantiles.values()))
     values = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*([F.col(k) for k in keys] or [F.lit(0).alias("_all")]), F.col(value).alias("_v"))
+        .groupBy(*([F.col(k) for k in keys] or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", _coarse_bucket())
+        .withColumn("_b0", _coarse_bucket())
     )
-    coarse = _narrow(values, names, "_b", probabilities).withColumn("_f", _fine_bucket())
-    fine = _narrow(coarse, [*names, "_b"], "_f", probabilities)
+    bins = ["_b0"]
+    fine = materialize(_narrow(values, names, "_b0", probabilities), "quantile-bins")
+    while True:
+        wide = fine.where(F.col("_lo") != F.col("_hi")).groupBy(*names, *bins).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+        if wide.isEmpty():
+            break
+        bins.append(f"_b{len(bins)}")
+        binned = fine.withColumn(bins[-1], _fine_bucket())
+        fine = materialize(_narrow(binned, [*names, *bins[:-1]], bins[-1], probabilities), "quantile-bins")
 
     inside = (
-        Window.partitionBy(*names, "_b", "_f").orderBy("_v")
+        Window.partitionBy(*names, *bins).orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ordered = fine.withColumn("_last", F.col("_before") + F.sum("_c").over(inside)).withColumn(

@@ -46,8 +46,26 @@ WELL_COLUMNS = ("block", "village", "latitude", "longitude", "well_depth_m")
 
 
 def read_text_table(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, every column as text: coercion is ours, so bad text becomes NULL instead of an error."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """CSV with a header, every column as text: coercion is ours, so bad text becomes NULL instead of an error.
+
+    Files of one folder may order their columns differently: each file is read by its own header. The headers, one
+    line per file, are compared first; files with the same header are read together.
+    """
+    heads = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_row"))
+    first = heads.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "_row").alias("header"))
+    files: dict[str, list[str]] = {}
+    for row in first.groupBy("header").agg(F.collect_list("file_path").alias("files")).orderBy("header").collect():
+        files[row.header] = row.files
+    if len(files) <= 1:
+        return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    parts = [spark.read.option("header", True).option("inferSchema", False).csv(f) for f in files.values()]
+    names = set(parts[0].columns)
+    if any(set(p.columns) != names for p in parts):
+        raise ValueError(f"files of {path} have different columns: {sorted({tuple(p.columns) for p in parts})}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def prepare_stream(
@@ -125,7 +143,11 @@ def prepare_model_dataset(raw: DataFrame, spec: PanelSpec, validate: bool = True
     absent = [c for c in required if c not in raw.columns]
     if absent:
         raise KeyError(f"required columns are missing: {absent}")
-    others = [c for c in raw.columns if c not in {*required, "wsi", "WSI"}]
+    typed = {
+        **{c: F.col(c).try_cast("int").alias(c) for c in ("year", "month", "months_since_last_gw_obs", "groundwater_stale_flag")},
+        **{c: F.col(c).try_cast("boolean").alias(c) for c in ("ndvi_imputed", "lst_imputed")},
+    }
+    others = [typed[c] if c in typed else F.col(c) for c in raw.columns if c not in {*required, "wsi", "WSI"}]
     df = raw.select(
         spec.entity,
         calendar_date(spec.date).alias(spec.date),

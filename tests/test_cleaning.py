@@ -110,3 +110,29 @@ def test_calendar_splits_and_origins(spark, spec):
     assert gaps == ["2005-10-01", "2005-11-01", "2007-04-01", "2007-05-01"]
     flagged = calendar.add_origin_flags(grid, calendar.default_origin_ranges(spec), spec)
     assert flagged.agg(F.sum("is_forecast_origin_train"), F.sum("is_forecast_origin_val")).first()[:] == (2 * 33, 2 * 15)
+
+
+def test_alias_rows_do_not_multiply_readings(spark):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from panelstress.operators import clean
+
+    rows = spark.createDataFrame([("Old ",), ("Other",)], "entity string")
+    twice = spark.createDataFrame([("Old", "New"), ("Old", "New")], "alias string, canonical string")
+    assert sorted(r[0] for r in clean.normalize_entity(rows, "entity", twice).collect()) == ["New", "Other"]
+    clash = twice.unionByName(twice.withColumn("canonical", F.lit("Else")))
+    with pytest.raises(PySparkException):
+        clean.normalize_entity(rows, "entity", clash).collect()
+
+
+def test_files_with_other_column_orders_are_read_by_name(spark, tmp_path):
+    from panelstress.sources import readers
+
+    (tmp_path / "a.csv").write_text("entity,year,month,rainfall_mm\nA,2003,1,5.5\n")
+    (tmp_path / "b.csv").write_text("entity,month,year,rainfall_mm\nA,2,2003,6.5\n")
+    rows = readers.load_rainfall(spark, str(tmp_path)).orderBy("date").collect()
+    assert [(str(r.date), r.rainfall_mm) for r in rows] == [("2003-01-01", 5.5), ("2003-02-01", 6.5)]
+    (tmp_path / "c.csv").write_text("entity,month,year,depth\nA,2,2003,6.5\n")
+    with pytest.raises(ValueError):
+        readers.load_rainfall(spark, str(tmp_path))

@@ -61,3 +61,21 @@ def test_model_dataset_round_trip(spark, panel, spec, tmp_path):
     sinks.write_table(panel.where("date <> '2004-02-01'"), path)
     with pytest.raises(ValueError):
         readers.load_model_dataset(spark, path, spec)
+
+
+def test_one_key_may_hold_two_entities(spark):
+    from panelstress.operators import explore
+
+    df = spark.createDataFrame([("A", "k", "2003-01-01", 1.0), ("B", "k", "2003-01-01", 2.0)], "entity string, well string, date string, v double")
+    row = explore.quality_audit(df, "wells", "v", "entity", "date", keys=["well", "date"]).first()
+    assert (row.entity_count, row.duplicate_keys, row.row_count) == (2, 1, 2)
+
+
+def test_parity_notices_missing_rows_and_nulls(spark, spec):
+    from panelstress.operators import audit
+
+    left = spark.createDataFrame([("A", "2003-01-01", 1.0), ("A", "2003-02-01", None), ("A", "2003-03-01", 3.0)], "entity string, date string, wsi double")
+    right = spark.createDataFrame([("A", "2003-01-01", 1.0), ("A", "2003-02-01", 1.0)], "entity string, date string, wsi double")
+    row = audit.export_parity(left, right, spec).first()
+    assert not row["passed"] and row["measures"]["unmatched_keys"] == "1" and row["measures"]["mismatches"] == "wsi"
+    assert audit.export_parity(left, left, spec).first()["passed"]

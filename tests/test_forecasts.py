@@ -232,3 +232,24 @@ def test_diebold_mariano_against_numpy(spark, h, loss):
     assert got["p_value"] == pytest.approx(2 * (1 - NormalDist().cdf(abs(stat))), abs=1e-4)
     same = significance.diebold_mariano(df, "e1", "e1", "pos", h).first()
     assert (same["dm_stat"], same["p_value"]) == (0.0, 1.0)
+
+
+def test_patience_keeps_the_best_round_met_in_time():
+    assert forecast.rounds_with_patience([3.0, 2.0, 2.5, 1.0]) == 4
+    assert forecast.rounds_with_patience([3.0, 2.0] + [2.5] * 14 + [1.0]) == 17
+    assert forecast.rounds_with_patience([3.0, 2.0] + [2.5] * 15 + [1.0]) == 2
+    assert forecast.rounds_with_patience([]) == 0
+
+
+@pytest.mark.parametrize("constant, mean", [(0.1, 0.0), (0.3, 1e7), (7.7, 1e7)])
+def test_ridge_with_constant_and_large_columns(spark, constant, mean):
+    rng = np.random.default_rng(5)
+    x = np.stack([np.full(400, constant), mean + rng.normal(size=400), rng.normal(size=400)], axis=1)
+    y = (3.0 * (x[:, 1:2] - mean) - 2.0 * x[:, 2:3]) + 0.01 * rng.normal(size=(400, 1))
+    df = spark.createDataFrame([("train", a.tolist(), b.tolist()) for a, b in zip(x, y, strict=True)], "split string, x array<double>, y array<double>").repartition(5)
+    model = forecast.solve_ridge(forecast.fit_moments(df, F.col("x"), F.col("y"), 3, 1)["train"], 1.0)
+    z = (x - x.mean(axis=0)) / np.array([1.0, x[:, 1].std(), x[:, 2].std()])
+    z[:, 0] = 0.0
+    w = np.linalg.solve(z.T @ z + np.eye(3), z.T @ (y - y.mean()))[:, 0] / np.array([1.0, x[:, 1].std(), x[:, 2].std()])
+    assert abs(model.coefficients[0, 0]) < 1e-9
+    assert model.coefficients[1:, 0] == pytest.approx(w[1:], rel=1e-6)

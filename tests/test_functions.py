@@ -57,7 +57,7 @@ def test_numeric_coercion(spark):
     assert [str(r[0]) for r in dates.select(numeric.calendar_date("t")).collect()] == ["2003-02-28", "None", "None"]
 
 
-@pytest.mark.parametrize("limit", [0, 50, 10**9])
+@pytest.mark.parametrize("limit", [1, 50, 10**9])
 def test_quantiles_on_skewed_groups(spark, limit):
     """One key holds most rows; both branches and their mixture give the same exact values."""
     rng = np.random.default_rng(3)
@@ -81,3 +81,15 @@ def test_split_quantiles_without_keys(spark):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     row = split_quantiles(df, [], "v", {"m": 0.5, "hi": 0.999}).first()
     assert (row["n"], row["m"], row["hi"]) == (5000, pytest.approx(np.median(values)), pytest.approx(np.quantile(values, 0.999)))
+
+
+@pytest.mark.parametrize("limit", [1, 10**9])
+def test_quantiles_keep_infinities_nan_and_null_keys(spark, limit):
+    inf, nan = float("inf"), float("nan")
+    groups = {"up": [1.0, 2.0, inf, inf], "down": [-inf, 1.0, 2.0], "nan": [1.0, nan, nan, nan], None: [3.0, 3.0, 5.0], "one": [2.5]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    out = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", {"q": 0.75, "low": 0.25}, {"top": F.max("v")}, limit=limit).collect()}
+    assert set(out) == set(groups)
+    assert out["up"]["q"] == inf and out["down"]["q"] == 1.5 and out["one"]["q"] == 2.5
+    assert out["nan"]["q"] != out["nan"]["q"] and out[None]["q"] == 4.0 and out[None]["low"] == 3.0
+    assert out["down"]["low"] == -inf
