@@ -15,7 +15,7 @@ without labelled rows of both classes every score is the smoothed share of label
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +114,7 @@ def word_vectors(documents: DataFrame, text_col: str = "text") -> np.ndarray:
     index_dimension, index_sign = index_vectors()
     for k in range(NONZERO):  # a word's own index vector tells apart words with the same neighbours
         np.add.at(out, (np.arange(SLOTS), index_dimension[:, k]), 1e-9 * index_sign[:, k])
-    unit = out / np.linalg.norm(out, axis=1, keepdims=True)
+    unit = out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
     own = np.zeros((SLOTS, DIMENSIONS))
     for k in range(NONZERO):
         np.add.at(own, (np.arange(SLOTS), index_dimension[:, k]), index_sign[:, k] / np.sqrt(NONZERO))
@@ -196,8 +196,9 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 1) -> Network:
     net = Network(mean, scale, p[0], p[1], p[2], float(p[3][0]), 1.0)
     out, ys = net.logits(x[spare]), y[spare]
     grid = np.exp(np.linspace(np.log(0.5), np.log(5.0), 60))
-    loss = [np.mean(np.logaddexp(0, out / g) - ys * out / g) for g in grid]
-    return Network(*net.__dict__.values()) if not len(ys) else Network(mean, scale, p[0], p[1], p[2], float(p[3][0]), float(grid[int(np.argmin(loss))]))
+    loss = [np.sum(np.logaddexp(0, out / g) - ys * out / g) for g in grid]
+    temperature = float(grid[int(np.argmin(loss))]) if len(ys) else 1.0
+    return replace(net, temperature=temperature)
 
 
 def learn(documents: DataFrame, labels: DataFrame, vectors: np.ndarray, rows: int = SAMPLE_ROWS, target: str = "quality") -> Network:
