@@ -130,7 +130,7 @@ def i8(spark, sf_dir):
 
 
 _LAGS = list(range(-3, 7))
-_RESPONSES = ["soil_water_storage_mm", "ndvi", "lst_celsius"]
+_RESPONSES = ["soil_water_storage_mm", "ndvi", "lst_celsius", "surface_water_frequency", "groundwater_as_of_depth_m_bgl"]
 _LAG_COLUMNS = ", ".join(f"lead({v}, {k}) OVER w AS r{i}_{j}" for i, v in enumerate(_RESPONSES) for j, k in enumerate(_LAGS))
 _LAG_CORR = ", ".join(f"corr(spi_3, r{i}_{j})" for i in range(len(_RESPONSES)) for j in range(len(_LAGS)))
 
@@ -144,7 +144,7 @@ def i9(spark, sf_dir):
     return explore.lag_correlations(base.panel(spark, sf_dir), "spi_3", _RESPONSES, _LAGS, SPEC)
 
 
-_TREND = ["rainfall_mm", "lst_raw"]
+_TREND = list(_STAT_COLUMNS)
 cte("c_year", f"""
 SELECT variable, entity, CAST(year(date) AS INTEGER) AS y, avg(value) AS v FROM c_long WHERE variable IN ({', '.join(f"'{c}'" for c in _TREND)}) GROUP BY ALL HAVING count(value) > 0
 """)

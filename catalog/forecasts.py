@@ -261,21 +261,28 @@ def g7(spark, sf_dir):
 def _residual_sql(tag: str, inputs: str) -> str:
     preds = linear("f", "v", "wsi")
     return f"""SELECT sequence_id, {', '.join(f'{r(f'p[{i}]', 5)} AS p{i}' for i in (1, 2, 3))} FROM (
-  SELECT sequence_id, {preds} AS p FROM (SELECT *, {inputs} AS v FROM c_seq WHERE split = 'val') s, c_{tag}_fit f WHERE f.split = 'val')"""
+  SELECT sequence_id, {preds} AS p FROM (SELECT *, {inputs} AS v FROM c_seq WHERE split IN ('val', 'test')) s JOIN c_{tag}_fit f ON f.split = s.split)"""
+
+
+def _residual_prediction(rows, fit, kind):
+    """Validation rows by the model of the training rows, test rows by the refit."""
+    parts = [
+        forecast.ridge_predict(seq.of_splits(rows, split), kind, model, SPEC, residual=True)
+        for split, model in (("val", fit.train_model), ("test", fit.final_model))
+    ]
+    return _wide_prediction(parts[0].unionByName(parts[1]))
 
 
 @query("g8_residual_ridge", _residual_sql("res", FEATURES), digits=5)
 def g8(spark, sf_dir):
     rows, fit = _ridge(spark, sf_dir, "features", "residual")
-    return _wide_prediction(forecast.ridge_predict(seq.of_splits(rows, "val"), "features", fit.train_model, SPEC, residual=True))
+    return _residual_prediction(rows, fit, "features")
 
 
 @query("g9_residual_ridge_with_state", _residual_sql("rst", f"list_append({FEATURES}, wsi)"), digits=5)
 def g9(spark, sf_dir):
     rows, fit = _ridge(spark, sf_dir, "features_state", "residual")
-    return _wide_prediction(
-        forecast.ridge_predict(seq.of_splits(rows, "val"), "features_state", fit.train_model, SPEC, residual=True)
-    )
+    return _residual_prediction(rows, fit, "features_state")
 
 
 @query("g10_baseline_suite", f"""
