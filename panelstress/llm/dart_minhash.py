@@ -200,13 +200,18 @@ def components(links: DataFrame) -> DataFrame:
     Labels spread to the neighbours and are then replaced by the label of their label, so that the number of
     rounds grows with the logarithm of the longest chain. Each round is a written table.
     """
-    edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    ends = links.select(F.explode(F.array(
+        F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")),
+        F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"),
+    )).alias("e")).select("e.*")
+    edges = materialize(ends.distinct(), "edges")  # both ways, and each node with itself
+    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        moved = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("step"))
+        met = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(
+            F.min("comp").alias("step"), F.max(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("old")
+        )
         up = labels.select(F.col("node").alias("step"), F.col("comp").alias("top"))
-        new = materialize(moved.join(up, "step").select("node", "old", F.least("step", "top").alias("comp")), "labels")
+        new = materialize(met.join(up, "step").select("node", "old", F.least("step", "top").alias("comp")), "labels")
         labels = new.select("node", "comp")
         if new.where(F.col("old") != F.col("comp")).isEmpty():
             return labels
