@@ -37,13 +37,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+_WRITTEN: list[str] = []
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def stage_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A new place below the given folder, or the session's; remembered for :func:`remove_stages`."""
+    path = f"{(folder or shared_folder(spark)).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def remove_stages(spark: SparkSession, first: int = 0) -> int:
+    """Delete the stages that this process has written, from the given number on, when nothing reads them any more.
+
+    ``first`` is the value of :func:`stages_written` before the work whose stages may go. Returns how many went.
+    """
+    paths = _WRITTEN[first:]
+    del _WRITTEN[first:]
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
+def stages_written() -> int:
+    return len(_WRITTEN)
+
+
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, folder: str | None = None) -> DataFrame:
     """Write a stage as Parquet and read it back: it survives lost executors and keeps column pruning."""
-    path = stage_path(df.sparkSession, name)
+    path = stage_path(df.sparkSession, name, folder)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

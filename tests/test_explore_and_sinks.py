@@ -79,3 +79,13 @@ def test_parity_notices_missing_rows_and_nulls(spark, spec):
     row = audit.export_parity(left, right, spec).first()
     assert not row["passed"] and row["measures"]["unmatched_keys"] == "1" and row["measures"]["mismatches"] == "wsi"
     assert audit.export_parity(left, left, spec).first()["passed"]
+
+
+def test_stages_are_removed_when_the_caller_is_done(spark, tmp_path):
+    from panelstress import session
+
+    before = session.stages_written()
+    kept = session.materialize(spark.range(5).toDF("id"), "kept", folder=str(tmp_path / "a"))
+    assert kept.count() == 5 and any((tmp_path / "a/stages").iterdir())
+    assert session.remove_stages(spark, before) == 1
+    assert not any((tmp_path / "a/stages").iterdir()) and session.stages_written() == before
