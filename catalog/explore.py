@@ -63,17 +63,21 @@ def i2(spark, sf_dir):
     ])
 
 
+_COVERED = {"ndvi": "ndvi", "lst": "lst_celsius", "soil": "soil_water_layer_1", "surface_water": "surface_water_frequency"}
+
+
 @query("i3_entity_coverage", f"""
-SELECT h.entity, rainfall_total, rainfall_cp, ndvi_total, ndvi_cp, gw_total_records, gw_unique_wells, gw_monitored_months, gw_cp_monitored_months, gw_blocks FROM (
+SELECT h.entity, rainfall_total, rainfall_cp, ndvi_total, ndvi_cp, lst_total, lst_cp, soil_total, soil_cp, surface_water_total, surface_water_cp, gw_total_records, gw_unique_wells, gw_monitored_months, gw_cp_monitored_months, gw_blocks FROM (
   SELECT entity, count(*) AS rainfall_total, count(*) FILTER (WHERE date BETWEEN {START} AND {END}) AS rainfall_cp,
-    count(ndvi) AS ndvi_total, count(ndvi) FILTER (WHERE date BETWEEN {START} AND {END}) AS ndvi_cp FROM c_hist GROUP BY entity) h
+    {', '.join(f"count({c}) AS {n}_total, count({c}) FILTER (WHERE date BETWEEN {START} AND {END}) AS {n}_cp" for n, c in _COVERED.items())} FROM c_hist GROUP BY entity) h
 JOIN (SELECT entity, count(*) AS gw_total_records, count(DISTINCT p_brand) AS gw_blocks, count(DISTINCT l_partkey) AS gw_unique_wells, count(DISTINCT date_trunc('month', l_shipdate)) AS gw_monitored_months,
   count(DISTINCT date_trunc('month', l_shipdate)) FILTER (WHERE CAST(date_trunc('month', l_shipdate) AS DATE) BETWEEN {START} AND {END}) AS gw_cp_monitored_months
   FROM lineitem JOIN c_sup ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey GROUP BY entity) w ON w.entity = h.entity
 """)
 def i3(spark, sf_dir):
     h = base.history(spark, sf_dir)
-    streams = {"rainfall": h, "ndvi": h.where(F.col("ndvi_raw").isNotNull())}
+    present = {"ndvi": "ndvi_raw", "lst": "lst_raw", "soil": "soil_water_layer_1", "surface_water": "surface_water_frequency_raw"}
+    streams = {"rainfall": h, **{name: h.where(F.col(c).isNotNull()) for name, c in present.items()}}
     blocks = proxy.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("well_id"), F.col("p_brand").alias("block"))
     readings = proxy.well_readings(spark, sf_dir).join(blocks, "well_id")
     return explore.entity_coverage(streams, readings, "well_id", SPEC, block="block")
@@ -81,10 +85,13 @@ def i3(spark, sf_dir):
 
 @query("i4_missingness", """
 SELECT entity, month, count(*) - count(rainfall_mm) AS rainfall_missing, count(*) - count(ndvi) AS ndvi_missing, count(*) - count(lst_celsius) AS lst_missing,
-  3 * count(*) - count(rainfall_mm) - count(ndvi) - count(lst_celsius) AS total_missing FROM c_hist GROUP BY entity, month
+  count(*) - count(soil_water_layer_1) AS soil_missing, count(*) - count(surface_water_frequency) AS surface_water_missing,
+  5 * count(*) - count(rainfall_mm) - count(ndvi) - count(lst_celsius) - count(soil_water_layer_1) - count(surface_water_frequency) AS total_missing FROM c_hist GROUP BY entity, month
 """)
 def i4(spark, sf_dir):
-    return explore.missingness(base.history(spark, sf_dir), {"rainfall": "rainfall_mm", "ndvi": "ndvi_raw", "lst": "lst_raw"}, SPEC)
+    return explore.missingness(base.history(spark, sf_dir), {
+        "rainfall": "rainfall_mm", "ndvi": "ndvi_raw", "lst": "lst_raw", "soil": "soil_water_layer_1", "surface_water": "surface_water_frequency_raw"
+    }, SPEC)
 
 
 _STAT_COLUMNS = ["rainfall_mm", "soil_water_storage_mm", "ndvi_raw", "lst_raw", "surface_water_frequency"]

@@ -187,6 +187,7 @@ def d20(spark, sf_dir):
     return wells.well_sensitivity(grid(spark, sf_dir), base.well_aggregates(spark, sf_dir), SPEC)
 
 
+# Columns of the master panel.
 _MASTER = [
     "rainfall_mm", "rainfall_3m_mm", "spi_3", "spi_stress", *COMPONENTS, *proxy.SOIL_LAYERS, "soil_water_storage_mm",
     "soil_water_climatology_mm", "soil_water_anomaly_mm", "ndvi_raw", "ndvi", "ndvi_climatology", "ndvi_anomaly",
@@ -261,11 +262,14 @@ def e1(spark, sf_dir):
     return audit.measures_long(audit.calendar_and_shape(base.panel(spark, sf_dir), grid(spark, sf_dir), SPEC))
 
 
+_REQUIRED = ["ndvi_raw", "lst_raw", *COMPONENTS, "groundwater_stale_flag", "months_since_last_gw_obs", "wsi"]
+
+
 @query("e2_zero_nulls", unpivoted(
-    "zero_nulls_in_required_cols", "total_nulls = 0", ["ndvi_raw", "lst_raw", "wsi", "total_nulls"],
-    "(SELECT *, ndvi_raw + lst_raw + wsi AS total_nulls FROM (SELECT count(*) - count(ndvi_raw) AS ndvi_raw, count(*) - count(lst_raw) AS lst_raw, count(*) - count(wsi) AS wsi FROM c_panel))"))
+    "zero_nulls_in_required_cols", "total_nulls = 0", [*_REQUIRED, "total_nulls"],
+    f"(SELECT *, {' + '.join(_REQUIRED)} AS total_nulls FROM (SELECT {', '.join(f'count(*) - count({c}) AS {c}' for c in _REQUIRED)} FROM c_panel))"))
 def e2(spark, sf_dir):
-    return audit.measures_long(audit.zero_nulls(base.panel(spark, sf_dir), ["ndvi_raw", "lst_raw", "wsi"]))
+    return audit.measures_long(audit.zero_nulls(base.panel(spark, sf_dir), _REQUIRED))
 
 
 @query("e3_index_exactness", f"""

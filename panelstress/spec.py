@@ -21,11 +21,13 @@ CLASS_UPPER_BOUNDS = (
     ("Moderate Stress", 1.5),
     ("Severe Stress", None),
 )
+# Columns of the model dataset.
 MODEL_COLUMNS = (
     "date", "year", "month", "split", *COMPONENTS,
     "groundwater_stale_flag", "months_since_last_gw_obs", "ndvi_imputed", "lst_imputed",
     "wsi", "wsi_category",
 )
+# Layer depths, ridge penalties, event thresholds and constants of the panel.
 SOIL_LAYER_DEPTHS_MM = (70.0, 210.0, 720.0, 1890.0)
 RIDGE_ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
 EVENT_THRESHOLDS = (("stress", 0.5), ("severe", 1.5))
