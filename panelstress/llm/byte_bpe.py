@@ -180,12 +180,12 @@ def groups(lengths: list[int], size: int = GROUP_CHARS) -> Iterator[tuple[int, i
         yield lo, len(lengths)
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[tuple[str, int], Codec] = {}
 
 
 def _codec(shared, pattern: str) -> Codec:
-    """The codec of this worker: the table of pairs is built once per Python process, not per task."""
-    key = hash((shared.id if hasattr(shared, "id") else id(shared), pattern))
+    """The codec of this worker: the table of pairs is built once per Python process and vocabulary, not per task."""
+    key = (pattern, hash(frozenset(shared.value.items())))
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = Codec(shared.value, pattern)
