@@ -14,20 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelstress.llm import byte_bpe, dart_minhash, line_dedup, templates, toxicity
-from panelstress.llm.common import free_name, table
+from panelstress.llm.common import bounded_batches, free_name, table
 from panelstress.session import configure, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the threshold; lexicon and curve are learned from the labelled rows of the table."""
-    configure(spark)
+    configure(bounded_batches(spark))
     lexicon = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, lexicon)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go; documents that consist of them alone go with them."""
-    configure(spark)
+    configure(bounded_batches(spark))
     removed = free_name(docs, "_removed")
     rows = line_dedup.dedup_lines(docs, removed_col=removed)
     return rows.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(removed)
@@ -35,19 +35,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
-    configure(spark)
+    configure(bounded_batches(spark))
     return dart_minhash.keep_one_per_class(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    configure(spark)
+    configure(bounded_batches(spark))
     return templates.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the decoded bytes."""
-    configure(spark)
+    configure(bounded_batches(spark))
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
 

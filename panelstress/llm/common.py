@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a batch that a Python task holds at once; the default of 10,000 suits rows much shorter than texts.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of fewer rows: two Python tasks and an executor's heap have to fit in its memory together."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ from panelstress.llm import (
     toxicity,
     url_filters,
 )
-from panelstress.llm.common import held_out, table
+from panelstress.llm.common import bounded_batches, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +28,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(bounded_batches(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = sql.strip()
         return fn
