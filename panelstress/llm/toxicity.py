@@ -2,8 +2,8 @@
 
 Folding lower-cases, maps homoglyphs of other scripts to Latin letters, and reads digits and signs inside words as the
 letters they stand for. Terms are whole words or beginnings of words; exception phrases take a hit back. The
-lexicon and its weights (log odds) are learned from a bounded sample of labelled rows: candidates are all words and
-beginnings of words of toxic rows, chosen greedily until they cover these rows. The score is a logistic function of
+lexicon and its weights (log odds) are learned from a bounded sample of labelled rows: all words and beginnings of
+words that enough toxic rows hold and that stand far more often there. The score is a logistic function of
 the weight found, and of the weight per word, so that length counts.
 
 Defined results: null and empty texts have no hits and get the score of such texts; rows that repeat are scored
@@ -13,7 +13,6 @@ empty one; without labelled rows of both classes the lexicon is empty and every
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter, defaultdict
@@ -30,7 +29,6 @@ from panelstress.llm.common import held_out
 
 #: Bound of the sample of labelled rows that the lexicon and the curve are fitted on.
 SAMPLE_ROWS = 20_000
-MAX_TERMS = 2_000
 MIN_DOCS = 5
 MIN_LOG_ODDS = 3.0
 THRESHOLD = 0.3
@@ -76,11 +74,13 @@ class Lexicon:
         out = ahocorasick.Automaton()
         for term, weight in self.weights.items():
             out.add_word(term, (len(term), weight))
-        for phrase in self.exceptions:
-            folded = fold(phrase)
-            inside = [w for t, w in self.weights.items() if t in folded]
-            if inside:  # takes back what the terms inside add
-                out.add_word(folded, (len(folded), -sum(inside)))
+        if not self.weights:
+            return out
+        out.make_automaton()
+        inside = {p: _found(out, p)[0] for p in map(fold, self.exceptions)}
+        for phrase, weight in inside.items():
+            if weight > 0:  # takes back what the terms inside add
+                out.add_word(phrase, (len(phrase), -weight))
         out.make_automaton()
         return out
 
@@ -143,32 +143,32 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cover(rows: list[tuple[int, list[str]]], odds: dict[str, float]) -> list[str]:
-    """Terms chosen greedily by the number of toxic rows they newly cover; longer terms win ties."""
+def _without_idle_stems(rows: list[tuple[int, list[str]]]) -> set[str]:
+    """All terms of the rows but the beginnings of words that find no row which their longer terms do not find too.
+
+    Such a beginning adds nothing to its words on what is known, and would meet unrelated words elsewhere.
+    """
     holders = defaultdict(set)
     for i, terms in rows:
         for t in terms:
             holders[t].add(i)
-    heap = [(-len(s), -odds[t], -len(t), t) for t, s in holders.items()]
-    heapq.heapify(heap)
-    covered: set[int] = set()
-    chosen: list[str] = []
-    while heap and len(chosen) < MAX_TERMS:
-        gain, o, size, term = heapq.heappop(heap)
-        now = len(holders[term] - covered)
-        if now != -gain:
-            if now >= MIN_DOCS:
-                heapq.heappush(heap, (-now, o, size, term))
+    longer: dict[str, set[int]] = defaultdict(set)
+    kept: set[str] = set()
+    for term in sorted(holders, key=lambda t: (-len(t), t)):
+        if not term.endswith(" ") and holders[term] <= longer[term]:
             continue
-        if now < MIN_DOCS:
-            break
-        chosen.append(term)
-        covered |= holders[term]
-    return chosen
+        kept.add(term)
+        for n in _STEMS:
+            if n + 1 < len(term):
+                longer[term[: n + 1]] |= holders[term]
+    return kept
 
 
 def learn(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, target: str = "toxic", exceptions=EXCEPTIONS) -> Lexicon:
-    """Lexicon and curve. What reaches the driver is bounded by the sample: its rows, and one list of terms per row."""
+    """Lexicon and curve. What reaches the driver is bounded by the sample: its terms, and one list of terms per toxic row.
+
+    Every term that passes the filters on support and odds has its weight; how much the weight found tells is left to the curve.
+    """
     sample = training_rows(documents, labels, target, rows)
     totals = dict(sample.groupBy("y").count().collect())
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
@@ -181,9 +181,7 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, targ
         .withColumn("odds", F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0)))
         .where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("toxic") >= F.col("clean")))
     )
-    # The heaviest terms; the cover needs few, and the bound keeps the driver's part fixed.
-    top = counts.orderBy(F.desc("toxic"), "term").limit(20 * MAX_TERMS).collect()
-    odds = {r.term: r.odds for r in top}
+    odds = {r.term: float(r.odds) for r in counts.select("term", "odds").collect()}
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,8 +190,8 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, targ
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     marked = sample.where("y = 1").select("doc_id", "text").mapInArrow(terms_of, f"doc_id {kind}, terms array<string>")
-    chosen = _cover([(i, r.terms) for i, r in enumerate(marked.collect())], odds)
-    lexicon = Lexicon({t: float(odds[t]) for t in chosen}, tuple(exceptions), (0.0, 0.0, 0.0))
+    chosen = _without_idle_stems([(i, r.terms) for i, r in enumerate(marked.collect())])
+    lexicon = Lexicon({t: odds[t] for t in sorted(chosen)}, tuple(exceptions), (0.0, 0.0, 0.0))
     seen = hits(sample, lexicon, ["y"]).toArrow()
     x = features(seen["weight"].to_numpy(), seen["n_words"].to_numpy().astype(float))
     beta = _fit_curve(x, seen["y"].to_numpy().astype(float))

@@ -37,6 +37,22 @@ def test_toxicity_learns_terms_and_folds(spark, docs_of):
     assert toxicity.learn(docs, labels.limit(0)).weights == {}
 
 
+def test_toxic_words_that_stand_together_are_all_kept(spark, docs_of):
+    """Words seen only beside a stronger one count on their own; a stem that finds no other row than its word does not."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["sun", "tree", "road"], 30)) + (" idiot pathetic scum" if i % 5 == 0 else "") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    lexicon = toxicity.learn(docs_of(texts), labels)
+    assert set(lexicon.weights) == {" idiot ", " pathetic ", " scum "}
+    probe = docs_of([(1, "how pathetic"), (2, "you scum"), (3, "sympathetic to patho")])
+    assert {r.doc_id: r.n_hits for r in toxicity.score(probe, lexicon).collect()} == {1: 1, 2: 1, 3: 0}
+
+
+def test_exceptions_take_back_what_was_added_once():
+    lexicon = toxicity.Lexicon({" clown ": 4.0, " clow": 3.5, " scum ": 5.0}, toxicity.EXCEPTIONS, (0.0, 1.0, 1.0))
+    assert toxicity._found(lexicon.automaton(), toxicity.fold("a clown fish, you scum")) == (5.0, 2)
+
+
 def test_exception_phrases_take_hits_back():
     lexicon = toxicity.Lexicon({" clown ": 4.0, " trash ": 4.0}, toxicity.EXCEPTIONS, (0.0, 1.0, 1.0))
     found = toxicity._found(lexicon.automaton(), toxicity.fold("A clown fish in a trash can, you CL0WN"))
