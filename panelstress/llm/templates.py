@@ -2,9 +2,10 @@
 
 Texts become templates: numbers, names (capitalised words inside a sentence) and units turn into typed placeholders,
 other words into their lower-cased letters. Windows of template words are hashed and joined between benchmark items and
-documents. What stands in the placeholders is then compared along each alignment: a value of the item must always
-meet the same value of the document, and the other way round. That catches questions asked again with other
-numbers or names, while chance meetings of placeholders fall out.
+documents. What stands in the placeholders is then compared along each alignment: a value of the item has to meet one
+value of the document, and the other way round; windows with a slot against that map fall out, unless they are the
+item's own words throughout. That catches questions asked again with other numbers or names, while chance meetings of
+placeholders fall out.
 
 The corpus side emits only windows whose hash is set in a bitmap of fixed size made from the benchmark, whatever
 its size; the join itself is left to Spark.
@@ -173,6 +174,43 @@ def _bitmap(items: DataFrame) -> np.ndarray:
     return out
 
 
+def consistent(found: list[tuple[int, list[tuple[int, int]]]]) -> list[int]:
+    """Numbers of the windows of one alignment that keep to a one-to-one map of the item's values to the document's.
+
+    The map takes the pairs that most windows hold, the first of equals first. A window falls out for a slot against the
+    map, unless all its values are the item's own.
+    """
+    if all(i == d for _, pairs in found for i, d in pairs):
+        return list(range(len(found)))
+    held: dict[tuple[int, int], list[int]] = {}
+    for at, pairs in found:
+        for pair in set(pairs):
+            held.setdefault(pair, []).append(at)
+    taken_item, taken_doc, good = set(), set(), set()
+    for i, d in sorted(held, key=lambda p: (-len(held[p]), min(held[p]), p)):
+        if i not in taken_item and d not in taken_doc:
+            taken_item.add(i)
+            taken_doc.add(d)
+            good.add((i, d))
+    return [n for n, (_, pairs) in enumerate(found) if all(p in good for p in pairs) or all(i == d for i, d in pairs)]
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of the consistent windows of every alignment, and whether one of them holds other values than the item."""
+    for batch in batches:
+        places, changed = [], []
+        for found in batch.column("found"):
+            rows = [(w["at"], [(p["i"], p["d"]) for p in w["pairs"]]) for w in found.as_py()]
+            good = [rows[n] for n in consistent(rows)]
+            places.append([at for at, _ in good])
+            changed.append(any(i != d for _, pairs in good for i, d in pairs))
+        columns = batch.columns[:-1]
+        yield pa.RecordBatch.from_arrays(
+            [*columns, pa.array(places, pa.list_(pa.int64())), pa.array(changed, pa.bool_())],
+            [*batch.schema.names[:-1], "places", "changed"],
+        )
+
+
 def leaks(
     documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE,
@@ -190,24 +228,16 @@ def leaks(
     ).distinct()
     joined = found.join(wanted, "h").withColumn("shift", F.col("place") - F.col("item_place"))
     keys = ["key", "fp", "item", "item_fp"]
-    # Along one alignment each value of the item must meet one value of the document, and the reverse.
-    values = F.explode(F.arrays_zip("item_values", "values")).alias("v")
-    slots = joined.select(*keys, "shift", values).where("v.item_values <> 0").select(*keys, "shift", "v.*")
-    checked = slots.groupBy(*keys, "shift").agg(
-        F.countDistinct("item_values").alias("a"), F.countDistinct("values").alias("b"),
-        F.countDistinct("item_values", "values").alias("ab"), F.max(F.col("item_values") != F.col("values")).alias("changed"),
-    )
-    runs = joined.groupBy(*keys, "shift").agg(F.collect_set("item_place").alias("places"))
+    pairs = F.filter(F.arrays_zip(F.col("item_values").alias("i"), F.col("values").alias("d")), lambda v: v["i"] != 0)
+    # One row per alignment; it holds at most one window per place of the item, however often the rows repeat.
+    runs = joined.groupBy(*keys, "shift").agg(F.collect_set(F.struct(F.col("item_place").alias("at"), pairs.alias("pairs"))).alias("found"))
+    kinds = ", ".join(f"{c} {runs.schema[c].dataType.simpleString()}" for c in keys)
+    judged = runs.select(*keys, "found").mapInArrow(_judge, f"{kinds}, places array<bigint>, changed boolean")
 
     def same(left: DataFrame, right: DataFrame, on: list[str]):
         return [left[c].eqNullSafe(right[c]) for c in on]
 
-    judged = runs.join(checked, same(runs, checked, [*keys, "shift"]), "left").select(
-        *[runs[c] for c in keys], "places", F.coalesce(F.col("a") == F.col("ab"), F.lit(True)).alias("left_ok"),
-        F.coalesce(F.col("b") == F.col("ab"), F.lit(True)).alias("right_ok"), F.coalesce("changed", F.lit(False)).alias("changed"),
-    )
-    consistent = judged.where("left_ok AND right_ok")
-    per_item = consistent.groupBy(*keys).agg(
+    per_item = judged.groupBy(*keys).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_found"), F.max("changed").alias("changed")
     )
     out = per_item.join(sizes, same(per_item, sizes, ["item", "item_fp"])).where(F.col("n_found") >= F.lit(coverage) * F.col("n_windows"))

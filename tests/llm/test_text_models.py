@@ -116,6 +116,18 @@ def test_templates_catch_changed_numbers_and_check_slots(spark, docs_of):
     assert templates.leaks(docs.limit(0), bench).count() == 0 and templates.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_templates_void_windows_and_not_alignments(spark, docs_of):
+    """One number used for two things, new numbers that coincide, and a copy with one of two equal numbers changed."""
+    two = "Anyone who has 2 apples and wants to share them with 2 friends should first ask how many pieces each of them would like to get"
+    other = two.replace("2 friends", "4 friends")
+    docs = docs_of([(1, two.replace("2 a", "3 a").replace("2 f", "5 f")), (2, other.replace("2 a", "5 a").replace("4 f", "5 f")), (3, two.replace("2 f", "6 f")), (4, "clean text " * 20)])
+    found = templates.leaks(docs, spark.createDataFrame([(1, two), (2, other)], "item_id bigint, text string")).collect()
+    assert {r.doc_id for r in found if r.item_id == 1} >= {1, 3} and (2, 2) in {(r.doc_id, r.item_id) for r in found}
+    assert {r.doc_id for r in templates.drop_leaks(docs, spark.createDataFrame([(1, two), (2, other)], "item_id bigint, text string")).collect()} == {4}
+    # All windows but those with the odd slot stay, and windows equal to the item stay whatever the map says.
+    assert templates.consistent([(0, [(2, 3)]), (1, [(2, 3), (7, 7)]), (2, [(2, 5)]), (3, [(2, 2)])]) == [0, 1, 3]
+
+
 def test_surrogates(docs_of):
     texts = [
         (1, "Write to ann.b@mail.example.com or +1 (555) 555-0199, from 10.1.2.3."), (2, "again ann.b@mail.example.com; card 4111 1111 1111 1111"),
