@@ -128,6 +128,22 @@ def test_templates_void_windows_and_not_alignments(spark, docs_of):
     assert templates.consistent([(0, [(2, 3)]), (1, [(2, 3), (7, 7)]), (2, [(2, 5)]), (3, [(2, 2)])]) == [0, 1, 3]
 
 
+def test_templates_find_items_of_placeholders_and_under_titles(spark, docs_of):
+    title = "What Is The Capital City Of France Today And Why"
+    sums = "Compute 12 + 7, 19 - 4, 3 x 5, 18 / 6, 44 and 81, then 5 and 17 and 23"
+    short = "Where does the old river end"
+    names = "Anna Maria Paul Peter"
+    bench = spark.createDataFrame(list(enumerate([title, sums, short, names])), "item_id int, text string")
+    docs = docs_of([
+        (1, f"some text then {title} and on"), (2, f"Quiz\n{sums} end"), (3, f"Exercise 5\n\n{short}"), (4, f"with {names} here"),
+        (5, f'He said "stop." {short}'), (6, "The Big Book Of Small Towns Today And Then"), (7, "Compute 13 + 8, 20 - 5, 4 x 6, 19 / 7, 45 and 82 only"), (8, "from Carl Otto Fritz Hans"),
+    ])
+    got = {(r.doc_id, r.item_id) for r in templates.leaks(docs, bench).collect()}
+    assert got >= {(1, 0), (2, 1), (3, 2), (4, 3), (5, 2)} and not {d for d, _ in got} & {6, 8}
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in ('it ends." What now', "it ends.” What now", "it ends. What now", "the firm etc., What now")]
+    assert [templates.canonical(r, np.array([0, len(r)]))[2][-2] != 0 for r in raw] == [False, False, False, True]
+
+
 def test_surrogates(docs_of):
     texts = [
         (1, "Write to ann.b@mail.example.com or +1 (555) 555-0199, from 10.1.2.3."), (2, "again ann.b@mail.example.com; card 4111 1111 1111 1111"),
