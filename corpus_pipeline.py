@@ -49,7 +49,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the decoded bytes."""
     configure(bounded_batches(spark))
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
+    return byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, ids_array=True)
 
 
 STAGES = [

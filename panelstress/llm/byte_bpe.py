@@ -220,7 +220,9 @@ def encode_documents(
                 ]
                 names = ["_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
                 if ids_array:
-                    columns.append(pa.array([[int(i) for i in x.split(",")] if x else [] for x in encoded], pa.list_(pa.int32())))
+                    flat = np.fromstring(",".join(x for x in encoded if x), dtype=np.int32, sep=",")
+                    ends = np.concatenate([[0], np.cumsum(columns[1].to_numpy())]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -228,3 +230,18 @@ def encode_documents(
     kind = source.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
     return source.mapInArrow(run, schema + (", ids array<int>" if ids_array else "")).withColumnRenamed("_id", id_col)
+
+
+def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """id and decoded: the bytes that the ids of every row stand for; null ids give null, an id outside the ranks is an error."""
+    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = {rank: piece for piece, rank in shared.value.items()}
+        for batch in batches:
+            decoded = [b"".join(map(pieces.__getitem__, x.as_py())) if x.is_valid else None for x in batch.column("_ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(decoded, pa.binary())], ["_id", "decoded"])
+
+    source = encoded.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids"))
+    kind = source.schema["_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"_id {kind}, decoded binary").withColumnRenamed("_id", id_col)

@@ -6,6 +6,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from panelstress.llm import byte_bpe, language_id, pii, quality_classifier, templates, toxicity
 from panelstress.llm.common import held_out
 
@@ -21,6 +22,14 @@ def test_bpe_equals_the_library(docs_of, odd_texts):
     assert byte_bpe.encode_documents(docs_of([]), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_pipeline_returns_ids_that_decode_to_the_texts(spark, docs_of, odd_texts):
+    rows = corpus_pipeline.tokenize(spark, docs_of(odd_texts + [(20, "é日本 don't stop")]), "")
+    got = byte_bpe.decode_documents(rows, RANKS).collect()
+    assert sorted((str(r.doc_id), bytes(r.decoded).decode()) for r in got) == sorted((str(i), t or "") for i, t in odd_texts + [(20, "é日本 don't stop")])
+    none = spark.createDataFrame([(1, None), (2, [])], "doc_id int, ids array<int>")
+    assert {r.doc_id: r.decoded for r in byte_bpe.decode_documents(none, RANKS).collect()} == {1: None, 2: b""}
+
+
 def test_toxicity_learns_terms_and_folds(spark, docs_of):
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(["sun", "tree", "road", "clownfish"], 30)) + (" you idiot here" if i % 5 == 0 else "") for i in range(400)]
