@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelstress.llm import (
     byte_bpe,
     dart_minhash,
+    filter_audit,
     language_id,
     line_dedup,
     pii,
@@ -110,3 +111,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_url_filters", url_filters.OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op13_filter_interactions", filter_audit.OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filter_audit.failure_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(masks, filter_audit.FILTERS)
