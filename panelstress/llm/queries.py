@@ -14,9 +14,11 @@ from panelstress.llm import (
     filter_audit,
     language_id,
     line_dedup,
+    periodic_runs,
     pii,
     quality_classifier,
     quality_rules,
+    sharding,
     templates,
     toxicity,
     url_filters,
@@ -113,6 +115,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = periodic_runs.with_planted_repeats(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.find_runs(texts))
+
+
+@query("op12_kd_shards")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.kd_shards(table(spark, sf_dir, "documents"), shards=24)
+    return shards.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @query("op13_filter_interactions", filter_audit.OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     masks = filter_audit.failure_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
