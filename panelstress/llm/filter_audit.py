@@ -21,7 +21,6 @@ by slices of documents; an empty table gives no rows; other columns are not carr
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -172,6 +171,8 @@ FEW_WORDS = 200
 MIN_DISTINCT_PERCENT = 50
 MAX_CAPITAL_PERCENT = 3
 SIGNS = b"#$%&*|"
+#: Column "deal" of rows with an id, and the parts to which rows without one are dealt.
+_HAS_ID, _NULL_PARTS = -1, 1024
 COPY_BIT = 1 << FILTERS.index("E")
 
 _CAPITAL = np.zeros(256, dtype=bool)
@@ -233,29 +234,27 @@ def failure_masks(
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(
         *[F.coalesce(F.max((F.col(source) == 1).cast("int")), F.lit(0)).alias(name) for source, name in (("quality", "good"), ("toxic", "toxic"))]
     )
-    # Rows without an id have no labels; kept out of the join they are not dealt to one task.
-    unlabelled = [F.lit(0).alias("good"), F.lit(0).alias("toxic")]
-    joined = masked.where(F.col("id").isNotNull()).join(marks, "id", "left").na.fill(0, ["good", "toxic"])
-    return copies_marked(joined, masked.where(F.col("id").isNull()).select("*", *unlabelled))
+    # Rows without an id have no labels; they are dealt by their text, not all to one task.
+    dealt = masked.withColumn("deal", F.when(F.col("id").isNull(), F.pmod("h", F.lit(_NULL_PARTS))).otherwise(F.lit(_HAS_ID)))
+    return copies_marked(dealt.join(marks.withColumn("deal", F.lit(_HAS_ID)), ["id", "deal"], "left").na.fill(0, ["good", "toxic"]))
 
 
-def copies_marked(rows: DataFrame, without_id: DataFrame) -> DataFrame:
-    """Bit E set and rows counted; ``rows`` have an id, ``without_id`` take no part in copies."""
-    text, group = ["h", "c", "size"], ["part", "mask", "good", "toxic"]
+def copies_marked(rows: DataFrame) -> DataFrame:
+    """Bit E set and rows counted; rows without an id, told by ``deal``, take no part in copies."""
+    text, group = ["h", "c", "size", "deal"], ["part", "mask", "good", "toxic"]
     by_id = rows.groupBy(*text, *group, "id").agg(F.count(F.lit(1)).alias("n"))
     by_group = by_id.groupBy(*text, *group).agg(F.sum("n").alias("n"), F.min(F.struct("id", "n")).alias("first"))
     first = F.min("first.id").over(Window.partitionBy(*text))
     # Of a text's rows in this part, those with its smallest id are no copies.
-    own = F.when(F.col("first.id") == first, F.col("first.n")).otherwise(F.lit(0))
+    own = F.when(F.col("deal") != _HAS_ID, F.col("n")).when(F.col("first.id") == first, F.col("first.n")).otherwise(F.lit(0))
     split = by_group.select(*group, "n", own.alias("own"))
     as_copy = F.col("mask").bitwiseOR(F.lit(COPY_BIT))
     both = split.select(
         "part", "good", "toxic",
         F.explode(F.array(F.struct(F.col("mask").alias("mask"), F.col("own").alias("n")), F.struct(as_copy.alias("mask"), (F.col("n") - F.col("own")).alias("n")))).alias("x"),
     ).select("part", "good", "toxic", F.col("x.mask").alias("mask"), F.col("x.n").alias("n"))
-    rest = without_id.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).select("part", "good", "toxic", "mask", "n")
     weights = [F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("good")).alias("good"), F.sum(F.col("n") * F.col("toxic")).alias("toxic")]
-    return reduce(DataFrame.unionByName, [both, rest]).groupBy("part", "mask").agg(*weights)
+    return both.groupBy("part", "mask").agg(*weights)
 
 
 OP13_SQL = r"""
