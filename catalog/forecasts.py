@@ -130,7 +130,7 @@ def f10(spark, sf_dir):
 
 BACKTEST_START, BACKTEST_END = "1999-01-01", "2001-04-01"
 ORIGINS = backtest.month_range(BACKTEST_START, BACKTEST_END)
-_QUARTERS = backtest.month_range("1997-06-01", BACKTEST_END, 6)
+_ALL_ORIGINS = backtest.month_range("1997-06-01", BACKTEST_END)
 
 
 def _z(source: str) -> str:
@@ -141,14 +141,14 @@ def _z(source: str) -> str:
 
 
 cte("c_expand", f"""
-SELECT origin, entity, date, wsi, {_z('c_panel')} FROM c_panel JOIN (SELECT unnest([{', '.join(map(D, _QUARTERS))}]) AS origin) ON date <= origin
+SELECT origin, entity, date, wsi, {_z('c_panel')} FROM c_panel JOIN (SELECT unnest([{', '.join(map(D, _ALL_ORIGINS))}]) AS origin) ON date <= origin
 WINDOW g AS (PARTITION BY origin, entity)
 """)
 
 
 @query("f11_expanding_z", f"SELECT origin, entity, date, {rs('wsi', *COMPONENTS)} FROM c_expand")
 def f11(spark, sf_dir):
-    return seq.expanding_z(base.panel(spark, sf_dir), _QUARTERS, SPEC)
+    return seq.expanding_z(base.panel(spark, sf_dir), _ALL_ORIGINS, SPEC)
 
 
 @query("f12_causal_sequences", f"""
@@ -160,7 +160,7 @@ FROM (SELECT origin, entity, date AS forecast_origin, flatten(list([{', '.join(f
 WHERE rn >= 12 AND (forecast_origin = origin OR forecast_origin <= origin - INTERVAL 3 MONTH)
 """, digits=4)
 def f12(spark, sf_dir):
-    rows = seq.causal_sequences(base.panel(spark, sf_dir), _QUARTERS, SPEC)
+    rows = seq.causal_sequences(base.panel(spark, sf_dir), _ALL_ORIGINS, SPEC)
     flat = seq.flat_inputs()
     return rows.select(
         "origin", "entity", "forecast_origin", "role",
@@ -225,12 +225,18 @@ def g4(spark, sf_dir):
     return _wide_prediction(forecast.ridge_predict(seq.of_splits(rows, "val"), "features", fit.train_model, SPEC))
 
 
+@base._stage("tree-forecasts")
+def tree_forecasts(spark, sf_dir):
+    """Long predictions of the boosted trees: three settings per horizon with patience, then the refit."""
+    parts, _ = baselines.tree_suite(base.sequences(spark, sf_dir), SPEC)
+    out = [forecast.long_predictions(rows, "Boosted_Trees", kind, SPEC) for kind, rows in parts.items()]
+    return out[0].unionByName(out[1])
+
+
 @query("g5_boosted_trees")
 def g5(spark, sf_dir):
-    """Three boosted models on all training rows; early stopping on all validation rows."""
-    rows = base.sequences(spark, sf_dir)
-    fitted, _ = forecast.fit_trees(rows, SPEC, candidates=forecast.TREE_CANDIDATES[:1], rounds=10)
-    return _wide_prediction(forecast.tree_predict(seq.of_splits(rows, "val"), fitted, SPEC))
+    """Forecasts of the validation rows by the setting chosen per horizon, and of the test rows by its refit."""
+    return tree_forecasts(spark, sf_dir)
 
 
 @query("g6_alpha_selection", f"""
@@ -295,6 +301,13 @@ def g10(spark, sf_dir):
     )
 
 
+@query("g10_five_models")
+def g10_all(spark, sf_dir):
+    """The suite with the boosted trees."""
+    rows = base.predictions(spark, sf_dir).unionByName(tree_forecasts(spark, sf_dir))
+    return rows.groupBy("evaluation_type", "model", "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg("absolute_error").alias("mae"))
+
+
 @query("g11_champion", f"""
 SELECT model AS champion, {r('mae', 5)} AS mean_val_mae, {r('rmse', 5)} AS mean_val_rmse FROM (
   SELECT model, round(avg(mae), 5) AS mae, round(avg(rmse), 5) AS rmse FROM (
@@ -358,12 +371,23 @@ def backtest_rows(spark, sf_dir):
     return backtest.rolling_backtest(base.panel(spark, sf_dir), ORIGINS, SPEC)
 
 
+@base._stage("backtest-trees")
+def backtest_tree_rows(spark, sf_dir):
+    return backtest.backtest_trees(base.panel(spark, sf_dir), ORIGINS, SPEC)
+
+
 @query("g12_backtest", f"SELECT {_BT_COLUMNS}, {rs(*_BT_VALUES, digits=5)} FROM c_bt", digits=5)
 def g12(spark, sf_dir):
-    rows = backtest.rolling_backtest(base.panel(spark, sf_dir), ORIGINS, SPEC)
-    return rows.where("model <> 'Ridge_Regression'")
+    """The models that SQL can fit; the others are g12_backtest_ridge and g12_backtest_trees."""
+    return backtest_rows(spark, sf_dir).where("model <> 'Ridge_Regression'")
 
 
 @query("g12_backtest_ridge")
 def g12b(spark, sf_dir):
-    return backtest_rows(spark, sf_dir).where("model = 'Ridge_Regression'")
+    rows = backtest.rolling_backtest(base.panel(spark, sf_dir), ORIGINS, SPEC)
+    return rows.where("model = 'Ridge_Regression'")
+
+
+@query("g12_backtest_trees")
+def g12c(spark, sf_dir):
+    return backtest_tree_rows(spark, sf_dir)

@@ -9,15 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstress.operators.forecast import (
-    Moments,
-    boosted_learner,
-    error_columns,
-    solve_ridge,
-    tree_predict,
-    tree_table,
-)
+from panelstress.operators.boosting import Booster, TreeSetting, fit_boosters, predict_boosted
+from panelstress.operators.forecast import Moments, error_columns, solve_ridge, tree_rows
 from panelstress.operators.sequences import causal_sequences, flat_inputs
+from panelstress.session import materialize
 from panelstress.spec import INDEX, PanelSpec
 
 
@@ -195,10 +190,15 @@ def backtest_long(rows: DataFrame, forecasts: dict, spec: PanelSpec) -> DataFram
     )
 
 
+# Setting and rounds of the backtest's tree model; the other values are the booster's defaults.
+BACKTEST_TREES = TreeSetting(max_depth=3, step=0.08)
+BACKTEST_ROUNDS = 50
+
+
 def rolling_backtest(
-    panel: DataFrame, origins: list[str], spec: PanelSpec, alpha: float = 1.0, models: tuple[str, ...] = ("ridge",)
+    panel: DataFrame, origins: list[str], spec: PanelSpec, alpha: float = 1.0, models: tuple[str, ...] = ("ridge",), rounds: int = BACKTEST_ROUNDS
 ) -> DataFrame:
-    """Persistence, seasonal persistence and, unless left out, both ridge models at every origin.
+    """Persistence, seasonal persistence and, as named, both ridge models and boosted trees at every origin.
 
     The model table has one row per origin (at most one per calendar month), so it is broadcast.
     """
@@ -217,32 +217,22 @@ def rolling_backtest(
         lags = F.transform("wsi_history", lambda v: v.cast("float").cast("double"))
         forecasts["WSI_Autoregression"] = _apply(lags, "history")
         forecasts["Ridge_Regression"] = _apply(flat_inputs(), "features")
-    return backtest_long(rows, forecasts, spec)
+    out = backtest_long(rows, forecasts, spec)
+    return out.unionByName(backtest_trees(panel, origins, spec, rounds)) if "trees" in models else out
 
 
-def backtest_trees(
-    panel: DataFrame, origins: list[str], spec: PanelSpec, rounds: int = 50, seed: int = 42
-) -> DataFrame:
-    """Boosted trees at each origin. One distributed fit per origin and horizon, so origins should be few."""
-    # Settings of the backtest's tree model.
-    setting = {"max_depth": 3, "step": 0.08, "rows": 1.0, "columns": 1.0}
-    truth = current_windows(panel, origins, spec).select(spec.entity, "forecast_origin", "actual")
-    out = None
-    for origin in origins:
-        windows = causal_sequences(panel, [origin], spec)
-        train = windows.where("role = 'train'").withColumn("split", F.lit("train"))
-        models = fit_fixed_trees(train, spec, setting, rounds, seed)
-        current = windows.where("role = 'current'").withColumn("y", F.array_repeat(F.lit(0.0), spec.horizon))
-        part = tree_predict(current, models, spec).select(spec.entity, "forecast_origin", "pred")
-        out = part if out is None else out.unionByName(part)
-    rows = out.join(truth, [spec.entity, "forecast_origin"])
-    return backtest_long(rows, {"Boosted_Trees": F.col("pred")}, spec)
-
-
-def fit_fixed_trees(train: DataFrame, spec: PanelSpec, setting: dict, rounds: int, seed: int) -> list:
-    """One model per horizon with fixed settings and no early stopping."""
-    table = tree_table(train, spec).cache()
-    models = [boosted_learner(setting, rounds, f"label_{h}", seed).fit(table) for h in range(1, spec.horizon + 1)]
-    table.unpersist()
-    return models
+def backtest_trees(panel: DataFrame, origins: list[str], spec: PanelSpec, rounds: int = BACKTEST_ROUNDS, seed: int = 42) -> DataFrame:
+    """Boosted trees at every origin, on the windows whose targets it knows.
 
+    The models of all origins and horizons grow together: the origin is the booster's group, so the number of passes is rounds
+    times depth however many origins there are. Origins without training windows have no forecasts.
+    """
+    dates = F.array(*[F.lit(o).cast("date") for o in origins])
+    windows = materialize(causal_sequences(panel, origins, spec).withColumn("group", (F.array_position(dates, F.col("origin")) - 1).cast("int")), "backtest-windows")
+    rows = tree_rows(windows.where("role = 'train'"), spec, F.lit(False), F.col("group"))
+    boosters = [Booster(g, h, BACKTEST_TREES) for g in range(len(origins)) for h in range(spec.horizon)]
+    models = fit_boosters(rows, boosters, rounds, seed=seed)
+    current = windows.where("role = 'current'").select("group", spec.entity, "forecast_origin", "x")
+    pred = predict_boosted(current, models, flat_inputs(), F.col("group")).select(spec.entity, "forecast_origin", "pred")
+    truth = current_windows(panel, origins, spec).select(spec.entity, "forecast_origin", "actual")
+    return backtest_long(pred.join(truth, [spec.entity, "forecast_origin"]), {"Boosted_Trees": F.col("pred")}, spec)

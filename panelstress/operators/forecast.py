@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelstress.functions.numeric import rounded
+from panelstress.operators.boosting import BoostedModel, Booster, TreeSetting, fit_boosters, predict_boosted
 from panelstress.operators.sequences import flat_inputs, of_splits
 from panelstress.spec import INDEX, RIDGE_ALPHAS, PanelSpec
 
@@ -209,99 +210,66 @@ def ridge_predict(sequences: DataFrame, kind: str, model: RidgeModel, spec: Pane
 
 # ---- boosted trees ---------------------------------------------------------------------------
 
-# Candidate settings of the boosted-tree forecaster.
+# Candidate settings of the boosted-tree forecaster, rounds at most, rounds without a smaller validation
+# error after which boosting stops, and rounds where there is nothing to validate on.
 TREE_CANDIDATES = (
-    {"max_depth": 3, "step": 0.05, "rows": 0.8, "columns": 0.8},
-    {"max_depth": 4, "step": 0.05, "rows": 0.8, "columns": 0.8},
-    {"max_depth": 3, "step": 0.10, "rows": 0.9, "columns": 0.9},
+    TreeSetting(max_depth=3, step=0.05, rows=0.8, columns=0.8, l1=0.1, l2=1.0),
+    TreeSetting(max_depth=4, step=0.05, rows=0.8, columns=0.8, l1=0.5, l2=1.0),
+    TreeSetting(max_depth=3, step=0.10, rows=0.9, columns=0.9, l1=0.1, l2=1.0),
 )
+TREE_ROUNDS = 300
+TREE_PATIENCE = 15
+TREE_ROUNDS_UNVALIDATED = 100
 
 
-def boosted_learner(setting: dict, rounds: int, label: str, seed: int):
-    from pyspark.ml.regression import GBTRegressor
-
-    return GBTRegressor(
-        featuresCol="features", labelCol=label, predictionCol=f"{label}_hat", maxDepth=setting["max_depth"],
-        stepSize=setting["step"], subsamplingRate=setting["rows"], featureSubsetStrategy=str(setting["columns"]),
-        maxIter=rounds, seed=seed,
-    )
-
-
-def tree_table(sequences: DataFrame, spec: PanelSpec) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    return sequences.withColumn("features", array_to_vector(flat_inputs().cast("array<double>"))).withColumns(
-        {f"label_{h}": F.col("y")[h - 1].cast("double") for h in range(1, spec.horizon + 1)}
+def tree_rows(sequences: DataFrame, spec: PanelSpec, is_val: Column, group: Column | None = None) -> DataFrame:
+    """Windows in the form that the booster takes; the key of a row is a hash of its entity and origin."""
+    return sequences.select(
+        (F.lit(0) if group is None else group).cast("int").alias("group"),
+        is_val.alias("is_val"),
+        F.xxhash64(spec.entity, "forecast_origin").alias("id"),
+        flat_inputs().cast("array<double>").alias("x"),
+        F.col("y").cast("array<double>").alias("y"),
     )
 
 
-# Fixed value: rounds without a smaller validation error after which boosting stops.
-TREE_PATIENCE = 15
-
-
-def rounds_with_patience(errors: list[float], patience: int = TREE_PATIENCE) -> int:
-    """Number of rounds to keep: the best one met before ``patience`` rounds pass without a better one."""
-    best, kept = float("inf"), 0
-    for i, error in enumerate(errors, 1):
-        if error < best:
-            best, kept = error, i
-        elif i - kept >= patience:
-            break
-    return kept
-
+@dataclass(frozen=True)
+class TreeFit:
+    """One model per horizon with the setting of the smallest validation MAE, and all models that were grown for it."""
 
-def first_trees(model, rounds: int):
-    """The boosted model made of the first trees of another; the fit is not repeated."""
-    from pyspark.ml.regression import GBTRegressionModel
+    models: list[BoostedModel]
+    candidates: list[BoostedModel]
 
-    source = model._java_obj
-    trees, weights = source.trees(), source.treeWeights()
-    gateway = SparkSession.getActiveSession().sparkContext._gateway
-    some = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
-    numbers = gateway.new_array(gateway.jvm.double, rounds)
-    for i in range(rounds):
-        some[i], numbers[i] = trees[i], float(weights[i])
-    short = gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(source.uid(), some, numbers)
-    out = GBTRegressionModel(source.copyValues(short, gateway.jvm.org.apache.spark.ml.param.ParamMap()))
-    out._resetUid(source.uid())
-    out._transfer_params_from_java()
-    return out
+    @property
+    def rounds(self) -> list[int]:
+        return [len(m.trees) for m in self.models]
 
 
 def fit_trees(
-    sequences: DataFrame, spec: PanelSpec, candidates=TREE_CANDIDATES, rounds: int = 300, seed: int = 42
-) -> tuple[list, list]:
-    """One boosted model per horizon: (models on train, models refitted on train plus validation).
-
-    Each setting is fitted once on the training rows; the squared error on the validation rows after every round
-    and the patience decide how many trees stay. The setting with the smallest validation MAE is refitted with that number.
-    """
-    table = tree_table(of_splits(sequences, "train", "val"), spec).withColumn("is_val", F.col("split") == "val").cache()
-    train, val = table.where(~F.col("is_val")), table.where("is_val")
-    fitted, refitted = [], []
-    for h in range(1, spec.horizon + 1):
-        label = f"label_{h}"
-        best = None
-        for setting in candidates:
-            whole = boosted_learner(setting, rounds, label, seed).fit(train)
-            used = rounds_with_patience(whole.evaluateEachIteration(val, "squared"))
-            model = first_trees(whole, used)
-            mae = model.transform(val).agg(F.avg(F.abs(F.col(f"{label}_hat") - F.col(label)))).first()[0]
-            if best is None or mae < best[0]:
-                best = (mae, setting, used, model)
-        fitted.append(best[3])
-        refitted.append(boosted_learner(best[1], best[2], label, seed).fit(table))
-    table.unpersist()
-    return fitted, refitted
-
-
-def tree_predict(sequences: DataFrame, models: list, spec: PanelSpec) -> DataFrame:
-    out = tree_table(sequences, spec)
-    for model in models:
-        out = model.transform(out)
-    hats = [f"label_{h}_hat" for h in range(1, spec.horizon + 1)]
-    drop = ["features", *hats, *[f"label_{h}" for h in range(1, spec.horizon + 1)]]
-    return out.withColumn("pred", F.array(*[F.col(c).cast("float") for c in hats])).drop(*drop)
+    sequences: DataFrame, spec: PanelSpec, candidates: tuple[TreeSetting, ...] = TREE_CANDIDATES, rounds: int = TREE_ROUNDS, seed: int = 42
+) -> TreeFit:
+    """All settings for all horizons grown together on the training rows, each stopped by the validation rows."""
+    validated = not of_splits(sequences, "val").isEmpty()
+    if not validated:
+        candidates, rounds = candidates[:1], min(rounds, TREE_ROUNDS_UNVALIDATED)
+    boosters = [Booster(0, h, c) for h in range(spec.horizon) for c in candidates]
+    rows = tree_rows(of_splits(sequences, "train", "val"), spec, F.col("split") == "val")
+    grown = fit_boosters(rows, boosters, rounds, TREE_PATIENCE if validated else None, seed)
+    chosen = []
+    for h in range(spec.horizon):
+        mine = [m for m in grown if m.booster.target == h]
+        chosen.append(min(mine, key=lambda m: m.absolute[len(m.trees) - 1]) if validated else mine[0])
+    return TreeFit(chosen, grown)
+
+
+def refit_trees(sequences: DataFrame, spec: PanelSpec, fit: TreeFit, seed: int = 42) -> list[BoostedModel]:
+    """The chosen settings with as many rounds as were kept, on training and validation rows."""
+    rows = tree_rows(of_splits(sequences, "train", "val"), spec, F.lit(False))
+    return fit_boosters(rows, [m.booster for m in fit.models], fit.rounds, None, seed)
+
+
+def tree_predict(sequences: DataFrame, models: list[BoostedModel]) -> DataFrame:
+    return predict_boosted(sequences, models, flat_inputs())
 
 
 # ---- long predictions ------------------------------------------------------------------------

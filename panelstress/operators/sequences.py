@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelstress.functions.numeric import month_number
 from panelstress.operators.calendar import origin_split
 from panelstress.session import materialize
-from panelstress.spec import INDEX, PanelSpec
+from panelstress.spec import INDEX, STD_FLOOR, PanelSpec
 
 
 def _series(spec: PanelSpec, *extra: str) -> Window:
@@ -190,41 +190,72 @@ def of_splits(sequences: DataFrame, *splits: str) -> DataFrame:
     return sequences.where(F.col("split").isin(*splits))
 
 
+def origin_moments(panel: DataFrame, origins: list[str], spec: PanelSpec) -> DataFrame:
+    """One row per entity: ``moments``, an array of (origin, mean, std) over its rows up to each origin.
+
+    Running moments come from one pass over an entity's months; a row's moments hold for the origins from its date
+    until the next row's. The array is bounded by the number of origins, whatever the number of rows.
+    """
+    w = _series(spec)
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    dates = F.array(*[F.lit(o).cast("date") for o in sorted(origins)])
+    stds = [F.stddev_pop(c).over(past) for c in spec.components]
+    rows = panel.select(
+        spec.entity,
+        F.col(spec.date).alias("_from"),
+        F.lead(spec.date).over(w).alias("_until"),
+        F.array(*[F.avg(c).over(past) for c in spec.components]).alias("mean"),
+        F.array(*[F.when(s < STD_FLOOR, F.lit(1.0)).otherwise(s) for s in stds]).alias("std"),
+    )
+    until = F.col("_until")
+    held = F.filter(dates, lambda o: (o >= F.col("_from")) & (until.isNull() | (o < until)))
+    return rows.select(spec.entity, F.explode(held).alias("origin"), "mean", "std").groupBy(spec.entity).agg(
+        F.sort_array(F.collect_list(F.struct("origin", "mean", "std"))).alias("moments")
+    )
+
+
 def expanding_z(panel: DataFrame, origins: list[str], spec: PanelSpec) -> DataFrame:
     """For each origin, rows up to it with features standardised by those rows only.
 
-    Every row is expanded to the origins at or after it; no join is needed.
+    A row meets its entity's moments once and is standardised by them per origin; no window is keyed by the origin.
     """
-    dates = F.array(*[F.lit(o).cast("date") for o in origins])
-    later = F.filter(dates, lambda o: o >= F.col(spec.date))
-    rows = panel.select(F.explode(later).alias("origin"), *spec.keys, *spec.components, INDEX)
-    w = Window.partitionBy("origin", spec.entity)
-    columns = {}
-    for c in spec.components:
-        std = F.stddev_pop(c).over(w)
-        columns[c] = (F.col(c) - F.avg(c).over(w)) / F.when(std < 1e-6, F.lit(1.0)).otherwise(std)
-    return rows.withColumns(columns)
+    rows = panel.join(origin_moments(panel, origins, spec), spec.entity)
+    later = F.explode(F.filter("moments", lambda m: m.origin >= F.col(spec.date)))
+    return rows.select(*spec.keys, *spec.components, INDEX, later.alias("_m")).select(
+        F.col("_m.origin").alias("origin"), *spec.keys,
+        *[((F.col(c) - F.col("_m.mean")[i]) / F.col("_m.std")[i]).alias(c) for i, c in enumerate(spec.components)], INDEX,
+    )
 
 
 def causal_sequences(panel: DataFrame, origins: list[str], spec: PanelSpec) -> DataFrame:
     """Training windows (targets known at the origin) and the current window, per backtest origin.
 
-    ``role`` is 'train' or 'current'; current windows carry no targets.
+    ``role`` is 'train' or 'current'; current windows carry no targets. A window is cut once from its entity's months; per origin
+    it is only standardised, an affine map of its steps.
     """
-    z = expanding_z(panel, origins, spec)
-    w = _series(spec, "origin")
+    w = _series(spec)
     back = w.rowsBetween(-(spec.lookback - 1), 0)
-    step = F.array(*[F.col(c).cast("float") for c in spec.components])
-    rows = z.select(
-        "origin",
+    leads = range(1, spec.horizon + 1)
+    windows = panel.select(
         spec.entity,
         F.col(spec.date).alias("forecast_origin"),
-        F.collect_list(step).over(back).alias("x"),
+        F.collect_list(F.array(*[F.col(c) for c in spec.components])).over(back).alias("_raw"),
         F.collect_list(F.col(INDEX).cast("float")).over(back).alias("wsi_history"),
-        F.array(*[F.lead(INDEX, h).over(w).cast("float") for h in range(1, spec.horizon + 1)]).alias("y"),
-    ).where(F.size("x") == spec.lookback)
-    role = F.when(F.col("forecast_origin") == F.col("origin"), "current").when(
-        F.col("forecast_origin") <= F.add_months("origin", -spec.horizon), "train"
+        F.array(*[F.struct(F.lead(spec.date, h).over(w).alias("d"), F.lead(INDEX, h).over(w).cast("float").alias("v")) for h in leads]).alias("_next"),
+    ).where(F.size("_raw") == spec.lookback)
+    at = F.col("forecast_origin")
+
+    def role(m: Column) -> Column:
+        return F.when(at == m.origin, "current").when(at <= F.add_months(m.origin, -spec.horizon), "train")
+
+    used = F.explode(F.filter("moments", lambda m: role(m).isNotNull()))
+    rows = windows.join(origin_moments(panel, origins, spec), spec.entity).withColumn("_m", used).drop("moments")
+    scaled = F.transform(
+        "_raw",
+        lambda step: F.transform(step, lambda v, i: ((v - F.get("_m.mean", i)) / F.get("_m.std", i)).cast("float")),
+    )
+    known = F.transform("_next", lambda n: F.when(n.d <= F.col("_m.origin"), n.v))
+    return rows.select(
+        F.col("_m.origin").alias("origin"), spec.entity, "forecast_origin", scaled.alias("x"), "wsi_history",
+        F.when(role(F.col("_m")) == "train", known).alias("y"), role(F.col("_m")).alias("role"),
     )
-    rows = rows.withColumn("role", role).where(F.col("role").isNotNull())
-    return rows.withColumn("y", F.when(F.col("role") == "train", F.col("y")))

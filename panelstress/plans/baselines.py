@@ -14,13 +14,24 @@ from panelstress.spec import PanelSpec
 RIDGE_MODELS = {"WSI_Autoregression": "history", "Ridge_Regression": "features"}
 
 
+def tree_suite(sequences: DataFrame, spec: PanelSpec, rounds: int = forecast.TREE_ROUNDS) -> tuple[dict[str, DataFrame], forecast.TreeFit]:
+    """Validation forecasts of the boosted trees, test forecasts of their refit, and the fit."""
+    fit = forecast.fit_trees(sequences, spec, rounds=rounds)
+    refitted = forecast.refit_trees(sequences, spec, fit)
+    parts = {
+        "official_validation": forecast.tree_predict(of_splits(sequences, "val"), fit.models),
+        "official_test": forecast.tree_predict(of_splits(sequences, "test"), refitted),
+    }
+    return parts, fit
+
+
 def run_baselines(
-    sequences: DataFrame, panel: DataFrame, spec: PanelSpec, trees: bool = False, rounds: int = 300
+    sequences: DataFrame, panel: DataFrame, spec: PanelSpec, trees: bool = False, rounds: int = forecast.TREE_ROUNDS
 ) -> tuple[DataFrame, DataFrame, dict]:
     """Validation predictions, test predictions and the chosen settings.
 
     The models are small (coefficients, trees); the rows they are fitted on and applied to stay
-    distributed. Boosted trees are optional because every round is a distributed pass.
+    distributed. Boosted trees are optional because every level of a round is a distributed pass.
     """
     val, test = of_splits(sequences, "val"), of_splits(sequences, "test")
     parts: dict[str, list[DataFrame]] = {"official_validation": [], "official_test": []}
@@ -39,8 +50,7 @@ def run_baselines(
         add("official_validation", name, forecast.ridge_predict(val, inputs, fit.train_model, spec))
         add("official_test", name, forecast.ridge_predict(test, inputs, fit.final_model, spec))
     if trees:
-        fitted, refitted = forecast.fit_trees(sequences, spec, rounds=rounds)
-        add("official_validation", "Boosted_Trees", forecast.tree_predict(val, fitted, spec))
-        add("official_test", "Boosted_Trees", forecast.tree_predict(test, refitted, spec))
+        for kind, predicted in tree_suite(sequences, spec, rounds)[0].items():
+            add(kind, "Boosted_Trees", predicted)
     union = {k: reduce(DataFrame.unionByName, v) for k, v in parts.items()}
     return union["official_validation"], union["official_test"], chosen

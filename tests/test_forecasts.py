@@ -84,15 +84,29 @@ def test_persistence_and_seasonal(sequences, panel, spec):
         assert r["pred"] == pytest.approx([np.mean(r["x"][h]) for h in range(3)], abs=1e-6)
 
 
-def test_boosted_trees_run(sequences, spec):
-    fitted, refitted = forecast.fit_trees(sequences, spec, candidates=forecast.TREE_CANDIDATES[:1], rounds=2)
-    assert len(fitted) == len(refitted) == 3
-    assert forecast.tree_predict(seq.of_splits(sequences, "val"), fitted, spec).where(F.size("pred") == 3).count() == 48
+def test_boosted_trees_choose_by_validation(sequences, spec):
+    candidates = forecast.TREE_CANDIDATES
+    fit = forecast.fit_trees(sequences, spec, rounds=4)
+    assert [m.booster.target for m in fit.models] == [0, 1, 2] and len(fit.candidates) == 9
+    for h, model in enumerate(fit.models):
+        maes = [m.absolute[len(m.trees) - 1] for m in fit.candidates if m.booster.target == h]
+        assert model.booster.setting == candidates[int(np.argmin(maes))]
+        assert len(model.trees) == 1 + int(np.argmin(model.errors))
+    val = seq.of_splits(sequences, "val")
+    rows = forecast.tree_predict(val, fit.models).select("pred", "y").collect()
+    assert len(rows) == val.count()
+    for h, model in enumerate(fit.models):
+        mae = np.mean([abs(r["pred"][h] - r["y"][h]) for r in rows])
+        assert mae == pytest.approx(model.absolute[len(model.trees) - 1], abs=1e-5)
+    refitted = forecast.refit_trees(sequences, spec, fit)
+    assert [len(m.trees) for m in refitted] == fit.rounds
+    unvalidated = forecast.fit_trees(seq.of_splits(sequences, "train"), spec, rounds=2)
+    assert all(m.booster.setting == candidates[0] and len(m.trees) == 2 for m in unvalidated.models)
 
 
 def test_baseline_suite(sequences, panel, spec):
-    val, test, chosen = run_baselines(sequences, panel, spec)
-    assert val.count() == 4 * 48 * 3 and test.count() == 4 * 48 * 3
+    val, test, chosen = run_baselines(sequences, panel, spec, trees=True, rounds=2)
+    assert val.count() == 5 * 48 * 3 and test.count() == 5 * 48 * 3
     assert set(chosen) == {"WSI_Autoregression", "Ridge_Regression"}
     champion = forecast.choose_champion(val).first()
     means = val.groupBy("model").agg(F.avg("absolute_error").alias("m")).orderBy("m").first()
@@ -151,9 +165,63 @@ def test_causal_sequences_bounds(panel, spec):
     assert rows.where("role = 'current'").count() == 3 and rows.where("forecast_origin > '2006-02-01'").count() == 0
 
 
-def test_backtest_trees_run(panel, spec):
-    out = backtest.backtest_trees(panel, ["2006-02-01"], spec, rounds=2)
-    assert out.count() == 9 and out.select("model").distinct().first()[0] == "Boosted_Trees"
+def _windows_at(pdf, origin):
+    """Plain numpy: standardised training windows, their targets, and the current windows at one origin."""
+    xs, ys, now = [], [], {}
+    for e, g in pdf[pd.to_datetime(pdf["date"]) <= pd.Timestamp(origin)].groupby("entity"):
+        f = g[list(COMPONENTS)].to_numpy()
+        f = ((f - f.mean(0)) / f.std(0)).astype(np.float32)
+        w = g["wsi"].to_numpy(np.float32)
+        for i in range(11, len(g) - 3):
+            xs.append(f[i - 11 : i + 1].ravel())
+            ys.append(w[i + 1 : i + 4])
+        now[e] = f[-12:].ravel()
+    return np.array(xs), np.array(ys), now
+
+
+def test_causal_sequences_equal_numpy(panel, panel_pdf, spec):
+    origins = ["2004-01-01", "2006-02-01", "2007-09-01", "2003-05-01"]  # the last one is too early for a window
+    rows = seq.causal_sequences(panel, origins, spec).toPandas()
+    assert set(rows["origin"].astype(str)) == set(origins[:3])
+    for origin in origins[:3]:
+        x, y, now = _windows_at(panel_pdf, origin)
+        mine = rows[rows["origin"].astype(str) == origin].sort_values(["entity", "forecast_origin"])
+        train, current = mine[mine["role"] == "train"], mine[mine["role"] == "current"]
+        assert len(train) == len(x)
+        if len(x):
+            assert np.allclose(np.stack([np.concatenate(v) for v in train["x"]]), x, atol=1e-5)
+            assert np.array_equal(np.stack(train["y"]).astype(np.float32), y)
+        assert np.allclose(np.stack([np.concatenate(v) for v in current["x"]]), np.stack([now[e] for e in current["entity"]]), atol=1e-5)
+        assert current["y"].isna().all()
+
+
+def test_expanding_z_holds_the_last_moments_between_months(panel, panel_pdf, spec):
+    holes = panel.where("date <> '2006-02-01'")
+    z = seq.expanding_z(holes, ["2006-02-01"], spec).where("entity = 'A'").toPandas().sort_values("date")
+    g = panel_pdf[(panel_pdf["entity"] == "A") & (pd.to_datetime(panel_pdf["date"]) < "2006-02-01")]
+    c = COMPONENTS[0]
+    assert np.allclose(z[c], (g[c] - g[c].mean()) / g[c].std(ddof=0)) and len(z) == len(g)
+    rows = seq.causal_sequences(holes, ["2006-02-01"], spec).where("entity = 'A'")
+    assert rows.where("role = 'current'").count() == 0 and str(rows.agg(F.max("forecast_origin")).first()[0]) == "2005-11-01"
+    assert rows.where("forecast_origin = '2005-11-01'").first()["y"][2] is None  # its third month ahead is not known at the origin
+
+
+def test_backtest_trees_of_all_origins(panel, panel_pdf, spec):
+    origins = ["2003-12-01", "2006-02-01", "2007-09-01"]  # no training window is known at the first
+    out = backtest.backtest_trees(panel, origins, spec, rounds=3).toPandas()
+    assert len(out) == 2 * 9 and set(out["model"]) == {"Boosted_Trees"}
+    from panelstress.operators import boosting as bo
+
+    for origin in origins[1:]:  # alone, from the same windows made by numpy, an origin gives the same forecasts
+        x, y, now = _windows_at(panel_pdf, origin)
+        rows = [(0, False, i, a.astype(float).tolist(), b.astype(float).tolist()) for i, (a, b) in enumerate(zip(x, y))]
+        df = panel.sparkSession.createDataFrame(rows, "group int, is_val boolean, id bigint, x array<double>, y array<double>")
+        models = bo.fit_boosters(df, [bo.Booster(0, h, backtest.BACKTEST_TREES) for h in range(3)], rounds=3)
+        for r in out[out["forecast_origin"].astype(str) == origin].itertuples():
+            model = models[int(r.horizon[1]) - 1]
+            assert r.predicted_wsi == pytest.approx(model.predict(bo.binned(now[r.entity][None].astype(float), model.edges))[0], abs=2e-3)
+    both = backtest.rolling_backtest(panel, origins[1:2], spec, models=("ridge", "trees"), rounds=2)
+    assert both.select("model").distinct().count() == 5
 
 
 # ---- metrics ---------------------------------------------------------------------------------
@@ -217,6 +285,61 @@ def test_bootstrap_of_constant_errors(spark):
     assert (single["candidate_model"], single["champion_model"]) == ("bad", "good")
 
 
+@pytest.mark.parametrize("size, blocks, seed", [(10, 4, 42), (1, 2, 42), (34, 12, 7)])
+def test_stream_draws_equal_numpy(spark, size, blocks, seed, monkeypatch):
+    monkeypatch.setattr(significance, "_CHUNK", 64)
+    replicates, length = 50, 3
+    origins = size + length - 1
+    rng = np.random.default_rng(seed)
+    blocks = -(-origins // length)
+    expected = [rng.integers(0, size, size=blocks).tolist() for _ in range(replicates)]
+    observed = spark.createDataFrame([("m", origins)], "candidate_model string, origins bigint")
+    got = [[] for _ in range(replicates)]
+    for r in significance.stream_draws(observed, seed, replicates, length).collect():
+        got[r["replicate"]].append(r["start"])
+    assert [sorted(g) for g in got] == [sorted(e) for e in expected]
+
+
+def test_values_passed_over_shift_the_rest():
+    size = 3 * 2**30  # a quarter of the outputs is passed over
+    values, drawn = significance._lemire(5, 0, 400, size)
+    rng = np.random.default_rng(5)
+    assert values[drawn][:200].tolist() == rng.integers(0, size, size=200).tolist() and 40 < (~drawn).sum() < 160
+    tail, kept = significance._lemire(5, 101, 99, size)
+    assert tail.tolist() == values[101:200].tolist() and kept.tolist() == drawn[101:200].tolist()
+
+
+def test_bootstrap_with_numpy_draws(spark):
+    origins = [d.date().isoformat() for d in pd.date_range("2020-01-01", periods=20, freq="MS")]
+    rng = np.random.default_rng(0)
+    errors = {m: rng.normal(size=(20, 2)) for m in ("good", "bad")}
+    rows = [(m, e, o, "h1", 0.0, float(errors[m][i, j])) for m in errors for i, o in enumerate(origins) for j, e in enumerate("AB")]
+    row = significance.block_bootstrap(long(spark, rows), "good", replicates=200, generator="pcg64").first()
+    gen, diffs = np.random.default_rng(42), []
+    loss = {m: np.round(np.abs(v), 6) for m, v in errors.items()}
+    for _ in range(200):
+        at = [s + b for s in gen.integers(0, 18, size=7) for b in range(3)]
+        diffs.append(loss["bad"][at].mean() - loss["good"][at].mean())
+    assert row["ci_95_lower"] == pytest.approx(np.percentile(diffs, 2.5), abs=1.1e-5)
+    assert row["ci_95_upper"] == pytest.approx(np.percentile(diffs, 97.5), abs=1.1e-5)
+
+
+def test_density_is_close_to_the_exact_one(spark):
+    rng = np.random.default_rng(3)
+    samples = {"a": rng.normal(size=700), "b": np.concatenate([rng.normal(size=300), [40.0, -25.0]]), "one": np.array([1.0]), "flat": np.full(9, 2.0)}
+    rows = [(k, float(v)) for k, values in samples.items() for v in values] + [("a", None), ("a", float("nan")), (None, 1.0), (None, 3.0)]
+    got = metrics.density(spark.createDataFrame(rows, "model string, error double").repartition(5), ["model"], "error").toPandas()
+    assert {None if not isinstance(k, str) else k for k in got["model"].unique()} == {"a", "b", None}
+    for key in ("a", "b"):
+        v, curve = samples[key], got[got["model"] == key].sort_values("point")
+        h = v.std(ddof=1) * len(v) ** -0.2
+        x = np.linspace(v.min() - 3 * h, v.max() + 3 * h, 200)
+        exact = np.exp(-0.5 * ((x[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
+        found = np.zeros(200)
+        found[curve["point"]] = curve["density"]
+        assert np.allclose(curve["x"], x[curve["point"]]) and np.abs(found - exact).max() < 1e-3 * exact.max()
+
+
 @pytest.mark.parametrize("h, loss", [(1, "absolute"), (3, "absolute"), (2, "squared")])
 def test_diebold_mariano_against_numpy(spark, h, loss):
     rng = np.random.default_rng(h)
@@ -235,10 +358,21 @@ def test_diebold_mariano_against_numpy(spark, h, loss):
 
 
 def test_patience_keeps_the_best_round_met_in_time():
-    assert forecast.rounds_with_patience([3.0, 2.0, 2.5, 1.0]) == 4
-    assert forecast.rounds_with_patience([3.0, 2.0] + [2.5] * 14 + [1.0]) == 17
-    assert forecast.rounds_with_patience([3.0, 2.0] + [2.5] * 15 + [1.0]) == 2
-    assert forecast.rounds_with_patience([]) == 0
+    from panelstress.operators import boosting as bo
+
+    def kept(errors):
+        state = bo._Growing(bo.BoostedModel(bo.Booster(0, 0, bo.TreeSetting()), 0.0, np.zeros((1, 1))), 0, 1, 1000, forecast.TREE_PATIENCE)
+        for error in errors:
+            if state.done:
+                break
+            state.model.trees.append(bo.Tree.empty(1))
+            state.judge(np.array([2 * error, 0.0, 2.0]))
+        return len(state.kept().trees)
+
+    assert kept([3.0, 2.0, 2.5, 1.0]) == 4
+    assert kept([3.0, 2.0] + [2.5] * 14 + [1.0]) == 17
+    assert kept([3.0, 2.0] + [2.5] * 15 + [1.0]) == 2
+    assert kept([]) == 0
 
 
 @pytest.mark.parametrize("constant, mean", [(0.1, 0.0), (0.3, 1e7), (7.7, 1e7)])
