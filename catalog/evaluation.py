@@ -15,17 +15,11 @@ _MODELS = ["Persistence", "Seasonal_Persistence", "WSI_Autoregression", "Ridge_R
 
 
 @query("h1_long_predictions", f"""
-SELECT evaluation_type, model, sequence_id, entity, forecast_origin, horizon, {rs('actual_wsi', 'predicted_wsi', 'error', 'absolute_error', 'squared_error', digits=5)}
-FROM c_test WHERE model IN ('Persistence', 'Seasonal_Persistence')
-""", digits=5)
+SELECT evaluation_type, model, sequence_id, entity, forecast_origin, horizon, {rs('actual_wsi', 'predicted_wsi', 'error', 'absolute_error', 'squared_error', digits=4)} FROM c_test
+""", digits=4)
 def h1(spark, sf_dir):
-    rows = seq.of_splits(base.sequences(spark, sf_dir), "test")
-    parts = {
-        "Persistence": forecast.persistence(rows, SPEC),
-        "Seasonal_Persistence": forecast.seasonal_persistence(rows, base.panel(spark, sf_dir), SPEC),
-    }
-    out = [forecast.long_predictions(p, name, "official_test", SPEC) for name, p in parts.items()]
-    return out[0].unionByName(out[1])
+    """The models that SQL can fit; those of the boosted trees are in g5_boosted_trees."""
+    return base.test_predictions(spark, sf_dir)
 
 
 def at(h: str | None, value: str) -> str:
@@ -273,10 +267,17 @@ SELECT model, count(*) AS total_evaluations, {r(f'round({mae()}, 4)')} AS overal
   {', '.join(f'{r(f"round({mae(h)}, 4)")} AS mae_{h}, {r(f"round({rmse(h)}, 4)")} AS rmse_{h}' for h in _HS)} FROM c_bt GROUP BY model
 """)
 def h16(spark, sf_dir):
+    """The models that SQL can fit."""
     rows = forecasts.backtest_rows(spark, sf_dir).where("model <> 'Ridge_Regression'")
     return metrics.backtest_summary(rows, SPEC, _PERIOD)
 
 
+@query("h16_five_models")
+def h16_all(spark, sf_dir):
+    rows = forecasts.backtest_rows(spark, sf_dir).unionByName(forecasts.backtest_tree_rows(spark, sf_dir))
+    return metrics.backtest_summary(rows, SPEC, _PERIOD)
+
+
 # ---- runs: every forecast origin of a model counts as one run --------------------------------
 
 cte("c_runs", "SELECT model AS experiment, CAST(forecast_origin AS VARCHAR) AS run, avg(absolute_error) AS val_mae FROM c_test GROUP BY ALL")
@@ -357,3 +358,31 @@ def h22(spark, sf_dir):
 @query("h23_residual_histogram", "SELECT model, CAST(floor(error / 0.1) AS BIGINT) AS bin, count(*) AS n FROM c_test GROUP BY ALL")
 def h23(spark, sf_dir):
     return metrics.residual_histogram(base.test_predictions(spark, sf_dir))
+
+
+_DENSE = metrics.DENSITY_POINTS
+cte("c_dens", f"""
+SELECT model, n, lo, hi, h, h / {metrics.BINS_PER_BANDWIDTH} AS bin FROM (
+  SELECT model, count(*) AS n, min(error) AS lo, max(error) AS hi, stddev_samp(error) * pow(count(*), -0.2) AS h FROM c_test GROUP BY model) WHERE n > 1 AND h > 0
+""")
+cte("c_dens_bins", """
+SELECT model, b, sum(w) AS w FROM (
+  SELECT model, unnest([floor(place), floor(place) + 1]) AS b, unnest([1 - (place - floor(place)), place - floor(place)]) AS w
+  FROM (SELECT t.model, (error - lo) / bin AS place FROM c_test t JOIN c_dens d ON d.model = t.model)) GROUP BY model, b
+""")
+
+
+@query("h23_residual_density", f"""
+SELECT model, point, {r('x', 4)} AS x, {r('sum(CASE WHEN abs(x - c) <= reach THEN w * exp(-0.5 * ((x - c) / h) * ((x - c) / h)) ELSE 0.0 END) / (n * h * sqrt(2 * pi()))', 4)} AS density FROM (
+  SELECT d.model, n, h, w, lo + b * bin AS c, {metrics.KERNEL_REACH} * h AS reach, CAST(i AS INTEGER) AS point,
+    lo - {metrics.DENSITY_CUT} * h + i * ((hi - lo + {2 * metrics.DENSITY_CUT} * h) / {_DENSE - 1}.0) AS x
+  FROM c_dens d JOIN c_dens_bins b ON b.model = d.model, range({_DENSE}) p(i)) GROUP BY model, point, x, n, h
+""", digits=4)
+def h23b(spark, sf_dir):
+    return metrics.residual_density(base.test_predictions(spark, sf_dir))
+
+
+@query("h11_bootstrap_numpy_draws")
+def h11b(spark, sf_dir):
+    """The bootstrap with the draws of numpy's generator."""
+    return significance.block_bootstrap(base.test_predictions(spark, sf_dir), "Persistence", generator="pcg64")

@@ -95,11 +95,16 @@ def i4(spark, sf_dir):
 
 
 _STAT_COLUMNS = ["rainfall_mm", "soil_water_storage_mm", "ndvi_raw", "lst_raw", "surface_water_frequency"]
-cte("c_long", " UNION ALL ".join(f"SELECT entity, date, month, '{c}' AS variable, {_sql(c)} AS value FROM c_hist" for c in _STAT_COLUMNS))
+cte("c_long", " UNION ALL ".join(f"SELECT entity, date, month, '{c}' AS variable, {_sql(c)} AS value FROM c_hist" for c in _STAT_COLUMNS) + """
+UNION ALL SELECT entity, CAST(l_shipdate AS DATE), CAST(month(l_shipdate) AS INTEGER), 'water_level_m_bgl', l_quantity FROM lineitem JOIN c_sup ON l_suppkey = s_suppkey
+""")
 
 
 def long_history(spark, sf_dir):
-    return explore.to_long(base.history(spark, sf_dir), _STAT_COLUMNS, ["entity", "date", "month"])
+    """The monthly streams and every raw reading: the one variable that grows with the observations."""
+    monthly = explore.to_long(base.history(spark, sf_dir), _STAT_COLUMNS, ["entity", "date", "month"])
+    readings = proxy.well_readings(spark, sf_dir).select("entity", F.col("date").cast("date").alias("date"), F.month("date").alias("month"), "water_level_m_bgl")
+    return monthly.unionByName(explore.to_long(readings, ["water_level_m_bgl"], ["entity", "date", "month"]))
 
 
 @query("i5_summary_statistics", f"""

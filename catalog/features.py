@@ -351,6 +351,32 @@ def e9(spark, sf_dir):
     )
 
 
-@query("e10_fingerprint")
+def _canonical(column: str, kind: str) -> str:
+    text = {"float": f"CAST(CAST(floor({column} * 1e6 + 0.5) AS BIGINT) AS VARCHAR)", "time": f"CAST(epoch_us({column}) AS VARCHAR)"}.get(kind, f"CAST({column} AS VARCHAR)")
+    return f"coalesce(length({text}) || '=' || {text}, '~')"
+
+
+_ROW = " || '|' || ".join(_canonical(c, k) for c, k in [
+    *[(c, "int") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")],
+    *[(c, "float") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")], ("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "time"),
+])
+_BITS64 = 1 << 64
+
+
+@query("e10_fingerprint", f"""
+WITH d AS (
+  SELECT CAST(floor(l_orderkey / {float(audit.LEAF_KEYS)}) AS BIGINT) AS node, md5({_ROW}) AS m FROM lineitem
+), leaves AS (
+  SELECT node, count(*) AS n, sum(CAST(CAST('0x' || substr(m, 1, 16) AS UBIGINT) AS HUGEINT)) % {_BITS64} AS a, sum(CAST(CAST('0x' || substr(m, 17, 16) AS UBIGINT) AS HUGEINT)) % {_BITS64} AS b FROM d GROUP BY node
+), ends AS (
+  SELECT min(node) AS lo, max(node) AS hi FROM leaves
+), height AS (
+  SELECT min(i) AS h FROM ends, range(1, 14) t(i) WHERE lo // (CAST({audit.FAN_OUT} AS HUGEINT) ** i)::BIGINT = hi // (CAST({audit.FAN_OUT} AS HUGEINT) ** i)::BIGINT
+), up AS (
+  SELECT CAST(level AS INTEGER) AS level, CASE WHEN level = h THEN 0 ELSE node // ({audit.FAN_OUT} ** level)::BIGINT END AS node, n, a, b FROM leaves, (SELECT h, unnest(range(0, h + 1)) AS level FROM height)
+)
+SELECT level, node, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(a) % {_BITS64} AS VARCHAR) || ':' || CAST(sum(b) % {_BITS64} AS VARCHAR) AS content_hash FROM up GROUP BY level, node
+""")
 def e10(spark, sf_dir):
-    return audit.fingerprint(proxy.table(spark, sf_dir, "lineitem"))
+    """Tree of digests of the line items by ranges of the order key."""
+    return audit.fingerprint(proxy.table(spark, sf_dir, "lineitem"), "l_orderkey")

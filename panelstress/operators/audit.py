@@ -10,10 +10,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import NumericType
 
 from panelstress.functions.numeric import mean_of, month_number
 from panelstress.operators.calendar import build_calendar, origin_split
+from panelstress.session import materialize
 from panelstress.spec import INDEX, PanelSpec
 
 
@@ -217,10 +219,71 @@ def require_passed(report: DataFrame) -> None:
         raise ValueError(f"validation failed: {failed}")
 
 
-def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Order-insensitive content hash and row count."""
-    value = F.xxhash64(*[F.col(c) for c in (columns or df.columns)]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(value).cast("string").alias("content_hash"))
+#: Key values of one leaf of the tree of digests, and children of a node.
+LEAF_KEYS = 1024
+FAN_OUT = 16
+
+
+def canonical(field: T.StructField) -> Column:
+    """A value as text that any engine can repeat: floating-point numbers in millionths, times in microseconds."""
+    c = F.col(field.name)
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
+        c = F.floor(c.cast("double") * 1e6 + 0.5).cast("bigint")
+    elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+        c = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(field.dataType, T.BooleanType):
+        c = c.cast("int")
+    text = c.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit("="), text), F.lit("~"))
+
+
+def _half(digest: str, first: int) -> Column:
+    return F.conv(F.substring(digest, first, 16), 16, 10).cast("decimal(20,0)")
+
+
+def fingerprint(df: DataFrame, key: str, columns: list[str] | None = None, leaf: int = LEAF_KEYS, fan_out: int = FAN_OUT) -> DataFrame:
+    """Tree of order-insensitive digests over ranges of an integer key: level, node, n_rows, content_hash.
+
+    A row's digest is the MD5 of its canonical values; a node adds up the two halves of the digests below it, each modulo 2^64.
+    Level 0 has a node per ``leaf`` keys (null for rows without a key), each further level one per ``fan_out`` nodes, up to
+    one node, the level of which is the greatest. Rows are added up once, to leaves; the levels above are made from the leaves.
+    """
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    digest = F.md5(F.concat_ws("|", *[canonical(f) for f in fields]))
+    rows = df.select(F.floor(F.col(key) / leaf).cast("bigint").alias("node"), digest.alias("_d"))
+    leaves = materialize(
+        rows.select("node", _half("_d", 1).alias("a"), _half("_d", 17).alias("b")).groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")
+        ),
+        "digest-leaves",
+    )
+    lo, hi = leaves.agg(F.coalesce(F.min("node"), F.lit(0)), F.coalesce(F.max("node"), F.lit(0))).first()
+    height = 1
+    while lo // fan_out**height != hi // fan_out**height:
+        height += 1
+    up = leaves.select(
+        "n", "a", "b", "node", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(fan_out**i).cast("bigint").alias("span")) for i in range(height + 1)])).alias("l")
+    ).select(
+        F.col("l.level").alias("level"), "n", "a", "b",
+        F.when(F.col("l.level") == height, F.lit(0).cast("bigint")).otherwise(F.floor(F.col("node") / F.col("l.span")).cast("bigint")).alias("node"),
+    )
+    sums = up.groupBy("level", "node").agg(F.sum("n").alias("n_rows"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    modulus = F.lit("18446744073709551616").cast("decimal(20,0)")
+    halves = [(F.col(c) % modulus).cast("decimal(20,0)").cast("string") for c in ("a", "b")]
+    content = F.concat(halves[0], F.lit(":"), halves[1])
+    return sums.select("level", "node", "n_rows", content.alias("content_hash"))
+
+
+def changed_ranges(before: DataFrame, after: DataFrame, leaf: int = LEAF_KEYS) -> DataFrame:
+    """Key ranges (first_key, last_key) whose leaves differ between two trees, with their numbers of rows; null ends for rows without a key."""
+    sides = [t.where("level = 0").select("node", F.col("n_rows").alias(f"{n}_rows"), F.col("content_hash").alias(n)) for t, n in ((before, "before"), (after, "after"))]
+    old, new = sides[0], sides[1].withColumnRenamed("node", "_node")
+    joined = old.join(new, F.col("node").eqNullSafe(F.col("_node")), "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
+    node = F.coalesce("node", "_node")
+    return joined.select(
+        (node * leaf).alias("first_key"), (node * leaf + leaf - 1).alias("last_key"),
+        F.coalesce("before_rows", F.lit(0)).alias("before_rows"), F.coalesce("after_rows", F.lit(0)).alias("after_rows"),
+    )
 
 
 def month_gap(earlier: str, later: str) -> Column:

@@ -141,14 +141,18 @@ def summary_statistics(long: DataFrame) -> DataFrame:
 def monthly_climatology(long: DataFrame, spec: PanelSpec) -> DataFrame:
     """Mean and median per (entity, calendar month, variable); NULL entity = all entities pooled.
 
-    An entity-month holds one value per year and uses the built-in median; pooled months do not have
-    such a bound and use the exact quantile operator.
+    Neither an entity's readings of a month nor the pooled ones have a bound, so both use the exact quantile operator.
     """
     e = spec.entity
-    own = long.groupBy(e, "month", "variable").agg(F.avg("value").alias("mean"), F.median("value").alias("median"))
-    means = long.groupBy("month", "variable").agg(F.avg("value").alias("mean"))
-    medians = split_quantiles(long, ["month", "variable"], "value", {"median": 0.5}).drop("n")
-    pooled = means.join(medians, ["month", "variable"], "left").withColumn(e, F.lit(None).cast("string"))
+
+    def table(keys: list[str]) -> DataFrame:
+        means = long.groupBy(*keys).agg(F.avg("value").alias("mean"))
+        names = {k: f"_key_{k}" for k in keys}
+        medians = split_quantiles(long, keys, "value", {"median": 0.5}).drop("n").withColumnsRenamed(names)
+        return means.join(medians, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], "left").drop(*names.values())
+
+    own = table([e, "month", "variable"])
+    pooled = table(["month", "variable"]).withColumn(e, F.lit(None).cast("string"))
     return own.unionByName(pooled)
 
 

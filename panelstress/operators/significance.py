@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +25,65 @@ def draw(replicate: Column, block: Column, seed: int, size: Column) -> Column:
     return ((c * _MULTIPLIER) % _MODULUS) % size
 
 
+#: 32-bit outputs of the generator per row of the table from which draws are made.
+_CHUNK = 4096
+
+
+def _lemire(seed: int, first: int, count: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Outputs ``first`` .. of a PCG64 stream as 32-bit halves, reduced to 0 .. size-1: values, and which of them are drawn.
+
+    The generator jumps to its place, so any part of the stream costs the same. A half whose low product lies below
+    2^32 mod size is passed over, which makes all values equally likely.
+    """
+    stream = np.random.PCG64(seed)
+    stream.advance(first // 2)
+    words = stream.random_raw((first % 2 + count + 1) // 2)
+    halves = np.stack([words & 0xFFFFFFFF, words >> np.uint64(32)], axis=1).ravel()[first % 2 :][:count]
+    product = halves * np.uint64(size)
+    return (product >> np.uint64(32)).astype(np.int64), (product & np.uint64(0xFFFFFFFF)) >= np.uint64(2**32 % size)
+
+
+def stream_draws(observed: DataFrame, seed: int, replicates: int, block_length: int) -> DataFrame:
+    """(candidate_model, replicate, start): the integers that a seeded numpy generator gives, one vector per replicate.
+
+    Every task makes its part of the stream; the number of values passed over before a part shifts the places of the rest.
+    """
+    starts, blocks = F.col("origins") - block_length + 1, F.ceil(F.col("origins") / block_length).cast("int")
+    wanted = F.lit(replicates) * blocks
+    # A value is passed over with a probability below 2^-16 for up to 2^16 starts; the spare part is far beyond that.
+    parts = F.explode(F.sequence(F.lit(0), F.ceil(wanted * 1.01 / _CHUNK).cast("int")))
+    rows = observed.select("candidate_model", starts.cast("bigint").alias("size"), blocks.alias("blocks"), parts.alias("part"))
+
+    def draw_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for model, size, blocks, part in pdf.itertuples(index=False):
+                if size == 1:  # nothing is drawn where there is one start
+                    values, drawn = np.zeros(_CHUNK, np.int64), np.ones(_CHUNK, bool)
+                else:
+                    values, drawn = _lemire(seed, part * _CHUNK, _CHUNK, size)
+                yield pd.DataFrame({"candidate_model": model, "blocks": blocks, "part": part, "values": [values[drawn]]})
+
+    made = rows.repartition("candidate_model", "part").mapInPandas(draw_parts, "candidate_model string, blocks int, part int, values array<bigint>")
+    before = Window.partitionBy("candidate_model").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = made.withColumn("_before", F.coalesce(F.sum(F.size("values")).over(before), F.lit(0)))
+    flat = placed.select("candidate_model", "blocks", "_before", F.posexplode("values").alias("_i", "start")).withColumn("_at", F.col("_before") + F.col("_i"))
+    replicate = F.floor(F.col("_at") / F.col("blocks")).cast("int")
+    return flat.select("candidate_model", replicate.alias("replicate"), F.col("start").cast("int").alias("start")).where(F.col("replicate") < replicates)
+
+
+def formula_draws(observed: DataFrame, seed: int, replicates: int, block_length: int) -> DataFrame:
+    """(candidate_model, replicate, start) from an integer formula that any SQL engine can repeat."""
+    starts = F.col("origins") - block_length + 1
+    return (
+        observed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("origins") / block_length).cast("int") - 1)))
+        .select("candidate_model", "replicate", draw(F.col("replicate"), F.col("block"), seed, starts).cast("int").alias("start"))
+    )
+
+
+DRAWS = {"formula": formula_draws, "pcg64": stream_draws}
+
+
 def origin_sums(predictions: DataFrame) -> DataFrame:
     """Absolute errors per (model, origin): all entities and horizons of an origin stay together."""
     return predictions.groupBy("model", "forecast_origin").agg(
@@ -30,12 +93,13 @@ def origin_sums(predictions: DataFrame) -> DataFrame:
 
 def block_bootstrap(
     predictions: DataFrame, champion: str | Column, candidates: list[str] | None = None,
-    block_length: int = 3, replicates: int = 1000, seed: int = 42,
+    block_length: int = 3, replicates: int = 1000, seed: int = 42, generator: str = "formula",
 ) -> DataFrame:
     """Every candidate against the champion, all candidates and replicates in one job.
 
     Predictions shrink to one row per model and origin first. The origin count is bounded by the
     calendar, so the block table and the draws do not grow with the data. Blocks are not trimmed.
+    ``generator`` is "formula", which SQL can repeat, or "pcg64", whose starts are those of numpy's default generator.
     A candidate with too few origins gets an ``error``.
     """
     sums = origin_sums(predictions)
@@ -62,13 +126,7 @@ def block_bootstrap(
         (F.sum("s") / F.sum("n") - F.sum("s2") / F.sum("n2")).alias("observed"),
     )
     usable = F.col("origins") > block_length
-    starts = F.col("origins") - block_length + 1
-    draws = (
-        observed.where(usable)
-        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("origins") / block_length).cast("int") - 1)))
-        .select("candidate_model", "replicate", draw(F.col("replicate"), F.col("block"), seed, starts).cast("int").alias("start"))
-    )
+    draws = DRAWS[generator](observed.where(usable), seed, replicates, block_length)
     boot = (
         draws.join(blocks.select("candidate_model", "start", "b_s", "b_n", "b_s2", "b_n2"), ["candidate_model", "start"])
         .groupBy("candidate_model", "replicate")

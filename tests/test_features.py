@@ -154,5 +154,35 @@ def test_audits_pass_and_fail(spark, spec, panel):
         audit.require_passed(report)
     contract = audit.panel_contract(broken, ["wsi"], spec).first()
     assert not contract["passed"] and contract["measures"]["continuity_breaks"] == "3"
-    a, b = audit.fingerprint(full).first(), audit.fingerprint(full.repartition(7)).first()
-    assert a == b and a != audit.fingerprint(broken).first()
+
+
+def test_digest_tree_tells_a_change_and_its_place(spark):
+    """Order and partitioning do not matter; a changed, added or repeated row shows in its leaf and all above."""
+    import hashlib
+
+    rows = [(i, f"a|{i}", i / 8, None if i % 5 else True) for i in range(0, 40_000, 7)]
+    schema = "k bigint, s string, v double, b boolean"
+    full = spark.createDataFrame(rows, schema)
+
+    def tree(df):
+        return audit.fingerprint(df, "k", leaf=100)
+
+    first = tree(full)
+    got = {(r["level"], r["node"]): (r["n_rows"], r["content_hash"]) for r in first.collect()}
+    assert got == {(r["level"], r["node"]): (r["n_rows"], r["content_hash"]) for r in tree(full.repartition(7)).collect()}
+    top = max(level for level, _ in got)
+    assert [k for k in got if k[0] == top] == [(top, 0)] and got[top, 0][0] == len(rows) and top == 3
+
+    def text(v):
+        return "~" if v is None else f"{len(v)}={v}"
+
+    halves = [hashlib.md5("|".join([text(str(k)), text(s), text(str(int(v * 1e6 + 0.5))), text(None if b is None else "1")]).encode()).hexdigest() for k, s, v, b in rows]
+    sums = [sum(int(h[i : i + 16], 16) for h in halves) % 2**64 for i in (0, 16)]
+    assert got[top, 0][1] == f"{sums[0]}:{sums[1]}"
+    assert audit.changed_ranges(first, tree(full.repartition(3))).count() == 0
+    changed = full.withColumn("v", F.when(F.col("k") == 707, 1e6).otherwise(F.col("v"))).unionByName(full.where("k = 21000")).unionByName(
+        spark.createDataFrame([(None, "no key", 1.0, False), (90_000, "new", 1.0, False)], schema)
+    )
+    found = {(r["first_key"], r["last_key"], r["before_rows"], r["after_rows"]) for r in audit.changed_ranges(first, tree(changed), leaf=100).collect()}
+    assert found == {(700, 799, 15, 15), (21000, 21099, 15, 16), (90000, 90099, 0, 1), (None, None, 0, 1)}
+    assert audit.fingerprint(full.limit(0), "k").count() == 0
