@@ -4,7 +4,7 @@ Every rule is evaluated once per document. The ledger keeps the measurements and
 policies are masks over those bits, so that a new version of a policy or an ablation never reads the texts again.
 
 Defined results: a null text measures like an empty one (no words, lines or symbols) and fails the rule on the
-number of words; a null id stays null; repeated rows get one ledger row each; an empty table gives an empty ledger;
+number of words; a very long text is measured whole, in time close to its length; a null id stays null; repeated rows get one ledger row each; an empty table gives an empty ledger;
 columns of the input other than id and text are not carried, so their names cannot clash.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from panelstress.llm.common import WORD
 
 _SPACE = r"[\x20\x09-\x0D]+"
-_NO_SYMBOL = r"[^#*$%&|<>]+"
+_SYMBOL = r"[#*$%&|<>]"
 
 #: Bit, name and failing condition of each rule, over the measurements. Integers only, so any engine agrees.
 RULES: tuple[tuple[int, str, str], ...] = (
@@ -51,25 +51,28 @@ POLICIES: tuple[Policy, ...] = (
 )
 
 
-def _repeat_words() -> Column:
-    """Words in three-word windows that occur twice or more; needs the columns _words and _grams.
+def _with_repeat_words(rows: DataFrame) -> DataFrame:
+    """Words in three-word windows that occur twice or more; takes the column _grams, adds n_repeat_words.
 
-    Window hashes have 64 bits. Documents without a repeated window, which array_distinct tells in one pass,
-    skip the sort.
+    Window hashes have 64 bits. Sorted with their places, equal windows are neighbours; the places of windows with an equal
+    neighbour are sorted again, and each covers three words less what the next one covers too. Every step is one pass over
+    an array, so the cost is that of two sorts however often windows repeat. Documents without a repeated window, which
+    array_distinct tells in one pass, skip the sorts.
     """
-    ordered = F.array_sort(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    marked = F.aggregate(
-        ordered,
-        F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(-1).alias("i"), F.array().cast("array<int>").alias("out")),
-        lambda acc, x: F.struct(
-            x.h.alias("h"), x.i.alias("i"),
-            F.when(F.equal_null(acc.h, x.h), F.concat(acc.out, F.array(acc.i, x.i))).otherwise(acc.out).alias("out"),
-        ),
-        lambda acc: acc.out,
-    )
-    return F.when(F.size(F.array_distinct("_grams")) == F.size("_grams"), F.lit(0)).otherwise(
-        F.size(F.array_distinct(F.flatten(F.transform(marked, lambda i: F.array(i, i + 1, i + 2)))))
-    )
+    placed = F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    none = F.array().cast("array<struct<h: bigint, i: int>>")
+    repeats = F.size(F.array_distinct("_grams")) < F.size("_grams")
+    rows = rows.withColumn("_ordered", F.when(repeats, F.sort_array(placed)).otherwise(none)).drop("_grams")
+    pairs = F.greatest(F.size("_ordered") - 1, F.lit(0))
+    equal = F.zip_with(F.slice("_ordered", 1, pairs), F.slice("_ordered", 2, pairs), lambda a, b: a.h == b.h)
+    rows = rows.withColumn("_equal", equal)
+    marked = F.zip_with(F.concat(F.array(F.lit(False)), "_equal"), F.concat("_equal", F.array(F.lit(False))), lambda a, b: a | b)
+    places = F.filter(F.zip_with("_ordered", marked, lambda x, m: F.when(m, x.i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_places", F.sort_array(places)).drop("_ordered", "_equal")
+    gaps = F.greatest(F.size("_places") - 1, F.lit(0))
+    added = F.zip_with(F.slice("_places", 1, gaps), F.slice("_places", 2, gaps), lambda a, b: F.least(b - a, F.lit(3)))
+    total = F.aggregate(added, F.lit(0), lambda acc, x: acc + x) + F.when(F.size("_places") > 0, 3).otherwise(0)
+    return rows.withColumn("n_repeat_words", total.cast("long")).drop("_places")
 
 
 def ledger(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,19 +83,19 @@ def ledger(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.regexp_extract_all(text, F.lit(WORD), 0).alias("_words"),
         F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD)).alias("_lines"),
         F.length(F.regexp_replace(text, _SPACE, "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(text, _NO_SYMBOL, "")).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(_SYMBOL)).cast("long").alias("n_symbols"),
     )
     n = F.size("_words")
     grams = F.transform(
         F.when(n > 2, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>")),
         lambda i: F.xxhash64(F.element_at("_words", i), F.element_at("_words", i + 1), F.element_at("_words", i + 2)),
     )
-    measured = rows.select(
+    measured = _with_repeat_words(rows.select(
         "doc_id", n.cast("long").alias("n_words"), "word_chars", "n_symbols",
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         grams.alias("_grams"),
-    ).withColumn("n_repeat_words", _repeat_words().cast("long")).drop("_grams")
+    ))
     bits = F.lit(0).cast("long")
     for bit, _, condition in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))

@@ -22,6 +22,34 @@ def test_ledger_equals_brute_force(docs_of, odd_texts):
     assert rules.ledger(docs_of(texts).limit(0)).count() == 0
 
 
+def brute_repeats(words):
+    seen, hit = {}, set()
+    for k in range(len(words) - 2):
+        seen.setdefault(tuple(words[k : k + 3]), []).append(k)
+    for places in seen.values():
+        if len(places) > 1:
+            hit.update(k + j for k in places for j in range(3))
+    return len(hit)
+
+
+def test_ledger_of_long_repetitive_texts(docs_of):
+    """A million words of one repeated line, and repeats strewn over a text, in time close to their length."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    texts = {
+        1: ["a", "b", "c", "d"] * 250_000,
+        2: [f"w{rng.randrange(300)}" for _ in range(40_000)],
+        3: ["x"] * 300_000 + [f"u{i}" for i in range(50_000)],
+        4: [w for i in range(3000) for w in (f"v{i}", "same", "three", "words")],
+    }
+    start = time.monotonic()
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in rules.ledger(docs_of([(i, " ".join(w)) for i, w in texts.items()])).collect()}
+    assert got == {i: (len(w), brute_repeats(w)) for i, w in texts.items()}
+    assert time.monotonic() - start < 60
+
+
 def test_ablation_counts_what_each_rule_does(spark):
     rows = spark.createDataFrame([(b,) for b in (0, 1, 1, 3, 4, 5)], "failed_rules bigint")
     got = {r.rule: (r.failed, r.only_this, r.without_it) for r in rules.ablation(rows, rules.POLICIES[1]).collect()}
