@@ -85,15 +85,20 @@ def test_quality_model_and_its_corner_cases(spark, docs_of):
     assert quality_classifier.score(docs.limit(0), vectors, net).count() == 0
 
 
-def test_forward_algorithm_sums_all_segmentations():
-    names = language_id.letter_pieces([b"ab", b"abc", b"bc"])
-    p = np.zeros((len(names) + 1, 1))
+def _words_of(texts, names):
+    raw = np.frombuffer(" ".join(texts).encode(), dtype=np.uint8)
+    _, start, end = language_id.runs(raw, np.array([0, len(raw)]))
+    return language_id.distinct(raw, start, end, language_id.Trie(names))
+
+
+def test_forward_sums_all_segmentations():
+    names = language_id.letter_pieces([b"ab", b" abc", b"bc", b"A1", b"!"])
+    assert b"abc" in names and b"A1" not in names and b"!" not in names
+    p = np.zeros((len(names), 1))
     value = {b"a": 0.1, b"b": 0.2, b"c": 0.3, b"ab": 0.15, b"bc": 0.05, b"abc": 0.01}
     for k, v in value.items():
         p[names.index(k), 0] = v
-    raw = np.frombuffer(b"abc", dtype=np.uint8)
-    _, start, end = language_id.runs(raw, np.array([0, 3]))
-    words, _ = language_id.distinct(raw, start, end, language_id.Pieces(names))
+    words, _ = _words_of(["abc"], names)
     exact = 0.1 * 0.2 * 0.3 + 0.15 * 0.3 + 0.1 * 0.05 + 0.01
     assert language_id.word_scores(words, p)[0, 0] == pytest.approx(np.log(exact))
     counts = language_id.expected_counts(words, p, np.ones((1, 1)))
@@ -101,14 +106,57 @@ def test_forward_algorithm_sums_all_segmentations():
     assert sum(len(n) * counts[i, 0] for i, n in enumerate(names)) == pytest.approx(3.0)
 
 
+def test_sums_over_the_whole_vocabulary_equal_brute_force():
+    """Every segmentation of short words is listed; longer runs are summed by a plain recursion in logarithms."""
+    import itertools
+
+    names = language_id.letter_pieces(list(RANKS))
+    lowered = {x.removeprefix(b" ").decode(errors="replace").lower() for x in RANKS}
+    assert max(map(len, names)) > 12 and "international" in lowered and b"international" in names
+    rng = np.random.default_rng(8)
+    p = rng.random((len(names), 2)) ** 4 * 1e-3
+    number = {n: i for i, n in enumerate(names)}
+    texts = ["internationally", "theshorthouse", "größe", "straßenbahn", "привет", "язык", "日本語", "한국어", "ελλάδα", "e\u0301te\u0301"]
+    words, back = _words_of(texts, names)
+    scores = language_id.word_scores(words, p)
+    counts = np.zeros_like(p)
+    for text, at in zip(texts, back):
+        raw, total = text.encode(), np.zeros(2)
+        for cuts in itertools.product([0, 1], repeat=len(raw) - 1):
+            parts, begin = [], 0
+            for i, cut in enumerate((*cuts, 1), 1):
+                if cut:
+                    parts.append(number.get(raw[begin:i], -1))
+                    begin = i
+            if -1 not in parts:
+                total += np.prod(p[parts], axis=0)
+        assert np.exp(scores[at]) == pytest.approx(total, rel=1e-9)
+    long = ["haus" * 1500, "привет" * 400, "".join(chr(97 + c) for c in rng.integers(0, 26, 5000))]
+    words, back = _words_of([*long, *texts], names)
+    scores = language_id.word_scores(words, p)
+    for text, at in zip(long, back):
+        raw = text.encode()
+        alpha = np.full((len(raw) + 1, 2), -np.inf)
+        alpha[0] = 0.0
+        for j in range(1, len(raw) + 1):
+            found = [(m, number[raw[j - m : j]]) for m in range(1, min(j, words.longest_piece) + 1) if raw[j - m : j] in number]
+            alpha[j] = np.logaddexp.reduce([alpha[j - m] + np.log(p[i]) for m, i in found], axis=0)
+        assert scores[at] == pytest.approx(alpha[-1], rel=1e-10)
+    weight = rng.random((len(words.length), 2))
+    counts = language_id.expected_counts(words, p, weight)
+    lengths = np.array([len(n) for n in names])
+    assert lengths @ counts == pytest.approx(words.length @ weight, rel=1e-9)
+    assert np.allclose(counts, language_id.expected_counts(words, p, weight, places=50), rtol=1e-9)
+
+
 def test_languages(spark):
     one, two = "the house and the garden with that river", "das haus und der garten mit dem fluss"
     rows = [(i, (one if i % 2 else two), "en" if i % 2 else "de") for i in range(80)] + [(90, one, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     model = language_id.learn(docs, list(RANKS))
-    probe = spark.createDataFrame([(1, "the river and that house"), (2, "der fluss und das haus"), (3, None), (4, "123 ?!"), (None, "garden"), (5, "haus" * 20_000)], "doc_id bigint, text string")
+    probe = spark.createDataFrame([(1, "the river and that house"), (2, "der fluss und das haus"), (3, None), (4, "123 ?!"), (None, "garden"), (5, "haus" * 20_000), (6, "\u201c\u0661\u0662\u201d")], "doc_id bigint, text string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(probe, model).collect()}
-    assert [got[k][0] for k in (1, 2, 3, 4, None, 5)] == ["en", "de", "und", "und", "en", "de"]
+    assert [got[k][0] for k in (1, 2, 3, 4, None, 5, 6)] == ["en", "de", "und", "und", "en", "de", "und"]
     assert got[3][1] == 0 and 0.5 <= got[1][1] <= 1
     assert language_id.predict(probe, language_id.learn(docs.limit(0), list(RANKS))).where("lang_pred <> 'und'").count() == 0
 
