@@ -3,14 +3,17 @@
 Entities are found by patterns (mail addresses, phone numbers, card numbers, network addresses, national numbers,
 secrets, titled and known names) and get keyed replacements: a keyed hash of type and entity draws digits for digits,
 letters for letters and names for names, so that format, script and gender stay. The same entity gets the same
-surrogate everywhere (coreference); a check over all entities gives those whose surrogates collide with
-each other, or with an entity of the corpus, a new draw until all are distinct.
+surrogate everywhere (coreference), whatever the letter case of a mail address or the spacing of a number; a check over all
+entities gives those whose surrogates collide with each other, or with an entity of the corpus, a new draw until all are
+distinct. From the fourth draw on surrogates grow, so that this ends for any number of entities. Who holds the key can
+tell surrogates from chance, so it is the caller's. Names are found after a title or when their given name is listed, and a family
+name alone is not led back to a full name.
 
 Only documents with an entity are joined and rewritten; all others pass through without a shuffle. The entity
 table is written once, and no list of entities reaches the driver.
 
 Defined results: null texts stay null and empty ones empty, with no entities; rows that repeat id and text get the same
-text; null ids are treated like others; an empty table gives an empty one; all columns of the documents are kept.
+text; very long texts are searched whole; null ids are treated like others; an empty table gives an empty one; all columns of the documents are kept.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 from panelstress.llm.common import free_name
 from panelstress.session import materialize
 
-KEY = b"panelstress"
-MAX_ROUNDS = 64
+#: Attempt from which on surrogates grow.
+LONGER = 3
 
 #: Invented or common given names by gender and script, and family names; a draw takes one of the same kind.
 GIVEN = {
@@ -146,9 +149,37 @@ def _luhn(digits: str) -> bool:
     return sum(d[0::2] + [sum(divmod(2 * x, 10)) for x in d[1::2]]) % 10 == 0
 
 
-def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
-    """Replacement of the same type, script, gender and format; another one for every attempt."""
+_SPACED = ("phone", "card", "iban", "national")
+
+
+def identity(kind: str, value: str) -> str:
+    """What all spellings of one entity share: letter case of mail addresses and spacing of numbers do not count."""
+    if kind == "email":
+        return value.lower()
+    if kind in _SPACED:
+        head = re.match(r"\+\d{1,3}(?=[ .(-])", value)
+        keep = head.end() if head else 0
+        return value[:keep] + (" " if keep else "") + re.sub(r"[^0-9A-Za-z+]", "", value[keep:])
+    return value
+
+
+def render(kind: str, value: str, new: str) -> str:
+    """A surrogate of an identity in the letter case or spacing of one mention."""
+    if kind == "email":
+        return "".join(c.upper() if value[i : i + 1].isupper() else c for i, c in enumerate(new))
+    if kind in _SPACED:
+        signs = iter(c for c in new if c.isalnum())
+        return "".join(next(signs, "") if c.isalnum() else c for c in value) + "".join(signs)
+    return new
+
+
+def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
+    """Replacement of the same type, script, gender and format; another one for every attempt.
+
+    From attempt LONGER on every attempt is one sign longer, so that there is room for any number of entities.
+    """
     draw = _Draw(key, kind, value, attempt)
+    extra = max(0, attempt - LONGER + 1)
     if kind.startswith("name:"):
         _, gender, script = kind.split(":")
         words = []
@@ -168,25 +199,29 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
             out += tail[draw.below(len(tail))]
         return out
     if kind == "ip":
+        if extra:  # an address of the larger space
+            return ":".join(f"{draw.below(1 << 16):x}" for _ in range(8))
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         labels = domain.split(".")
-        return f"{_like(local, draw)}@{'.'.join([_like(x, draw) for x in labels[:-1]] + labels[-1:])}"
+        more = "".join(chr(97 + draw.below(26)) for _ in range(extra))
+        return f"{_like(local, draw)}{more}@{'.'.join([_like(x, draw) for x in labels[:-1]] + labels[-1:])}"
+    digits = "".join(str(draw.below(10)) for _ in range(extra))
     if kind == "iban":
-        return value[:2] + _like(value[2:], draw)
+        return value[:2] + _like(value[2:], draw) + digits
     if kind == "phone":
         head = re.match(r"\+\d{1,3}(?=[ .(-])", value)
         keep = head.end() if head else 0
-        return value[:keep] + _like(value[keep:], draw)
-    out = _like(value, draw)
+        return value[:keep] + _like(value[keep:], draw) + digits
+    out = _like(value, draw) + digits
     if kind == "card":
         digits = re.sub(r"\D", "", value)
         if _luhn(digits):  # a valid number gets a valid one
             last = max(i for i, c in enumerate(out) if c.isdigit())
             out = next(o for d in "0123456789" if _luhn(re.sub(r"\D", "", o := out[:last] + d + out[last + 1 :])))
     elif kind == "secret" and re.fullmatch(r"[0-9a-f]+", value):
-        out = "".join("0123456789abcdef"[draw.below(16)] for _ in value)
+        out = "".join("0123456789abcdef"[draw.below(16)] for _ in range(len(value) + extra))
     return out
 
 
@@ -197,7 +232,7 @@ def _marked(documents: DataFrame, text_col: str, mark: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"kind": k, "value": v} for k, v in sorted({(k, v) for _, _, k, v in find(t)})] if t else [] for t in batch.column(text_col).to_pylist()]
+            found = [[{"kind": k, "value": v} for k, v in sorted({(k, identity(k, v)) for _, _, k, v in find(t)})] if t else [] for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, mark])
 
     return documents.mapInArrow(run, f"{columns}, `{mark}` array<struct<kind:string,value:string>>")
@@ -214,7 +249,7 @@ def _draws(entities: DataFrame, key: bytes) -> DataFrame:
     return entities.mapInArrow(run, "kind string, value string, attempt int, surrogate string")
 
 
-def surrogate_table(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
     """kind, value, attempt, surrogate of distinct (kind, value): distinct surrogates, none an entity of the corpus.
 
     In every round those whose surrogate is taken draw again: all but the smallest of equal surrogates, and those
@@ -223,7 +258,7 @@ def surrogate_table(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     entities = materialize(entities.select("kind", "value").distinct(), "entities")
     table = materialize(_draws(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
     real = entities.select(F.col("value").alias("surrogate")).distinct().withColumn("real", F.lit(True))
-    for _ in range(MAX_ROUNDS):
+    while True:  # every attempt beyond the first few multiplies the room, so few rounds follow
         rank = F.struct("attempt", "kind", "value")
         first = table.groupBy("surrogate").agg(F.min(rank).alias("first"))
         checked = table.join(first, "surrogate").join(real, "surrogate", "left").withColumn("again", F.col("real").isNotNull() | (rank != F.col("first")))
@@ -232,10 +267,9 @@ def surrogate_table(entities: DataFrame, key: bytes = KEY) -> DataFrame:
             return checked.drop("again")
         redrawn = _draws(checked.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), key)
         table = materialize(checked.where("NOT again").drop("again").unionByName(redrawn), "surrogates")
-    raise ValueError("surrogates still collide; the key space of a type is too small for its entities")
 
 
-def replace_entities(documents: DataFrame, text_col: str = "text", count_col: str | None = None, key: bytes = KEY) -> DataFrame:
+def replace_entities(documents: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """The documents with every entity replaced; ``count_col`` adds the number of replacements."""
     mark, names = free_name(documents, "_entities"), free_name(documents, "_mark")
     marked = _marked(documents, text_col, mark)
@@ -259,7 +293,7 @@ def replace_entities(documents: DataFrame, text_col: str = "text", count_col: st
                 new = {(r["kind"], r["value"]): r["surrogate"] for r in rows}
                 out, at, n = [], 0, 0
                 for start, end, kind, value in find(text):
-                    out += [text[at:start], new[kind, value]]
+                    out += [text[at:start], render(kind, value, new[kind, identity(kind, value)])]
                     at, n = end, n + 1
                 texts.append("".join([*out, text[at:]]))
                 numbers.append(n)

@@ -12,6 +12,8 @@ from panelstress.llm.common import held_out
 
 RANKS = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
+KEY = b"tests"
+
 
 def test_bpe_equals_the_library(docs_of, odd_texts):
     texts = odd_texts + [(20, "é日本 don't  stop\n\n 123!!"), (21, "ab" * 3000), (22, "<|endoftext|> x")]
@@ -206,7 +208,7 @@ def test_surrogates(docs_of):
         (1, "Write to ann.b@mail.example.com or +1 (555) 555-0199, from 10.1.2.3."), (2, "again ann.b@mail.example.com; card 4111 1111 1111 1111"),
         (3, 'token = "abcdef0123456789abcdef01"'), (4, "Frau Anna Keller met Mr. Paul Weber. Mr. Paul Weber left."), (5, "Nothing here: 12 of 13"), (6, None), (7, ""), (None, "ip 10.1.2.3"), (5, "Nothing here: 12 of 13"),
     ]
-    rows = {(r.doc_id, i): r for i, r in enumerate(sorted(pii.replace_entities(docs_of(texts), count_col="n").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0)))}
+    rows = {(r.doc_id, i): r for i, r in enumerate(sorted(pii.replace_entities(docs_of(texts), KEY, count_col="n").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0)))}
     out = {k[0]: r.text for k, r in rows.items()}
     assert out[5] == "Nothing here: 12 of 13" and out[6] is None and out[7] == ""
     mail = next(pii.find(out[1]))
@@ -217,12 +219,47 @@ def test_surrogates(docs_of):
     assert card.count(" ") == 3 and pii._luhn(card.replace(" ", "")) and card != "4111 1111 1111 1111"
     names = [(k, v) for _, _, k, v in pii.find(out[4])]
     assert [k for k, _ in names] == ["name:f:latin", "name:m:latin", "name:m:latin"] and names[1] == names[2]
-    assert pii.replace_entities(docs_of([])).count() == 0
+    assert pii.replace_entities(docs_of([]), KEY).count() == 0
 
 
 def test_colliding_surrogates_draw_again(spark):
     """Far more names than pairs in the lists: later draws must settle all of them."""
     many = spark.range(3000).selectExpr("'name:f:latin' AS kind", "concat('Anna N', id) AS value")
-    table = pii.surrogate_table(many)
+    table = pii.surrogate_table(many, KEY)
     assert table.select("surrogate").distinct().count() == 3000
     assert table.where("attempt > 0").count() > 0
+
+
+def test_surrogates_of_more_addresses_than_their_form_has_room_for(spark):
+    """5,000 addresses as short as a@b.com: brute-force check that surrogates are distinct, new and of the same type."""
+    import itertools
+    import re
+
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789"
+    values = [f"{a}{b}@{c}.com" for a, b, c in itertools.islice(itertools.product(signs, ["", *signs], signs), 0, 45_000, 9)]
+    assert len(set(values)) == 5000
+    ips = [f"10.0.{i // 200}.{i % 200}" for i in range(300)]
+    rows = [("email", v) for v in values] + [("ip", v) for v in ips]
+    table = pii.surrogate_table(spark.createDataFrame(rows, "kind string, value string"), KEY).collect()
+    new = [r.surrogate for r in table]
+    assert len(table) == len(rows) and len(set(new)) == len(new) and not set(new) & {v for _, v in rows}
+    assert all(re.fullmatch(r"[a-z0-9]+@[a-z0-9]+\.com", r.surrogate) for r in table if r.kind == "email")
+    again = pii.surrogate_table(spark.createDataFrame(rows[::-1], "kind string, value string"), KEY).collect()
+    assert sorted(map(tuple, table)) == sorted(map(tuple, again))
+    other = pii.surrogate_table(spark.createDataFrame(rows[:50], "kind string, value string"), b"another").collect()
+    assert {r.surrogate for r in other}.isdisjoint({r.surrogate for r in table if r.value in {v for _, v in rows[:50]}})
+
+
+def test_spellings_of_one_entity_share_a_surrogate(spark):
+    texts = [
+        (1, "Mail Ann.Lee@Site.org or ann.lee@site.org now"), (2, "pay 4111 1111 1111 1111 or 4111111111111111 or 4111-1111-1111-1111"),
+        (3, "iban DE89 3704 0044 0532 0130 00 or DE89370400440532013000"), (4, "x" * 300_000 + " mail ann.lee@site.org"),
+    ]
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in texts], "doc_id bigint, text string, kind string, value string")
+    out = {r.doc_id: r.text for r in pii.replace_entities(df, KEY).collect()}
+    mails = [v for _, _, k, v in pii.find(out[1]) if k == "email"]
+    assert mails[0].lower() == mails[1] and mails[0] != mails[1] and mails[1] != "ann.lee@site.org" and out[4].endswith(mails[1])
+    cards = [v for _, _, k, v in pii.find(out[2]) if k == "card"]
+    assert len({v.replace(" ", "").replace("-", "") for v in cards}) == 1 and cards[0].count(" ") == 3 and cards[2].count("-") == 3 and pii._luhn(cards[1])
+    ibans = [v for _, _, k, v in pii.find(out[3]) if k == "iban"]
+    assert ibans[0].replace(" ", "") == ibans[1] and ibans[0][:2] == "DE" and ibans[0].count(" ") == 5
