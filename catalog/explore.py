@@ -164,9 +164,14 @@ cte("c_slopes", """
 SELECT a.variable, a.entity, median((b.v - a.v) / (b.y - a.y)) AS slope, sum(sign((b.v - a.v) / (b.y - a.y))) AS s
 FROM c_year a JOIN c_year b ON b.variable = a.variable AND b.entity = a.entity AND b.y > a.y GROUP BY ALL
 """)
+cte("c_ties", """
+SELECT variable, entity, sum(t * (t - 1.0) * (2.0 * t + 5.0)) AS ties FROM (SELECT variable, entity, v, count(*) AS t FROM c_year GROUP BY ALL) GROUP BY ALL
+""")
 cte("c_trend", """
-SELECT *, (s - sign(s)) / sqrt(n * (n - 1.0) * (2.0 * n + 5.0) / 18.0) AS z FROM (
-  SELECT variable, entity, min(y) AS start_year, max(y) AS end_year, CAST(count(*) AS DOUBLE) AS n FROM c_year GROUP BY ALL) JOIN c_slopes USING (variable, entity)
+SELECT *, CASE WHEN var > 0 THEN (s - sign(s)) / sqrt(CASE WHEN var > 0 THEN var END) ELSE 0.0 END AS z FROM (
+  SELECT *, (n * (n - 1.0) * (2.0 * n + 5.0) - ties) / 18.0 AS var FROM (
+    SELECT variable, entity, min(y) AS start_year, max(y) AS end_year, CAST(count(*) AS DOUBLE) AS n FROM c_year GROUP BY ALL)
+  JOIN c_slopes USING (variable, entity) JOIN c_ties USING (variable, entity))
 """)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelstress.functions.numeric import month_number
 from panelstress.functions.special import normal_two_sided_p
+from panelstress.operators import trend
 from panelstress.operators.clean import outside
 from panelstress.operators.quantiles import split_quantiles
 from panelstress.spec import PanelSpec
@@ -205,42 +208,42 @@ def lag_correlations(df: DataFrame, driver: str, responses: list[str], lags: lis
     return wide.select(spec.entity, F.explode(F.array(*cells)).alias("c")).select(spec.entity, "c.*")
 
 
+def _series_trends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slope, S and variance of the series of every row."""
+    for batch in batches:
+        found = []
+        for x, y in zip(batch.column("_x"), batch.column("_y")):
+            x, y = x.values.to_numpy(), y.values.to_numpy()
+            found.append((trend.theil_sen(x, y), *trend.kendall(y)))
+        slope, s, variance = zip(*found) if found else ((), (), ())
+        kept = [batch.column(c) for c in batch.schema.names[:-2]]
+        columns = [pa.array(slope, pa.float64()), pa.array([float(v) for v in s]), pa.array(variance, pa.float64())]
+        yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*batch.schema.names[:-2], "theil_sen_slope", "_score", "_variance"])
+
+
 def trend_table(long: DataFrame, spec: PanelSpec, significance: float = 0.05) -> DataFrame:
     """Theil-Sen slope, Kendall tau and Mann-Kendall test of yearly means per (variable, entity).
 
-    The yearly series of an entity (one value per calendar year) sits in one array; slopes and signs
-    are computed inside that row, so no pairs are emitted or shuffled.
+    The yearly series of an entity (one value per calendar year) sits in one row, and is worked on inside it in memory that
+    grows with its length; no pairs are emitted or shuffled. The variance of S is corrected for ties; where all values are
+    equal it is zero, and so is the test's statistic.
     """
     e = spec.entity
     yearly = long.groupBy("variable", e, F.year(spec.date).alias("_y")).agg(F.avg("value").alias("_v"))
     series = yearly.where(F.col("_v").isNotNull()).groupBy("variable", e).agg(
         F.sort_array(F.collect_list(F.struct("_y", "_v"))).alias("_s")
     )
-    n = F.size("_s")
-    slopes = F.flatten(
-        F.transform(
-            "_s",
-            lambda a, i: F.transform(
-                F.slice(F.col("_s"), i + 2, F.size("_s")),
-                lambda b: (b["_v"] - a["_v"]) / (b["_y"] - a["_y"]).cast("double"),
-            ),
-        )
+    rows = series.select(
+        "variable", e, F.get("_s", F.lit(0))["_y"].alias("start_year"), F.element_at("_s", -1)["_y"].alias("end_year"),
+        F.size("_s").alias("years_count"), F.transform("_s", lambda p: p["_y"].cast("double")).alias("_x"), F.transform("_s", lambda p: p["_v"]).alias("_y"),
     )
-    ordered = series.withColumn("_slopes", F.sort_array(slopes)).withColumn("_k", F.size("_slopes"))
-    mid = (F.col("_k") / 2).cast("int")
-    median = F.when(
-        F.col("_k") % 2 == 1, F.get("_slopes", mid)
-    ).otherwise((F.get("_slopes", mid - 1) + F.get("_slopes", mid)) / 2.0)
-    s = F.aggregate("_slopes", F.lit(0.0), lambda acc, v: acc + F.signum(v))
-    nd = n.cast("double")
-    out = ordered.withColumn("_score", s).withColumn("years_count", n)
-    variance = nd * (nd - 1.0) * (2.0 * nd + 5.0) / 18.0
-    pairs = nd * (nd - 1.0) / 2.0
-    z = (F.col("_score") - F.signum("_score")) / F.sqrt(F.nullif(variance, F.lit(0.0)))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]]
+    out = rows.mapInArrow(_series_trends, ", ".join([*kept, "theil_sen_slope double, _score double, _variance double"]))
+    nd = F.col("years_count").cast("double")
+    z = F.when(F.col("_variance") > 0, (F.col("_score") - F.signum("_score")) / F.sqrt("_variance")).when(nd > 1, F.lit(0.0))
     significant = F.col("p_value") < significance
     return (
-        out.withColumn("theil_sen_slope", F.when(F.col("_k") > 0, median))
-        .withColumn("kendall_tau", F.col("_score") / F.nullif(pairs, F.lit(0.0)))
+        out.withColumn("kendall_tau", F.col("_score") / F.nullif(nd * (nd - 1.0) / 2.0, F.lit(0.0)))
         .withColumn("mann_kendall_z", z)
         .withColumn("p_value", normal_two_sided_p(F.col("mann_kendall_z")))
         .withColumn(
@@ -250,7 +253,6 @@ def trend_table(long: DataFrame, spec: PanelSpec, significance: float = 0.05) ->
             .otherwise("No Significant Trend"),
         )
         .select(
-            "variable", e, F.get("_s", F.lit(0))["_y"].alias("start_year"), F.element_at("_s", -1)["_y"].alias("end_year"),
-            "years_count", "theil_sen_slope", "kendall_tau", "mann_kendall_z", "p_value", "trend_direction",
+            "variable", e, "start_year", "end_year", "years_count", "theil_sen_slope", "kendall_tau", "mann_kendall_z", "p_value", "trend_direction",
         )
     )

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelstress.operators import explore
+from panelstress.operators import explore, trend
 from panelstress.operators import sequences as seq
 from panelstress.sources import readers, sinks
 from tests.conftest import monthly_frame
@@ -89,3 +89,34 @@ def test_stages_are_removed_when_the_caller_is_done(spark, tmp_path):
     assert kept.count() == 5 and any((tmp_path / "a/stages").iterdir())
     assert session.remove_stages(spark, before) == 1
     assert not any((tmp_path / "a/stages").iterdir()) and session.stages_written() == before
+
+
+@pytest.mark.parametrize("n, kinds", [(2, 50), (7, 2), (300, 12), (2000, 10**6)])
+def test_trend_statistics_equal_all_pairs(n, kinds):
+    """Against numpy over all pairs; few kinds of values make many ties."""
+    rng = np.random.default_rng(n)
+    x, y = np.sort(rng.choice(10 * n, n, replace=False)).astype(float), rng.integers(0, kinds, n) / 7.0
+    i, j = np.triu_indices(n, 1)
+    s, variance = trend.kendall(y)
+    assert s == np.sign(y[j] - y[i]).sum() and trend.inversions(y) == (y[j] < y[i]).sum()
+    ties = np.unique(y, return_counts=True)[1]
+    assert variance == pytest.approx((n * (n - 1) * (2 * n + 5) - (ties * (ties - 1) * (2 * ties + 5)).sum()) / 18)
+    assert trend.theil_sen(x, y) == np.median((y[j] - y[i]) / (x[j] - x[i]))
+
+
+def test_long_series_are_selected_by_blocks(monkeypatch):
+    rng = np.random.default_rng(0)
+    x, y = np.arange(5000.0), np.round(rng.normal(size=5000), 1)
+    i, j = np.triu_indices(5000, 1)
+    exact = np.median((y[j] - y[i]) / (x[j] - x[i]))
+    held = []
+    blocks = trend._slopes
+    monkeypatch.setattr(trend, "_slopes", lambda a, b: (held.append(len(s)) or s for s in blocks(a, b)))
+    assert trend.theil_sen(x, y) == exact and max(held) <= trend.BLOCK
+    assert trend.kendall(y)[0] == np.sign(y[j] - y[i]).sum()
+    monkeypatch.setattr(trend, "BLOCK", 64)
+    for values in (y[:90], np.zeros(90), np.repeat([0.0, 5.0], 45), np.concatenate([y[:80], [1e300, -1e300]])):
+        a, b = np.triu_indices(len(values), 1)
+        with np.errstate(over="ignore"):
+            assert trend.theil_sen(x[: len(values)], values) == np.median((values[b] - values[a]) / (x[b] - x[a]))
+    assert trend.theil_sen(x[:1], y[:1]) is None
