@@ -93,17 +93,20 @@ def partial_moments(inputs: int, targets: int, shift: np.ndarray):
     return reduce_batches
 
 
+#: Rows whose medians the moments are taken about.
+SHIFT_ROWS = 64
+
+
 def fit_moments(df: DataFrame, x: Column, y: Column, inputs: int, targets: int) -> dict[str, Moments]:
     """Gram matrix of the rows of each split: matrix products in the tasks, sums in one small aggregation.
 
-    Only (1 + inputs + targets)^2 numbers per split reach the driver, whatever the number of rows. A first
-    aggregation gives the means; products of centred values do not cancel when a mean is large.
+    Only (1 + inputs + targets)^2 numbers per split reach the driver, whatever the number of rows. Values are shifted by
+    the medians of a few rows, so that products do not cancel when a mean is large; a shift does not change a fit, so any
+    rows will do, and the data are read once.
     """
     rows = df.select("split", x.cast("array<double>").alias("x"), y.cast("array<double>").alias("y"))
-    means = rows.agg(
-        *[F.avg(F.col("x")[i]).alias(f"x{i}") for i in range(inputs)], *[F.avg(F.col("y")[i]).alias(f"y{i}") for i in range(targets)]
-    ).first()
-    shift = np.array([0.0 if v is None else v for v in means])
+    few = [[*r["x"], *r["y"]] for r in rows.select("x", "y").limit(SHIFT_ROWS).collect()]
+    shift = np.nan_to_num(np.median(np.array(few, dtype=float), axis=0)) if few else np.zeros(inputs + targets)
     partial = rows.mapInPandas(partial_moments(inputs, targets, shift), "split string, g array<double>")
     cells = partial.select("split", F.posexplode("g").alias("i", "v")).groupBy("split", "i").agg(F.sum("v").alias("v"))
     size = 1 + inputs + targets
