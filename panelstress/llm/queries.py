@@ -116,7 +116,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_url_filters", url_filters.OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.judge(pages, url_filters.listed_domains(pages))
 
 
 @query("op11_periodic_runs")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelstress.llm import quality_rules as rules
@@ -56,14 +57,17 @@ def test_ablation_counts_what_each_rule_does(spark):
     assert got == {"few_words": (4, 2, 3), "repeated_words": (1, 0, 5), "symbols": (2, 1, 4)}
 
 
-def test_cascade_is_exact_on_its_universe(spark):
+@pytest.mark.parametrize("shard_keys", [urls.SHARD_KEYS, 100])
+def test_cascade_is_exact_on_its_universe(spark, shard_keys):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = F.pmod(F.crc32("key"), F.lit(3)) == 0
-    cascade = urls.build_cascade(keys, listed)
-    assert len(cascade.levels) >= 2
-    assert keys.where(urls.contains(F.col("key"), cascade) != listed).count() == 0
-    assert urls.build_cascade(keys, listed, max_bits=10).listed is not None
-    assert urls.build_cascade(keys.limit(0), listed).levels == ()
+    cascade = urls.build_cascade(keys, listed, shard_keys)
+    assert len(cascade.sizes) >= 2 and (cascade.shards > 9) == (shard_keys == 100)
+    assert cascade.sizes[0] > 50 * cascade.sizes[1]
+    got = urls.with_membership(keys, "key", cascade, ["key"])
+    assert got.count() == 3000 and got.where(F.col("listed") != listed).count() == 0
+    empty = urls.build_cascade(keys.limit(0), listed, shard_keys)
+    assert empty.sizes == () and urls.with_membership(keys, "key", empty, ["key"]).where("listed").count() == 0
 
 
 def test_judgements(spark):
@@ -72,9 +76,24 @@ def test_judgements(spark):
         (3, "https://notexample.org/es/1", "org/", "allow"), (4, "http://x.com/fr/1", "com/fr/", "allow"), (5, "http://x.com/de/1", "com/de/", "block"),
         (6, "http://spam-farm.x.net/en", None, "block"), (7, "http://x.net", None, "allow"), (8, None, None, "allow"), (9, "nothing", None, "allow"),
         (9, "nothing", None, "allow"), (None, "http://org", None, "allow"), (11, "http://x.com?/fr/", None, "allow"),
+        (12, "http://a.b.Spam-farm.x.net", None, "block"), (13, "http://notspam-farm.x.net", None, "allow"), (14, "http://net", None, "allow"),
+        (15, "http://" + "a." * 5000 + "spam-farm.x.net/", None, "block"), (16, "http://.", None, "allow"),
     ]
-    for bits in (urls.MAX_BITS, 10):  # the cascade, and the join beyond its bound
-        pages = spark.createDataFrame([(i, u, "b") for i, u, _, _ in rows], "page_id bigint, url string, rule string")
-        got = sorted(((r.page_id, r.rule, r.verdict) for r in urls.judge(pages, max_bits=bits).collect()), key=str)
+    domains = spark.createDataFrame([("spam-farm.x.net",), ("spam-farm.x.net",), ("unseen.net",)], "domain string")
+    pages = spark.createDataFrame([(i, u, "b") for i, u, _, _ in rows], "page_id bigint, url string, rule string")
+    for shard_keys in (urls.SHARD_KEYS, 1):
+        got = sorted(((r.page_id, r.rule, r.verdict) for r in urls.judge(pages, domains, shard_keys=shard_keys).collect()), key=str)
         assert got == sorted(((i, r, v) for i, _, r, v in rows), key=str)
-    assert urls.judge(pages.limit(0)).count() == 0
+    assert urls.judge(pages.limit(0), domains).count() == 0
+    assert urls.judge(pages, domains.limit(0)).where("verdict = 'block' and rule is null").count() == 0
+
+
+def test_list_from_pages(spark):
+    """Domains by name, and by thin pages of all their subdomains together; scripts and tags hold no words."""
+    long, thin = "<p>" + "word " * 60 + "</p>", "<script>" + "x " * 90 + "</script><b>few words</b>"
+    rows = [(f"http://s{i % 3}.thin.net/{i}", thin if i % 2 else long) for i in range(12)]
+    rows += [(f"http://s{i}.good.net/", long if i else None) for i in range(12)]
+    rows += [("http://small.info/", thin), ("http://cheap-pills.biz/", long), ("http://pillsbury.biz/", long), (None, None)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    assert {r.domain for r in urls.listed_domains(pages).collect()} == {"thin.net", "cheap-pills.biz"}
+    assert urls.listed_domains(pages.limit(0)).count() == 0
