@@ -152,8 +152,15 @@ def dedup_lines(
     drop = drop.select(F.col("d").alias(key), F.col("t").alias(mark), F.col("gone").alias(gone))
     # The deletions grow with the corpus, so they are never broadcast; hashing them spares a sort of the texts.
     joined = keyed.join(drop.hint("shuffle_hash"), [key, mark], "left")
-    lines = F.filter(F.split(text_col, "\n", -1), lambda x, n: ~F.array_contains(F.col(gone), n))
-    out = joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n")))
+    # A set difference over line numbers, so that the work is linear in a document; the split text is a variable of
+    # the outer function and made once.
+    kept = F.transform(
+        F.array(F.split(text_col, "\n", -1)),
+        lambda lines: F.array_join(
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda n: F.get(lines, n)), "\n"
+        ),
+    )
+    out = joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept[0]))
     if removed_col:
         out = out.withColumn(removed_col, F.coalesce(F.size(gone), F.lit(0)).cast("long"))
         return out.select(*documents.columns, removed_col)

@@ -46,3 +46,15 @@ def test_odd_rows(docs_of, odd_texts):
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
     assert got == sorted(odd_texts, key=str)  # rows that repeat are one document, so neither is a later copy
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_long_documents_in_linear_time(docs_of):
+    """Two equal documents of 100,000 lines: the later one loses all of them but a new line in the middle."""
+    import time
+
+    lines = [f"line {i} " + "w" * (i % 7 + 1) for i in range(100_000)]
+    texts = [(1, "\n".join(lines)), (2, "\n".join([*lines[:50_000], "something new", *lines[50_000:]]))]
+    start = time.monotonic()
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs_of(texts), removed_col="n_removed").collect()}
+    assert got == {1: (texts[0][1], 0), 2: ("something new", 100_000)}
+    assert time.monotonic() - start < 120
