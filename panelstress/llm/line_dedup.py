@@ -25,6 +25,10 @@ from panelstress.llm.common import WORD, free_name
 from panelstress.session import materialize
 
 MIN_WORDS = 50
+#: A class with more than this part of all rows is hot; there are fewer such classes than this number.
+HOT_SHARE = 1000
+#: Parts that the rows of a hot class are spread over.
+SALTS = 64
 
 _DOC = ["d", "t"]
 _AT = ["d", "t", "i"]
@@ -83,25 +87,39 @@ def _position() -> Column:
     return F.struct(*_AT)
 
 
-def _classes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """First position of every class with two members or more; combined before the shuffle."""
-    return (
+def _with_rank(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows of classes with two members or more, with the first position of their class as ``rank``.
+
+    Sizes come with the aggregation, which is combined before the shuffle. A class that holds more than a thousandth of
+    these rows is hot: fewer than a thousand can be, so their keys are sent to all tasks, and such a class is
+    met in ``SALTS`` parts.
+    """
+    classes = materialize(
         rows.groupBy(*keys)
-        .agg(F.min(_position()).alias("rank"), F.max(_position()).alias("last"))
-        .where(F.col("rank") != F.col("last")).drop("last")
+        .agg(F.min(_position()).alias("rank"), F.max(_position()).alias("last"), F.count(F.lit(1)).alias("size"))
+        .where(F.col("rank") != F.col("last")).drop("last"),
+        name,
     )
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    is_hot = F.col("size") * HOT_SHARE > total
+    hot = classes.where(is_hot).select(*keys, F.lit(SALTS).alias("parts"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    salted = marked.withColumn("salt", F.pmod(F.xxhash64(*_AT), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    parts = F.sequence(F.lit(0), F.when(is_hot, SALTS - 1).otherwise(0))
+    copies = classes.select(*keys, "rank", F.explode(parts).alias("salt"))
+    return salted.join(copies, [*keys, "salt"]).drop("salt")
 
 
 def _ranks(lines: DataFrame, max_level: int) -> DataFrame:
     """Positions of repeated lines with ``ranks``: at index k the rank on 2^k lines, null from the first unique one on."""
-    first = materialize(lines.join(_classes(lines, ["h"]), "h").select(*_AT, "n", "ahead", "back", "rank"), "rank-0").dropDuplicates(_AT)
+    first = materialize(_with_rank(lines, ["h"], "lines-alike").select(*_AT, "n", "ahead", "back", "rank"), "rank-0").dropDuplicates(_AT)
     out = first.withColumn("ranks", F.array("rank")).drop("rank")
     level = first.select(*_AT, "rank")
     for k in range(max_level):
         after = Window.partitionBy(*_DOC).orderBy("i").rangeBetween(1 << k, 1 << k)
         pairs = level.withColumn("next", F.first("rank").over(after)).where(F.col("next").isNotNull())
         pairs = pairs.withColumnRenamed("rank", "head")
-        level = materialize(pairs.join(_classes(pairs, ["head", "next"]), ["head", "next"]).select(*_AT, "rank"), f"rank-{k + 1}")
+        level = materialize(_with_rank(pairs, ["head", "next"], "pairs-alike").select(*_AT, "rank"), f"rank-{k + 1}")
         if level.isEmpty():
             break
         out = out.join(level.withColumnRenamed("rank", "r"), _AT, "left")
@@ -135,7 +153,7 @@ def deleted_lines(
     )
     found = materialize(found, "intervals")
     keys = ["length", "head", "tail"]
-    later = found.join(_classes(found, keys), keys).where(F.col("rank") != _position())
+    later = _with_rank(found, keys, "runs-alike").where(F.col("rank") != _position())
     covered = later.select(*_DOC, F.explode(F.sequence(F.col("i"), F.col("i") + length - 1)).alias("i")).distinct()
     return ranks.select(*_AT, "n").join(covered, _AT).groupBy(*_DOC).agg(F.array_sort(F.collect_list("n")).alias("gone"))
 

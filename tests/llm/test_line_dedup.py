@@ -39,6 +39,20 @@ def test_equals_brute_force(spark, docs_of, min_words):
     assert got == brute(docs, min_words)
 
 
+def test_hot_lines_are_spread(spark, docs_of, monkeypatch):
+    """One line makes up half of all lines: its rows meet their class in several parts, and results stay the same."""
+    rng = random.Random(5)
+    docs = {i: "\n".join(rng.choice(["a b", rng.choice(["c d", "e", f"f {i} g"])]) for _ in range(12)) for i in range(40)}
+    for share in (1000, 3):  # every class is hot, or the one line alone
+        monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs_of(list(docs.items())), min_words=6).collect()}
+        assert got == brute(docs, 6)
+    rows = spark.createDataFrame([(1, 1, i, "hot" if i % 2 else f"k{i // 4}") for i in range(4000)], "d int, t int, i int, h string")
+    ranked = line_dedup._with_rank(rows, ["h"], "test")
+    assert ranked.where("h = 'hot'").count() == 2000
+    assert ranked.where("h = 'hot' and rank = struct(1, 1, 1)").count() == 2000
+
+
 def test_odd_rows(docs_of, odd_texts):
     df = docs_of(odd_texts).withColumnRenamed("source", "gone").withColumnRenamed("lang", "d")
     out = line_dedup.dedup_lines(df, min_words=3, removed_col="n_removed")
