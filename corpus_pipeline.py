@@ -60,7 +60,7 @@ STAGES = [
     ("byte_bpe", tokenize),
 ]
 
-#: Models, signatures and tokens cannot be stated in SQL; tests compare every stage with brute force.
+#: Models, signatures and tokens cannot be stated in SQL; tests check what every stage keeps, not yet by brute force.
 ORACLE_SQL = None
 
 
