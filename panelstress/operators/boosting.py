@@ -5,9 +5,10 @@ per tree level adds up, inside the tasks, the gradients and counts per (model, n
 shuffle, and the best cut of each node is found where its sums are. Only cuts reach the driver: a few numbers per node. The number of
 passes is the number of rounds times the depth, however many models there are.
 
-Features are binned once, at quantiles of the training rows of their group, and written as one byte each. Margins (the forecasts so far)
-are a written column that is brought up to date every ``KEEP`` rounds; the trees since then are applied as the rows are read. A
-lost executor therefore repeats one pass.
+Features are binned once, at quantiles of the training rows of their group, and written as one byte each. The written rows are kept by the
+executors as blocks, one per group and batch, with the bins column by column; what does not fit in memory goes to disk. Margins (the
+forecasts so far) are part of a block and are brought up to date every ``KEEP`` rounds; the trees since then are applied as a block is read.
+A lost executor repeats its part of the passes from the written rows on.
 
 For squared error the gradient is the error and the second derivative is one. With G and N the sums of a node, soft thresholding
 T(G) by the L1 penalty and L2 penalty l2, a cut gains T(Gl)^2/(Nl+l2) + T(Gr)^2/(Nr+l2) - T(G)^2/(N+l2), and a leaf is worth -step * T(G)/(N+l2).
@@ -17,11 +18,13 @@ partitioning. Rows and columns are drawn per tree by a hash of the row's key, or
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +33,10 @@ from panelstress.session import materialize
 
 #: Bins of a feature, at most.
 BINS = 64
-#: Rounds after which margins are written.
+#: Rounds after which margins are brought up to date.
 KEEP = 25
+#: Rows of a part of the written rows, when there are more than every core needs.
+PART_ROWS = 500_000
 _UNIT = 2.0**20
 # Smallest gain of a cut, fewest rows of a side.
 MIN_GAIN = 1e-6
@@ -74,11 +79,14 @@ class Tree:
 
     def nodes(self, bins: np.ndarray, depth: int) -> np.ndarray:
         """Node that each row has reached after ``depth`` steps, or its leaf before."""
-        at, rows = np.ones(len(bins), dtype=np.int64), np.arange(len(bins))
-        for _ in range(depth):
-            feature = self.feature[at]
-            step = 2 * at + (bins[rows, feature] > self.cut[at])
-            at = np.where(feature < 0, at, step)
+        at = np.ones(len(bins), dtype=np.uint8 if len(self.feature) <= 256 else np.int32)
+        for level in range(depth):
+            step = at.copy()
+            for node in range(2**level, 2 ** (level + 1)):
+                if self.feature[node] >= 0:
+                    go = bins[:, self.feature[node]] > self.cut[node]
+                    step += (at + go) * (at == node)
+            at = step
         return at
 
     def values(self, bins: np.ndarray) -> np.ndarray:
@@ -166,28 +174,60 @@ def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(dtype) if len(column) else np.zeros((0, 0), dtype)
 
 
+#: Cells that a task holds before it adds up equal ones.
+_CELLS = 4_000_000
+
+
 def fit_edges(rows: DataFrame, bins: int = BINS) -> dict[int, np.ndarray]:
-    """Bin edges per group from all its rows (group, x); cells are counted before the shuffle, at most 2^16 a feature."""
+    """Bin edges per group from all its rows (group, x); a task counts its cells, at most 2^16 a feature, and sends one list a feature."""
+
+    def compact(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        return keys[first], np.add.reduceat(n[order], first)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        held, limit = 0, _CELLS
         for batch in batches:
-            group, x = batch.column("group").to_numpy(), _matrix(batch.column("x"))
-            for g in np.unique(group):
-                cells = _cells(x[group == g]).astype(np.int64)
-                keys, n = np.unique(cells + (np.arange(cells.shape[1]) << 20), return_counts=True)
-                feature = (keys + (1 << 19)) >> 20
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), g, np.int32)), pa.array(feature.astype(np.int32)), pa.array((keys - (feature << 20)).astype(np.int32)), pa.array(n.astype(np.int64))],
-                    names=["group", "feature", "cell", "n"],
-                )
+            if batch.num_rows == 0:
+                continue
+            group, x = batch.column("group").to_numpy().astype(np.int64), _matrix(batch.column("x"))
+            keys = (((group[:, None] << 16) + np.arange(x.shape[1])) << 16) + (_cells(x).astype(np.int64) + (1 << 15))
+            keys, n = np.unique(keys, return_counts=True)
+            seen.append((keys, n))
+            held += len(keys)
+            if held > limit:
+                seen = [compact(*map(np.concatenate, zip(*seen)))]
+                held = len(seen[0][0])
+                limit = max(_CELLS, 2 * held)
+        if not seen:
+            return
+        keys, n = compact(*map(np.concatenate, zip(*seen)))
+        starts = np.flatnonzero(np.diff(keys >> 16, prepend=-1))
+        for some in np.array_split(starts, -(-len(starts) // 64)):
+            stop = starts[starts > some[-1]][:1]
+            at = slice(some[0], stop[0] if len(stop) else len(keys))
+            cells = pa.array(((keys[at] & 0xFFFF) - (1 << 15)).astype(np.int32))
+            ends = pa.array(np.append(some - some[0], len(cells)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((keys[some] >> 32).astype(np.int32)), pa.array(((keys[some] >> 16) & 0xFFFF).astype(np.int32)),
+                 pa.ListArray.from_arrays(ends, cells), pa.ListArray.from_arrays(ends, pa.array(n[at].astype(np.int64)))],
+                names=["group", "feature", "cell", "n"],
+            )
+
+    def merged(cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = compact(cells.astype(np.int64) + (1 << 15), n)
+        return keys - (1 << 15), n
 
     def edges(key: tuple, table: pa.Table) -> pa.Table:
-        found = quantile_edges(table["cell"].to_numpy(), table["n"].to_numpy(), bins)
+        cells, n = (table[c].combine_chunks().flatten().to_numpy() for c in ("cell", "n"))
+        found = quantile_edges(*merged(cells, n), bins)
         return pa.table({"group": pa.array([key[0].as_py()], pa.int32()), "feature": pa.array([key[1].as_py()], pa.int32()), "edges": pa.array([found.tolist()], pa.list_(pa.float64()))})
 
-    cells = rows.select("group", "x").mapInArrow(count, "group int, feature int, cell int, n bigint")
-    counted = cells.groupBy("group", "feature", "cell").agg(F.sum("n").alias("n"))
-    found = counted.groupBy("group", "feature").applyInArrow(edges, "group int, feature int, edges array<double>").collect()
+    cells = rows.select("group", "x").mapInArrow(count, "group int, feature int, cell array<int>, n array<bigint>")
+    found = cells.groupBy("group", "feature").applyInArrow(edges, "group int, feature int, edges array<double>").collect()
     out: dict[int, np.ndarray] = {}
     width = 1 + max((r["feature"] for r in found), default=-1)
     for r in found:
@@ -264,18 +304,51 @@ def _plan(growing: list[tuple[int, _Growing]]) -> _Plan:
     return out
 
 
-def _groups(batch: pa.RecordBatch, features: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per group of the batch: whether validation, ids, bins, targets, margins."""
-    group = batch.column("group").to_numpy()
-    raw = np.frombuffer(b"".join(batch.column("bins").to_pylist()), dtype=np.uint8).reshape(len(group), features)
-    y, margins = _matrix(batch.column("y")), batch.column("m")
-    val, ids = batch.column("is_val").to_numpy(zero_copy_only=False), batch.column("id").to_numpy()
-    for g in np.unique(group):
-        at = np.flatnonzero(group == g)
-        yield int(g), val[at], ids[at], raw[at], y[at], _matrix(margins.take(pa.array(at)))
+#: Of the rows of a group in one batch: whether validation, ids, bins by column, targets, margins.
+_Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-_SUMS = "model int, node int, v array<double>"
+def _blocks(state: DataFrame, features: int) -> RDD:
+    """The written rows as (group, block), kept by the executors."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            group = batch.column("group").to_numpy()
+            raw = np.frombuffer(b"".join(batch.column("bins").to_pylist()), dtype=np.uint8).reshape(len(group), features)
+            y, margins = _matrix(batch.column("y")), batch.column("m")
+            val, ids = batch.column("is_val").to_numpy(zero_copy_only=False), batch.column("id").to_numpy()
+            for g in np.unique(group):
+                at = np.flatnonzero(group == g)
+                block = (val[at], ids[at], np.asfortranarray(raw[at]), y[at], np.asfortranarray(_matrix(margins.take(pa.array(at)))))
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([pickle.dumps(block)], pa.binary())], names=["group", "block"])
+
+    packed = state.mapInArrow(pack, "group int, block binary")
+    return packed.rdd.map(lambda r: (r[0], pickle.loads(r[1]))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _node_sums(raw: np.ndarray, place: np.ndarray, nodes: int, gradient: np.ndarray, use: np.ndarray, bins: int) -> np.ndarray:
+    """Gradients (in units) and counts per (node, feature, bin) of the rows in ``use``; ``place`` is the node's number.
+
+    Both sums are whole numbers. As long as they fit, they share one sum: the count stands above the gradients' highest bit.
+    """
+    out = np.zeros((2, nodes, raw.shape[1], bins))
+    start, size = place.astype(np.int64) * bins, nodes * bins
+    count = use.astype(float)
+    gradient = np.where(use, gradient, 0.0)
+    unit = 2.0 ** np.ceil(np.log2(2.0 * np.abs(gradient).sum() + 2.0))
+    together = unit * (len(use) + 1) < 2.0**53
+    for f in range(raw.shape[1]):
+        index = start + raw[:, f]
+        if together:
+            both = np.bincount(index, gradient + unit * count, size)
+            n = np.rint(both / unit)
+            g = both - unit * n
+        else:
+            g, n = np.bincount(index, gradient, size), np.bincount(index, count, size)
+        out[0, :, f], out[1, :, f] = g.reshape(nodes, bins), n.reshape(nodes, bins)
+    return out
 
 
 def _level_sums(plan: _Plan, depth: int, features: int, bins: int, judged: bool):
@@ -284,49 +357,40 @@ def _level_sums(plan: _Plan, depth: int, features: int, bins: int, judged: bool)
     Node 0 holds the validation sums: squared errors, absolute errors, rows.
     """
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, first = features * bins, 2**depth
-        place = np.arange(features) * bins
+    def sums(blocks: Iterator[tuple[int, _Block]]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+        first = 2**depth
         totals: dict[int, np.ndarray] = {}
         stats: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            for g, val, ids, raw, y, margins in _groups(batch, features):
-                for number, part in plan.get(g, ()):
-                    error = part.margin(raw, margins) - y[:, part.target]
-                    if judged and val.any():
-                        e = error[val]
-                        stats[number] = stats.get(number, 0.0) + np.array([np.sum(e * e), np.sum(np.abs(e)), len(e)])
-                    if part.tree is None:
-                        continue
-                    use = ~val & drawn_rows(ids, part.setting.rows, part.seed, part.turn)
-                    node = part.tree.nodes(raw, depth)
-                    wanted = np.zeros(2 * first, dtype=bool)
-                    wanted[list(part.open)] = True
-                    use &= wanted[np.minimum(node, 2 * first - 1)] & (node >= first)
-                    if not use.any():
-                        continue
-                    gradient = np.rint(error[use] * _UNIT) / _UNIT
-                    index = ((node[use] - first) * cells)[:, None] + place + raw[use]
-                    out = totals.setdefault(number, np.zeros((2, first * cells)))
-                    out[0] += np.bincount(index.ravel(), np.repeat(gradient, features), first * cells)
-                    out[1] += np.bincount(index.ravel(), minlength=first * cells)
+        for group, (val, ids, raw, y, margins) in blocks:
+            for number, part in plan.get(group, ()):
+                error = part.margin(raw, margins) - y[:, part.target]
+                if judged and val.any():
+                    e = error[val]
+                    stats[number] = stats.get(number, 0.0) + np.array([np.sum(e * e), np.sum(np.abs(e)), len(e)])
+                if part.tree is None:
+                    continue
+                use = ~val & drawn_rows(ids, part.setting.rows, part.seed, part.turn)
+                node = part.tree.nodes(raw, depth)
+                wanted = np.zeros(2 * first, dtype=bool)
+                wanted[list(part.open)] = True
+                use &= wanted[node]
+                if not use.any():
+                    continue
+                found = _node_sums(raw, np.where(use, node, first) - first, first, np.rint(error * _UNIT), use, bins)
+                found[0] /= _UNIT
+                if number in totals:
+                    totals[number] += found
+                else:
+                    totals[number] = found
         for number, v in stats.items():
-            yield _sum_row(number, 0, v)
+            yield (number, 0), v
         for number, out in totals.items():
-            halves = out.reshape(2, first, cells)
-            for k in np.flatnonzero(halves[1].any(axis=1)):
-                yield _sum_row(number, first + int(k), halves[:, k].ravel())
+            for k in np.flatnonzero(out[1].any(axis=(1, 2))):
+                yield (number, first + int(k)), out[:, k].ravel()
 
     return sums
 
 
-def _sum_row(number: int, node: int, values: np.ndarray) -> pa.RecordBatch:
-    lists = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([node], pa.int32()), lists], names=["model", "node", "v"])
-
-
 def _soft(g: np.ndarray, l1: float) -> np.ndarray:
     return np.sign(g) * np.maximum(np.abs(g) - l1, 0.0)
 
@@ -352,32 +416,25 @@ def best_cut(g: np.ndarray, n: np.ndarray, setting: TreeSetting, columns: np.nda
     return feature, cut, float(left_g[feature, cut]), float(left_n[feature, cut]), all_g, all_n
 
 
-_CUTS = "model int, node int, numbers array<double>"
-
-
 def _cuts(settings: dict[int, tuple[TreeSetting, np.ndarray]], features: int, bins: int):
     """Best cut of every node from its sums; validation sums pass through."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for model, node, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                v = v.values.to_numpy()
-                if node > 0:
-                    g, n = (np.rint(v * _UNIT) / _UNIT).reshape(2, features, bins)
-                    v = np.array(best_cut(g, np.rint(n), *settings[model]))
-                yield _sum_row(model, node, v)
+    def find(item: tuple[tuple[int, int], np.ndarray]) -> tuple[tuple[int, int], np.ndarray]:
+        (model, node), v = item
+        if node > 0:
+            g, n = (np.rint(v * _UNIT) / _UNIT).reshape(2, features, bins)
+            v = np.array(best_cut(g, np.rint(n), *settings[model]))
+        return (model, node), v
 
     return find
 
 
-def _run_level(state: DataFrame, plan: _Plan, depth: int, features: int, bins: int, judged: bool, columns) -> dict[tuple[int, int], np.ndarray]:
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    partial = state.mapInArrow(_level_sums(plan, depth, features, bins, judged), _SUMS)
-    added = partial.groupBy("model", "node").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("v")))).alias("v"))
-    rows = added.mapInArrow(_cuts(columns, features, bins), _CUTS).collect()
-    return {(r["model"], r["node"]): np.array(r["numbers"]) for r in rows}
+def _run_level(blocks: RDD, plan: _Plan, depth: int, features: int, bins: int, judged: bool, columns) -> dict[tuple[int, int], np.ndarray]:
+    nodes = sum(1 + len(part.open) for parts in plan.values() for _, part in parts)
+    added = blocks.mapPartitions(_level_sums(plan, depth, features, bins, judged)).reduceByKey(
+        lambda a, b: a + b, min(nodes, blocks.getNumPartitions()), lambda key: key[0] * 2 + key[1]
+    )
+    return dict(added.map(_cuts(columns, features, bins)).collect())
 
 
 def _grow_node(tree: Tree, node: int, numbers: np.ndarray, setting: TreeSetting) -> list[int]:
@@ -396,22 +453,15 @@ def _grow_node(tree: Tree, node: int, numbers: np.ndarray, setting: TreeSetting)
     return [2 * node, 2 * node + 1]
 
 
-def _with_margins(plan: _Plan, features: int):
-    """Rows with the margins of all models brought up to date."""
+def _with_margins(plan: _Plan):
+    """A block with the margins of all models brought up to date."""
 
-    def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            group = batch.column("group").to_numpy()
-            margins = batch.column("m").to_pylist()
-            for g, _, _, raw, _, old in _groups(batch, features):
-                for _, part in plan.get(g, ()):
-                    old[:, part.place] = part.margin(raw, old)
-                for i, m in zip(np.flatnonzero(group == g), old.tolist()):
-                    margins[i] = m
-            columns = [batch.column(c) for c in batch.schema.names[:-1]] + [pa.array(margins, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+    def update(item: tuple[int, _Block]) -> tuple[int, _Block]:
+        group, (val, ids, raw, y, old) = item
+        margins = old.copy(order="F")
+        for _, part in plan.get(group, ()):
+            margins[:, part.place] = part.margin(raw, old)
+        return group, (val, ids, raw, y, margins)
 
     return update
 
@@ -419,8 +469,8 @@ def _with_margins(plan: _Plan, features: int):
 _STATE = "group int, is_val boolean, id bigint, bins binary, y array<double>, m array<double>"
 
 
-def _state_rows(rows: DataFrame, edges: dict[int, np.ndarray], bases: dict[int, list[float]]) -> DataFrame:
-    """Binned rows with their first margins, dealt by group and id, written once."""
+def _state_rows(rows: DataFrame, edges: dict[int, np.ndarray], bases: dict[int, list[float]], parts: int) -> DataFrame:
+    """Binned rows with their first margins, dealt by group and id to so many parts, written once."""
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -435,7 +485,7 @@ def _state_rows(rows: DataFrame, edges: dict[int, np.ndarray], bases: dict[int,
             yield pa.RecordBatch.from_arrays(columns, names=["group", "is_val", "id", "bins", "y", "m"])
 
     known = rows.where(F.col("group").isin(list(edges)))
-    return materialize(known.mapInArrow(prepare, _STATE).repartitionByRange("group", "id"), "boost-rows")
+    return materialize(known.mapInArrow(prepare, _STATE).repartitionByRange(parts, "group", "id"), "boost-rows")
 
 
 def fit_boosters(
@@ -451,10 +501,8 @@ def fit_boosters(
     train = rows.where(~F.col("is_val"))
     edges = fit_edges(train, bins)
     targets = 1 + max(b.target for b in boosters)
-    means = {
-        r["group"]: [round(float(v), 6) if base is None else base for v in r[1:]]
-        for r in train.groupBy("group").agg(*[F.avg(F.col("y")[t]).alias(f"t{t}") for t in range(targets)]).collect()
-    }
+    found = train.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("y")[t]).alias(f"t{t}") for t in range(targets)]).collect()
+    means = {r["group"]: [round(float(v), 6) if base is None else base for v in r[2:]] for r in found}
     limits = rounds if isinstance(rounds, list) else [rounds] * len(boosters)
     growing: list[_Growing | None] = []
     by_group: dict[int, list[_Growing]] = {}
@@ -469,7 +517,20 @@ def fit_boosters(
     if not by_group:
         return [None] * len(boosters)
     features = len(next(iter(edges.values())))
-    state = _state_rows(rows, edges, {g: [s.model.base for s in m] for g, m in by_group.items()})
+    # A number of parts that is given is kept: few rows go to all cores, too.
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, sum(r["n"] for r in found) // PART_ROWS)
+    blocks = _blocks(_state_rows(rows, edges, {g: [s.model.base for s in m] for g, m in by_group.items()}, parts), features)
+    kept = [blocks]
+    try:
+        _grow(kept, growing, features, bins, patience)
+    finally:
+        for blocks in kept:
+            blocks.unpersist()
+    return [None if s is None else s.kept() for s in growing]
+
+
+def _grow(kept: list[RDD], growing: list[_Growing | None], features: int, bins: int, patience: int | None) -> None:
+    """Grow all models to their end; ``kept`` holds the blocks that the executors keep."""
     turn = 0
     while True:
         active = [(n, s) for n, s in enumerate(growing) if s is not None and not s.done]
@@ -482,7 +543,9 @@ def fit_boosters(
             live = [(n, s) for n, s in active if not s.done and (depth == 0 or (s.open and depth < s.setting.max_depth))]
             if not live:
                 break
-            found = _run_level(state, _plan(live), depth, features, bins, depth == 0 and turn > 0, columns)
+            found = _run_level(kept[-1], _plan(live), depth, features, bins, depth == 0 and turn > 0, columns)
+            if depth == 0 and len(kept) > 1:  # all blocks have the newer margins
+                kept.pop(0).unpersist()
             for n, s in live:
                 if depth == 0 and turn > 0:
                     s.judge(found.get((n, 0)))
@@ -497,10 +560,9 @@ def fit_boosters(
         turn += 1
         if turn % KEEP == 0 and not all(s is None or s.done for s in growing):
             alive = [(n, s) for n, s in enumerate(growing) if s is not None and not s.done]
-            state = materialize(state.mapInArrow(_with_margins(_plan(alive), features), _STATE), "boost-margins")
+            kept.append(kept[-1].map(_with_margins(_plan(alive))).persist(StorageLevel.MEMORY_AND_DISK))
             for _, s in alive:
                 s.written = len(s.model.trees)
-    return [None if s is None else s.kept() for s in growing]
 
 
 def predict_boosted(rows: DataFrame, models: list[BoostedModel | None], x: Column, group: Column | None = None) -> DataFrame:

@@ -141,3 +141,29 @@ def test_more_than_the_bins_and_missing_values(spark):
     share = np.diff(np.concatenate([[0], np.searchsorted(np.sort(np.random.default_rng(1).normal(size=20_000)), edges)])) / 20_000
     assert share.max() < 2.5 / 64
     assert bo.binned(np.array([[np.nan], [-9.0]]), edges[None])[:, 0].tolist() == [63, 0]
+
+
+def test_few_rows_go_to_every_core(spark, monkeypatch):
+    """The written rows had as many parts as their bytes filled: one task grew all trees of a small table."""
+    parts = []
+
+    def blocks(state, features, real=bo._blocks):
+        parts.append(real(state, features))
+        return parts[-1]
+
+    monkeypatch.setattr(bo, "_blocks", blocks)
+    df, _ = rows_of(spark, 2)
+    bo.fit_boosters(df, [bo.Booster(g, 0, SETTINGS[0]) for g in (0, 1)], rounds=1)
+    assert parts[0].getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_sums_of_large_gradients_are_exact():
+    rng = np.random.default_rng(3)
+    raw = np.asfortranarray(rng.integers(0, 8, (500, 3), dtype=np.uint8))
+    place, use = rng.integers(0, 2, 500), rng.random(500) < 0.7
+    for unit in (2**20, 2**38):
+        gradient = np.rint(rng.normal(size=500) * unit)
+        got = bo._node_sums(raw, place, 2, gradient, use, 8)
+        for k, f, b in np.ndindex(2, 3, 8):
+            at = use & (place == k) & (raw[:, f] == b)
+            assert (got[0, k, f, b], got[1, k, f, b]) == (gradient[at].sum(), at.sum())
