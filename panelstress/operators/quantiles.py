@@ -22,13 +22,14 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles per key group, and further aggregates in ``extra``.
 
-    Result: keys, n, extra columns, quantiles.
+    With further aggregates the rows are written first, so that what they come from runs once; pass the columns in need
+    only. Result: keys, n, extra columns, quantiles.
     """
     extra = extra or {}
-    split = split_quantiles(df, keys, value, quantiles, limit)
     if not extra:
-        return split
-    rows = df.where(F.col(value).isNotNull())
+        return split_quantiles(df, keys, value, quantiles, limit)
+    rows = materialize(df.where(F.col(value).isNotNull()), "quantile-rows")
+    split = split_quantiles(rows, keys, value, quantiles, limit)
     others = rows.groupBy(*keys).agg(*[c.alias(name) for name, c in extra.items()])
     names = {k: f"_key_{k}" for k in keys}
     others = others.withColumnsRenamed(names)
@@ -90,34 +91,26 @@ def _narrow(values: DataFrame, group: list[str], bucket: str, probabilities: lis
     return rows.join(targets, same).drop(*[f"_t{c}" for c in (*group, bucket)])
 
 
-def split_quantiles(
-    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], limit: int = BIN_LIMIT
-) -> DataFrame:
-    """Quantiles of groups of any size, one way for all of them.
+def _whole(values: DataFrame, names: list[str]) -> DataFrame:
+    """Groups that are ordered as they are."""
+    return values.withColumn("_before", F.lit(0).cast("long")).withColumn("n", F.sum("_c").over(Window.partitionBy(*names)))
 
-    A group is first reduced to distinct values with counts, spread by (keys, value). A logarithmic histogram, and then
-    linear ones inside the bins that matter, narrow the search until no bin that holds a wanted rank has
-    more than ``limit`` distinct values; only those are ordered. Exact for any data: infinities keep their
-    place, NaN counts as the largest value, null keys form a group. Result: keys, n, quantiles.
-    """
-    names = keys or ["_all"]
-    probabilities = sorted(set(quantiles.values()))
-    values = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*([F.col(k) for k in keys] or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b0", _coarse_bucket())
-    )
+
+def _narrowed(values: DataFrame, names: list[str], probabilities: list[float], limit: int) -> tuple[DataFrame, list[str], list[str]]:
+    """The values of the bins that hold the wanted ranks, the names of the groups and of the bins."""
     bins = ["_b0"]
-    fine = materialize(_narrow(values, names, "_b0", probabilities), "quantile-bins")
+    fine = materialize(_narrow(values.withColumn("_b0", _coarse_bucket()), names, "_b0", probabilities), "quantile-bins")
     while True:
         wide = fine.where(F.col("_lo") != F.col("_hi")).groupBy(*names, *bins).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
         if wide.isEmpty():
-            break
+            return fine, names, bins
         bins.append(f"_b{len(bins)}")
         binned = fine.withColumn(bins[-1], _fine_bucket())
         fine = materialize(_narrow(binned, [*names, *bins[:-1]], bins[-1], probabilities), "quantile-bins")
 
+
+def _ranked(fine: DataFrame, names: list[str], bins: list[str], probabilities: list[float]) -> DataFrame:
+    """Per group the size and, for every probability, the values at the ranks below and above."""
     inside = (
         Window.partitionBy(*names, *bins).orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -132,7 +125,37 @@ def split_quantiles(
     picks = [F.max("n").alias("n")]
     for i, p in enumerate(probabilities):
         picks += [at(_rank(p, F.floor)).alias(f"_lo{i}"), at(_rank(p, F.ceil)).alias(f"_hi{i}")]
-    summary = ordered.groupBy(*names).agg(*picks)
+    return ordered.groupBy(*names).agg(*picks)
+
+
+def split_quantiles(
+    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], limit: int = BIN_LIMIT
+) -> DataFrame:
+    """Quantiles of groups of any size.
+
+    A group is first reduced to distinct values with counts, spread by (keys, value) and written. Groups of at most ``limit``
+    distinct values are ordered as they are. For larger ones a logarithmic histogram, and then linear ones inside the bins
+    that matter, narrow the search until no bin that holds a wanted rank has more than ``limit`` distinct values; only those
+    are ordered. Exact for any data: infinities keep their place, NaN counts as the largest value, null keys form a group.
+    Result: keys, n, quantiles.
+    """
+    names = keys or ["_all"]
+    probabilities = sorted(set(quantiles.values()))
+    values = materialize(
+        df.where(F.col(value).isNotNull())
+        .groupBy(*([F.col(k) for k in keys] or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_c")),
+        "quantile-values",
+    )
+    large = values.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).drop("_n")
+    if large.isEmpty():
+        summary = _ranked(_whole(values, names), names, [], probabilities)
+    else:
+        large = materialize(large, "quantile-groups").withColumnsRenamed({k: f"_t{k}" for k in names})
+        same = [F.col(k).eqNullSafe(F.col(f"_t{k}")) for k in names]
+        narrowed = _narrowed(values.join(large, same, "left_semi"), names, probabilities, limit)
+        small = _whole(values.join(large, same, "left_anti"), names)
+        summary = _ranked(small, names, [], probabilities).unionByName(_ranked(*narrowed, probabilities))
 
     columns = []
     for name, p in quantiles.items():

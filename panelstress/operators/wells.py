@@ -24,7 +24,7 @@ def aggregate_wells(obs: DataFrame, level: str, spec: PanelSpec, min_wells: int
     }
     quantiles = {"median_depth_m_bgl": 0.5, "_p25": 0.25, "_p75": 0.75}
     return (
-        exact_quantiles(obs, keys, level, quantiles, moments)
+        exact_quantiles(obs.select(*keys, level), keys, level, quantiles, moments)
         .withColumn("iqr_depth_m_bgl", F.col("_p75") - F.col("_p25"))
         .withColumn("year", F.year("obs_date"))
         .withColumn("month", F.month("obs_date"))
