@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,32 +138,38 @@ def sequence_report(sequences: DataFrame, spec: PanelSpec) -> DataFrame:
 
 
 def verify_values(sequences: DataFrame, panel: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Largest difference between every stored window value and its source row, over all sequences."""
-    inputs = sequences.select(
-        spec.entity, "input_start", F.posexplode("x").alias("step", "values")
-    ).select(spec.entity, F.add_months("input_start", F.col("step")).alias(spec.date), "values", F.lit(None).cast("float").alias("target"))
-    targets = sequences.select(
-        spec.entity, "forecast_origin", F.posexplode("y").alias("step", "target")
-    ).select(
-        spec.entity,
-        F.add_months("forecast_origin", F.col("step") + 1).alias(spec.date),
-        F.lit(None).cast("array<float>").alias("values"),
-        "target",
+    """Largest difference between every stored window value and its source row, over all sequences.
+
+    The panel is packed into one map per entity (bounded by the calendar) and joined once; values are compared inside
+    the row of their sequence. Source rows of one key are all compared.
+    """
+    e = spec.entity
+    month = F.struct(F.array(*[F.col(c) for c in spec.components]).alias("f"), F.col(INDEX).alias("w"))
+    source = panel.groupBy(*spec.keys).agg(F.collect_list(month).alias("_rows")).groupBy(e).agg(
+        F.map_from_entries(F.collect_list(F.struct(spec.date, "_rows"))).alias("_source")
     )
-    source = panel.select(
-        *spec.keys, F.array(*[F.col(c) for c in spec.components]).alias("_src"), F.col(INDEX).alias("_wsi")
+
+    def found(first: Column) -> Column:
+        """The source rows of a month; one without values when there are none."""
+        none = F.array(F.struct(F.lit(None).cast("array<double>").alias("f"), F.lit(None).cast("double").alias("w")))
+        return F.coalesce(F.try_element_at("_source", first), none)
+
+    def pairs(column: str, start: str, shift: int) -> Column:
+        return F.flatten(F.transform(column, lambda v, i: F.transform(found(F.add_months(start, i + shift)), lambda s: F.struct(v.alias("v"), s.alias("s")))))
+
+    def count(values: Column) -> Column:
+        return F.coalesce(F.sum(F.array_size(values).cast("long")), F.lit(0))
+
+    gap = F.array_max(F.transform("_inputs", lambda p: F.array_max(F.zip_with(p["v"], p["s"]["f"], lambda a, b: F.abs(a.cast("double") - b)))))
+    rows = sequences.select(e, "input_start", "forecast_origin", "x", "y").join(source, e, "left").select(
+        pairs("x", "input_start", 0).alias("_inputs"), pairs("y", "forecast_origin", 1).alias("_targets")
     )
-    gap = F.array_max(F.zip_with("values", "_src", lambda a, b: F.abs(a.cast("double") - b)))
-    return (
-        inputs.unionByName(targets)
-        .join(source, spec.keys, "left")
-        .agg(
-            F.count("values").alias("input_steps"),
-            F.count("target").alias("targets"),
-            F.count(F.when(F.col("_wsi").isNull(), 1)).alias("unmatched"),
-            F.max(gap).alias("max_input_diff"),
-            F.max(F.abs(F.col("target").cast("double") - F.col("_wsi"))).alias("max_target_diff"),
-        )
+    return rows.agg(
+        count(F.filter("_inputs", lambda p: p["v"].isNotNull())).alias("input_steps"),
+        count(F.filter("_targets", lambda p: p["v"].isNotNull())).alias("targets"),
+        (count(F.filter("_inputs", lambda p: p["s"]["w"].isNull())) + count(F.filter("_targets", lambda p: p["s"]["w"].isNull()))).alias("unmatched"),
+        F.max(gap).alias("max_input_diff"),
+        F.max(F.array_max(F.transform("_targets", lambda p: F.abs(p["v"].cast("double") - p["s"]["w"])))).alias("max_target_diff"),
     )
 
 
@@ -227,35 +237,92 @@ def expanding_z(panel: DataFrame, origins: list[str], spec: PanelSpec) -> DataFr
     )
 
 
+#: Rows of a batch that a task hands back.
+_BATCH = 8_192
+
+
+def _lists(values: pa.Array, *sizes: int) -> pa.Array:
+    """Values as (nested) lists of fixed sizes, from the innermost on."""
+    for size in sizes:
+        values = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, size, dtype=np.int32)), values)
+    return values
+
+
+def _numbers(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of numbers and where they are null, from lists of a fixed size."""
+    flat = column.flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, width), flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _cut_windows(batches: Iterator[pa.RecordBatch], back: int, ahead: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Per entity of a batch (entity, series, moments) the windows of all origins, standardised by what an origin knows."""
+
+    def gather(entity: pa.Array, parts: list[tuple]) -> pa.RecordBatch:
+        owner, origin, at, x, x_null, index, index_null, y, y_null, train = (np.concatenate(c) for c in zip(*parts))
+        held = ~index_null
+        history = pa.ListArray.from_arrays(
+            pa.array(np.append(0, np.cumsum(held.sum(axis=1))).astype(np.int32)), pa.array(index[held].astype(np.float32))
+        )
+        targets = pa.array(y[train].ravel().astype(np.float32), mask=y_null[train].ravel())
+        ends = pa.array(np.append(0, np.cumsum(train) * ahead).astype(np.int32), mask=np.append(~train, False))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(origin), entity.take(pa.array(owner)), pa.array(at), _lists(pa.array(x.ravel(), mask=x_null.ravel()), width, back),
+             history, pa.ListArray.from_arrays(ends, targets), pa.array(np.where(train, "train", "current"))],
+            names=["origin", "entity", "forecast_origin", "x", "wsi_history", "y", "role"],
+        )
+
+    for batch in batches:
+        parts, rows = [], 0
+        series, moments = batch.column("s"), batch.column("moments")
+        for i in range(batch.num_rows):
+            s, m = series[i].values, moments[i].values
+            dates = s.field("d").to_numpy(zero_copy_only=False).astype("datetime64[D]")
+            count = len(dates) - back + 1
+            if count <= 0:
+                continue
+            features, nulls = _numbers(s.field("f"), width)
+            index = s.field("w").to_numpy(zero_copy_only=False).astype(float)
+            index_null = s.field("w").is_null().to_numpy(zero_copy_only=False)
+            origins, known = (m.field(c).to_numpy(zero_copy_only=False).astype("datetime64[D]") for c in ("origin", "known"))
+            (mean, mean_null), (std, std_null) = _numbers(m.field("mean"), width), _numbers(m.field("std"), width)
+            at = dates[back - 1 :]
+            train = (at[:, None] <= known) & (at[:, None] != origins)
+            w, o = np.nonzero(train | (at[:, None] == origins))
+            step = w[:, None] + np.arange(back)
+            with np.errstate(all="ignore"):
+                x = ((features[step] - mean[o][:, None]) / std[o][:, None]).astype(np.float32)
+            x_null = nulls[step] | (mean_null | std_null)[o][:, None]
+            target = w[:, None] + back - 1 + np.arange(1, ahead + 1)
+            beyond = target >= len(dates)
+            target[beyond] = 0
+            unknown = beyond | (dates[target] > origins[o][:, None]) | index_null[target]
+            parts.append((np.full(len(w), i), origins[o], at[w], x, x_null, index[step], index_null[step], index[target], unknown, train[w, o]))
+            rows += len(w)
+            if rows >= _BATCH:
+                yield gather(batch.column(0), parts)
+                parts, rows = [], 0
+        if rows:
+            yield gather(batch.column(0), parts)
+
+
 def causal_sequences(panel: DataFrame, origins: list[str], spec: PanelSpec) -> DataFrame:
     """Training windows (targets known at the origin) and the current window, per backtest origin.
 
-    ``role`` is 'train' or 'current'; current windows carry no targets. A window is cut once from its entity's months; per origin
-    it is only standardised, an affine map of its steps.
+    ``role`` is 'train' or 'current'; current windows carry no targets. An entity's months, bounded by the calendar, meet its
+    moments in one row; its windows are cut and standardised from that row by array arithmetic inside the task.
     """
-    w = _series(spec)
-    back = w.rowsBetween(-(spec.lookback - 1), 0)
-    leads = range(1, spec.horizon + 1)
-    windows = panel.select(
-        spec.entity,
-        F.col(spec.date).alias("forecast_origin"),
-        F.collect_list(F.array(*[F.col(c) for c in spec.components])).over(back).alias("_raw"),
-        F.collect_list(F.col(INDEX).cast("float")).over(back).alias("wsi_history"),
-        F.array(*[F.struct(F.lead(spec.date, h).over(w).alias("d"), F.lead(INDEX, h).over(w).cast("float").alias("v")) for h in leads]).alias("_next"),
-    ).where(F.size("_raw") == spec.lookback)
-    at = F.col("forecast_origin")
-
-    def role(m: Column) -> Column:
-        return F.when(at == m.origin, "current").when(at <= F.add_months(m.origin, -spec.horizon), "train")
-
-    used = F.explode(F.filter("moments", lambda m: role(m).isNotNull()))
-    rows = windows.join(origin_moments(panel, origins, spec), spec.entity).withColumn("_m", used).drop("moments")
-    scaled = F.transform(
-        "_raw",
-        lambda step: F.transform(step, lambda v, i: ((v - F.get("_m.mean", i)) / F.get("_m.std", i)).cast("float")),
-    )
-    known = F.transform("_next", lambda n: F.when(n.d <= F.col("_m.origin"), n.v))
-    return rows.select(
-        F.col("_m.origin").alias("origin"), spec.entity, "forecast_origin", scaled.alias("x"), "wsi_history",
-        F.when(role(F.col("_m")) == "train", known).alias("y"), role(F.col("_m")).alias("role"),
+    e, back, ahead, width = spec.entity, spec.lookback, spec.horizon, len(spec.components)
+    month = F.struct(F.col(spec.date).alias("d"), F.array(*[F.col(c).cast("double") for c in spec.components]).alias("f"), F.col(INDEX).cast("double").alias("w"))
+    series = panel.groupBy(e).agg(F.sort_array(F.collect_list(month)).alias("s"))
+    moments = origin_moments(panel, origins, spec).select(
+        e, F.transform("moments", lambda m: F.struct(m.origin.alias("origin"), F.add_months(m.origin, -ahead).alias("known"), m.mean.alias("mean"), m.std.alias("std"))).alias("moments")
     )
+    rows = series.join(moments, e).select(F.col(e).alias("entity"), "s", "moments")
+    entity = panel.schema[e].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _cut_windows(batches, back, ahead, width)
+
+    return rows.mapInArrow(
+        cut, f"origin date, entity {entity}, forecast_origin date, x array<array<float>>, wsi_history array<float>, y array<float>, role string"
+    ).withColumnRenamed("entity", e)

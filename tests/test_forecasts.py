@@ -387,3 +387,20 @@ def test_ridge_with_constant_and_large_columns(spark, constant, mean):
     w = np.linalg.solve(z.T @ z + np.eye(3), z.T @ (y - y.mean()))[:, 0] / np.array([1.0, x[:, 1].std(), x[:, 2].std()])
     assert abs(model.coefficients[0, 0]) < 1e-9
     assert model.coefficients[1:, 0] == pytest.approx(w[1:], rel=1e-6)
+
+
+def test_causal_sequences_cut_windows_without_exploding_them(panel, spec):
+    """Windows were copied and standardised element by element for every origin; nulls keep their place."""
+    holes = panel.withColumns({
+        "wsi": F.when((F.col("entity") == "B") & (F.col("date") == "2004-06-01"), None).otherwise(F.col("wsi")),
+        "spi_stress_z": F.when((F.col("entity") == "B") & (F.col("date") == "2004-03-01"), None).otherwise(F.col("spi_stress_z")),
+    })
+    rows = seq.causal_sequences(holes, ["2004-06-01", "2005-01-01"], spec)
+    assert "MapInArrow" in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r["entity"], str(r["origin"]), str(r["forecast_origin"])): r for r in rows.collect()}
+    last = got["B", "2004-06-01", "2004-06-01"]
+    assert last["role"] == "current" and last["y"] is None and len(last["wsi_history"]) == 11
+    assert [step[0] is None for step in last["x"]].index(True) == 8 and None not in last["x"][7]
+    train = got["B", "2005-01-01", "2004-04-01"]
+    assert train["role"] == "train" and train["y"][1] is None and None not in (train["y"][0], train["y"][2])
+    assert len(got["A", "2005-01-01", "2004-04-01"]["wsi_history"]) == 12
