@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,14 +48,25 @@ SURFACE_WATER = StreamSource(
 WELL_COLUMNS = ("block", "village", "latitude", "longitude", "well_depth_m")
 
 
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first line of each file; the lines of a file's first block come in order, to one task."""
+    seen = set()
+    for batch in batches:
+        paths = batch.column(0).to_pandas()
+        first = [i for i in np.flatnonzero(paths.ne(paths.shift())) if paths[i] not in seen]
+        seen.update(paths[first])
+        if first:
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(first)) for c in batch.columns], names=["file_path", "header"])
+
+
 def read_text_table(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header, every column as text: coercion is ours, so bad text becomes NULL instead of an error.
 
     Files of one folder may order their columns differently: each file is read by its own header. The headers, one
     line per file, are compared first; files with the same header are read together.
     """
-    heads = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_row"))
-    first = heads.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "_row").alias("header"))
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").where("file_block_start = 0")
+    first = lines.select("file_path", "value").mapInArrow(_first_lines, "file_path string, header string")
     files: dict[str, list[str]] = {}
     for row in first.groupBy("header").agg(F.collect_list("file_path").alias("files")).orderBy("header").collect():
         files[row.header] = row.files

@@ -120,3 +120,17 @@ def test_long_series_are_selected_by_blocks(monkeypatch):
         with np.errstate(over="ignore"):
             assert trend.theil_sen(x[: len(values)], values) == np.median((values[b] - values[a]) / (x[b] - x[a]))
     assert trend.theil_sen(x[:1], y[:1]) is None
+
+
+def test_headers_come_from_the_first_line_of_each_file(spark, tmp_path):
+    """The headers were found by sorting all lines of every file's first block."""
+    import pyarrow as pa
+
+    from panelstress.sources import readers
+
+    lines = [("f1", "a,b"), ("f1", "1,2"), ("f2", "b,a"), ("f2", "3,4"), ("f1", "5,6")]
+    batches = [pa.RecordBatch.from_pylist([{"file_path": f, "value": v} for f, v in part]) for part in (lines[:1], lines[1:4], lines[4:])]
+    assert [r for b in readers._first_lines(iter(batches)) for r in b.to_pylist()] == [{"file_path": "f1", "header": "a,b"}, {"file_path": "f2", "header": "b,a"}]
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "y.csv").write_text("b,a\n4,3\n")
+    assert sorted((r.a, r.b) for r in readers.read_text_table(spark, str(tmp_path)).collect()) == [("1", "2"), ("3", "4")]

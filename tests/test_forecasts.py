@@ -404,3 +404,17 @@ def test_causal_sequences_cut_windows_without_exploding_them(panel, spec):
     train = got["B", "2005-01-01", "2004-04-01"]
     assert train["role"] == "train" and train["y"][1] is None and None not in (train["y"][0], train["y"][2])
     assert len(got["A", "2005-01-01", "2004-04-01"]["wsi_history"]) == 12
+
+
+def test_value_check_compares_inside_the_row(sequences, panel, spec):
+    """Every step and target was a row of its own in the join with the panel."""
+    from datetime import date
+
+    missing = panel.where(~((F.col("entity") == "A") & (F.col("date") == F.lit(date(2004, 3, 1)))))
+    out = seq.verify_values(sequences, missing, spec)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    n = sequences.count()
+    a = sequences.where("entity = 'A'")
+    hit = a.where("DATE '2004-03-01' BETWEEN input_start AND target_t3").count()
+    row = out.first()
+    assert (row["input_steps"], row["targets"], row["unmatched"]) == (n * spec.lookback, n * spec.horizon, hit)
