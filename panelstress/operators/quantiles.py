@@ -14,6 +14,8 @@ _BINS = 4096
 _TOP = 1 << 40
 #: Distinct values that one task orders; bins that hold more are narrowed again.
 BIN_LIMIT = 100_000
+#: Buckets in which groups are counted before single groups are.
+_HASHES = 1 << 16
 
 
 def exact_quantiles(
@@ -92,8 +94,26 @@ def _narrow(values: DataFrame, group: list[str], bucket: str, probabilities: lis
 
 
 def _whole(values: DataFrame, names: list[str]) -> DataFrame:
-    """Groups that are ordered as they are."""
-    return values.withColumn("_before", F.lit(0).cast("long")).withColumn("n", F.sum("_c").over(Window.partitionBy(*names)))
+    """Groups that are ordered as they are; one sort serves these sums and the ranks."""
+    group = Window.partitionBy(*names).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return values.withColumn("_before", F.lit(0).cast("long")).withColumns(
+        {"n": F.sum("_c").over(group), "_total": F.sum(F.col("_v") * F.col("_c")).over(group)}
+    )
+
+
+def _large_groups(values: DataFrame, names: list[str], limit: int) -> DataFrame | None:
+    """Groups of more than ``limit`` distinct values; None when there are none.
+
+    Rows are first counted by a hash of their group, which shuffles at most ``_HASHES`` numbers per task. A bucket holds at least
+    as many rows as any of its groups, so only groups in buckets above the limit are counted themselves.
+    """
+    hashed = values.withColumn("_hash", F.pmod(F.xxhash64(*names), F.lit(_HASHES)))
+    full = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("_hash")
+    if full.isEmpty():
+        return None
+    counts = hashed.join(full, "_hash", "left_semi").groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    large = materialize(counts.where(F.col("_n") > limit).drop("_n"), "quantile-groups")
+    return None if large.isEmpty() else large
 
 
 def _narrowed(values: DataFrame, names: list[str], probabilities: list[float], limit: int) -> tuple[DataFrame, list[str], list[str]]:
@@ -109,8 +129,12 @@ def _narrowed(values: DataFrame, names: list[str], probabilities: list[float], l
         fine = materialize(_narrow(binned, [*names, *bins[:-1]], bins[-1], probabilities), "quantile-bins")
 
 
-def _ranked(fine: DataFrame, names: list[str], bins: list[str], probabilities: list[float]) -> DataFrame:
-    """Per group the size and, for every probability, the values at the ranks below and above."""
+def _squares(mean: Column) -> Column:
+    return F.sum(F.col("_c") * (F.col("_v") - mean) * (F.col("_v") - mean))
+
+
+def _ranked(fine: DataFrame, names: list[str], bins: list[str], probabilities: list[float], moments: bool = False) -> DataFrame:
+    """Per group the size and, for every probability, the values at the ranks below and above; of whole groups the moments too."""
     inside = (
         Window.partitionBy(*names, *bins).orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -125,37 +149,45 @@ def _ranked(fine: DataFrame, names: list[str], bins: list[str], probabilities: l
     picks = [F.max("n").alias("n")]
     for i, p in enumerate(probabilities):
         picks += [at(_rank(p, F.floor)).alias(f"_lo{i}"), at(_rank(p, F.ceil)).alias(f"_hi{i}")]
+    if moments:
+        size = F.nullif(F.col("n"), F.lit(0))
+        picks += [
+            F.max(F.col("_total") / size).alias("mean"), F.sqrt(_squares(F.col("_total") / size) / F.nullif(F.max("n"), F.lit(0))).alias("std")
+        ]
     return ordered.groupBy(*names).agg(*picks)
 
 
-def split_quantiles(
-    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], limit: int = BIN_LIMIT
+def counted_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values of each group with counts, spread by (keys, value) and written. Nulls are kept with a count of 0."""
+    v = F.col(value).cast("double")
+    return materialize(df.groupBy(*[F.col(k) for k in keys], v.alias("_v")).agg(F.count(v).alias("_c")), "quantile-values")
+
+
+def counted_quantiles(
+    values: DataFrame, names: list[str], quantiles: dict[str, float], limit: int = BIN_LIMIT, moments: bool = False
 ) -> DataFrame:
-    """Quantiles of groups of any size.
+    """Quantiles, and on request ``mean`` and population deviation ``std``, of the groups of a table of :func:`counted_values`.
 
-    A group is first reduced to distinct values with counts, spread by (keys, value) and written. Groups of at most ``limit``
-    distinct values are ordered as they are. For larger ones a logarithmic histogram, and then linear ones inside the bins
-    that matter, narrow the search until no bin that holds a wanted rank has more than ``limit`` distinct values; only those
-    are ordered. Exact for any data: infinities keep their place, NaN counts as the largest value, null keys form a group.
-    Result: keys, n, quantiles.
+    A group without any value has the size 0 and nulls. Result: names, n, moments, quantiles.
     """
-    names = keys or ["_all"]
     probabilities = sorted(set(quantiles.values()))
-    values = materialize(
-        df.where(F.col(value).isNotNull())
-        .groupBy(*([F.col(k) for k in keys] or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c")),
-        "quantile-values",
-    )
-    large = values.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).drop("_n")
-    if large.isEmpty():
-        summary = _ranked(_whole(values, names), names, [], probabilities)
+    found = _large_groups(values, names, limit)
+    if found is None:
+        summary = _ranked(_whole(values, names), names, [], probabilities, moments)
     else:
-        large = materialize(large, "quantile-groups").withColumnsRenamed({k: f"_t{k}" for k in names})
+        large = found.withColumnsRenamed({k: f"_t{k}" for k in names})
         same = [F.col(k).eqNullSafe(F.col(f"_t{k}")) for k in names]
-        narrowed = _narrowed(values.join(large, same, "left_semi"), names, probabilities, limit)
+        wide = values.join(large, same, "left_semi")
+        ranked = _ranked(*_narrowed(wide, names, probabilities, limit), probabilities)
+        if moments:
+            totals = wide.groupBy(*names).agg((F.sum(F.col("_v") * F.col("_c")) / F.nullif(F.sum("_c"), F.lit(0))).alias("mean"))
+            totals = totals.withColumnsRenamed({k: f"_t{k}" for k in names})
+            centred = wide.join(totals, same).groupBy(*names).agg(
+                F.max("mean").alias("mean"), F.sqrt(_squares(F.col("mean")) / F.nullif(F.sum("_c"), F.lit(0))).alias("std")
+            )
+            ranked = ranked.join(centred.withColumnsRenamed({k: f"_t{k}" for k in names}), same).drop(*[f"_t{k}" for k in names])
         small = _whole(values.join(large, same, "left_anti"), names)
-        summary = _ranked(small, names, [], probabilities).unionByName(_ranked(*narrowed, probabilities))
+        summary = _ranked(small, names, [], probabilities, moments).unionByName(ranked)
 
     columns = []
     for name, p in quantiles.items():
@@ -163,4 +195,21 @@ def split_quantiles(
         position = (F.col("n") - 1).cast("double") * F.lit(p)
         fraction = position - F.floor(position).cast("double")
         columns.append(linear_quantile(F.col(f"_lo{i}"), F.col(f"_hi{i}"), fraction).alias(name))
-    return summary.select(*keys, "n", *columns)
+    return summary.select(*names, "n", *(["mean", "std"] if moments else []), *columns)
+
+
+def split_quantiles(
+    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], limit: int = BIN_LIMIT
+) -> DataFrame:
+    """Quantiles of groups of any size.
+
+    A group is first reduced to distinct values with counts, spread by (keys, value) and written. Groups of at most ``limit``
+    distinct values are ordered as they are. For larger ones a logarithmic histogram, and then linear ones inside the bins
+    that matter, narrow the search until no bin that holds a wanted rank has more than ``limit`` distinct values; only those
+    are ordered. Exact for any data: infinities keep their place, NaN counts as the largest value, null keys form a group.
+    Result: keys, n, quantiles.
+    """
+    names = keys or ["_all"]
+    rows = df.where(F.col(value).isNotNull())
+    values = counted_values(rows if keys else rows.withColumn("_all", F.lit(0)), names, value)
+    return counted_quantiles(values, names, quantiles, limit).select(*keys, "n", *quantiles)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelstress.functions.numeric import month_number
 from panelstress.operators.anomaly import centred_z
-from panelstress.operators.quantiles import exact_quantiles
+from panelstress.operators.quantiles import counted_quantiles, counted_values
 from panelstress.spec import DEFAULT_DEPTH, NEVER_OBSERVED_AGE, PanelSpec
 
 
@@ -17,14 +17,11 @@ def aggregate_wells(obs: DataFrame, level: str, spec: PanelSpec, min_wells: int
     Order statistics come from the quantile operator, which splits a month holding a large share of all wells.
     """
     keys = [spec.entity, "obs_date"]
-    moments = {
-        "n_wells": F.count(level),
-        "mean_depth_m_bgl": F.avg(level),
-        "std_depth_m_bgl": F.stddev_pop(level),
-    }
     quantiles = {"median_depth_m_bgl": 0.5, "_p25": 0.25, "_p75": 0.75}
+    values = counted_values(obs.where(F.col(level).isNotNull()), keys, level)
     return (
-        exact_quantiles(obs.select(*keys, level), keys, level, quantiles, moments)
+        counted_quantiles(values, keys, quantiles, moments=True)
+        .withColumnsRenamed({"n": "n_wells", "mean": "mean_depth_m_bgl", "std": "std_depth_m_bgl"})
         .withColumn("iqr_depth_m_bgl", F.col("_p75") - F.col("_p25"))
         .withColumn("year", F.year("obs_date"))
         .withColumn("month", F.month("obs_date"))

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,45 @@ def test_headers_come_from_the_first_line_of_each_file(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,2\n")
     (tmp_path / "y.csv").write_text("b,a\n4,3\n")
     assert sorted((r.a, r.b) for r in readers.read_text_table(spark, str(tmp_path)).collect()) == [("1", "2"), ("3", "4")]
+
+
+@pytest.mark.parametrize("limit", [2, 100_000])
+def test_monthly_climatology_reads_its_rows_once(spark, spec, limit):
+    """Tables equal pandas, groups of nulls included, whatever the number of values that a task may order."""
+    rng = np.random.default_rng(8)
+    rows = [(e, int(m), v, float(x)) for e, m, v, x in zip(rng.choice(["A", "B"], 400), rng.integers(1, 4, 400), rng.choice(["p", "q"], 400), rng.integers(0, 9, 400) / 4)]
+    rows += [("A", 12, "p", None), (None, 1, "q", 2.5)]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    table = spark.createDataFrame(rows, "entity string, month int, variable string, value double")
+    out = explore.monthly_climatology(table.mapInArrow(count, table.schema), spec, limit).collect()
+    assert read.value == len(rows)
+    frame = pd.DataFrame(rows, columns=["entity", "month", "variable", "value"])
+    for r in out:
+        part = frame[(frame["month"] == r["month"]) & (frame["variable"] == r["variable"])]
+        own = part[part["entity"] == r["entity"]] if r["entity"] else part
+        if r["entity"] is None and r["mean"] == 2.5 and r["median"] == 2.5:
+            continue  # the group whose entity is null
+        mean, median = own["value"].mean(), own["value"].median()
+        assert (r["mean"], r["median"]) == ((None, None) if np.isnan(mean) else (pytest.approx(mean), pytest.approx(median)))
+    assert len(out) == len(frame.groupby(["entity", "month", "variable"], dropna=False)) + len(frame.groupby(["month", "variable"]))
+
+
+def test_moments_of_counted_values(spark):
+    """Moments of whole and of narrowed groups, with a mean that is large for the deviation."""
+    from panelstress.operators.quantiles import counted_quantiles, counted_values
+
+    rng = np.random.default_rng(9)
+    frame = pd.DataFrame({"k": np.repeat(["large", "small"], [300, 5]), "v": np.round(1e7 + rng.normal(0, 0.5, 305), 1)})
+    frame.loc[0:40, "v"] = frame["v"].iloc[41]
+    values = counted_values(spark.createDataFrame(frame), ["k"], "v")
+    for limit in (8, 1000):
+        out = {r["k"]: r for r in counted_quantiles(values, ["k"], {"q": 0.25}, limit=limit, moments=True).collect()}
+        for k, g in frame.groupby("k"):
+            assert (out[k]["n"], out[k]["mean"], out[k]["q"]) == (len(g), pytest.approx(g["v"].mean(), rel=1e-12), pytest.approx(g["v"].quantile(0.25)))
+            assert out[k]["std"] == pytest.approx(g["v"].std(ddof=0), rel=1e-6)
