@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,24 +141,31 @@ def solve_ridge(moments: Moments, alpha: float) -> RidgeModel:
 
 
 def linear_predict(x: Column, model: RidgeModel) -> Column:
-    """Model applied as a column expression: one array of forecasts per row."""
-    outs = []
-    for h in range(model.coefficients.shape[1]):
-        weights = F.lit([float(v) for v in model.coefficients[:, h]])
-        products = F.zip_with(x, weights, lambda a, b: a.cast("double") * b)
-        outs.append(F.aggregate(products, F.lit(float(model.intercept[h])), lambda s, v: s + v))
-    return F.array(*outs)
+    """One array of forecasts per row, by one matrix product per Arrow batch; null where an input is missing."""
+    weights, intercept = model.coefficients, model.intercept
+    inputs, targets = weights.shape
+
+    def predict(rows: pa.Array) -> pa.Array:
+        full = pc.fill_null(pc.equal(pc.list_value_length(rows), inputs), False)
+        values = rows.filter(full).flatten()
+        good = full.to_numpy(zero_copy_only=False).copy()
+        known = values.is_valid().to_numpy(zero_copy_only=False).reshape(-1, inputs).all(axis=1)
+        z = values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, inputs)[known] @ weights + intercept
+        good[good] = known
+        ends = np.concatenate([[0], np.cumsum(good * targets)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(z.ravel()), mask=pa.array(~good))
+
+    return F.arrow_udf(predict, "array<double>")(x)
 
 
 def select_alpha(val: DataFrame, x: Column, y: Column, models: list[RidgeModel]) -> tuple[float, dict[float, float]]:
     """Smallest validation MAE over all horizons; the first alpha wins ties. One pass for all alphas."""
     targets = models[0].coefficients.shape[1]
-    scored = val.select(x.alias("x"), y.alias("y")).select(
-        "y", *[linear_predict(F.col("x"), m).alias(f"p{i}") for i, m in enumerate(models)]
-    )
+    every = RidgeModel(0.0, np.hstack([m.coefficients for m in models]), np.concatenate([m.intercept for m in models]))
+    scored = val.select(y.alias("y"), linear_predict(x, every).alias("p"))
     errors = []
     for i in range(len(models)):
-        gaps = [F.abs(F.col(f"p{i}")[h] - F.col("y")[h].cast("double")) for h in range(targets)]
+        gaps = [F.abs(F.col("p")[i * targets + h] - F.col("y")[h].cast("double")) for h in range(targets)]
         errors.append(F.avg(sum(gaps[1:], gaps[0]) / float(targets)).alias(f"m{i}"))
     row = scored.agg(*errors).first()
     scores = {m.alpha: row[f"m{i}"] for i, m in enumerate(models)}

@@ -418,3 +418,15 @@ def test_value_check_compares_inside_the_row(sequences, panel, spec):
     hit = a.where("DATE '2004-03-01' BETWEEN input_start AND target_t3").count()
     row = out.first()
     assert (row["input_steps"], row["targets"], row["unmatched"]) == (n * spec.lookback, n * spec.horizon, hit)
+
+
+def test_linear_forecasts_are_one_product_per_batch(spark):
+    """Values equal numpy, missing inputs give null, and no lambda runs per input and target."""
+    model = forecast.RidgeModel(1.0, np.array([[1.0, -2.0], [0.5, 3.0]]), np.array([0.25, 1.0]))
+    rows = [(0, [1.5, 2.0]), (1, None), (2, [1.0, None]), (3, [1.0]), (4, [float("nan"), 1.0]), (5, [-4.0, 0.5])]
+    out = spark.createDataFrame(rows, "id int, x array<float>").withColumn("p", forecast.linear_predict(F.col("x"), model))
+    found = {r["id"]: r["p"] for r in out.collect()}
+    assert found[0] == [2.75, 4.0] and found[5] == [-3.5, 10.5]
+    assert found[1] is None and found[2] is None and found[3] is None and np.isnan(found[4]).all()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
