@@ -93,3 +93,22 @@ def test_quantiles_keep_infinities_nan_and_null_keys(spark, limit):
     assert out["up"]["q"] == inf and out["down"]["q"] == 1.5 and out["one"]["q"] == 2.5
     assert out["nan"]["q"] != out["nan"]["q"] and out[None]["q"] == 4.0 and out[None]["low"] == 3.0
     assert out["down"]["low"] == -inf
+
+
+def test_parts_are_bounded_by_bytes_and_smaller_ones_stay(spark):
+    """No part of a scan or shuffle grows with the input; sizes below the bound are the caller's."""
+    from panelstress.session import configure
+
+    scan, part = "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    count = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = {k: spark.conf.get(k, None) for k in (scan, part, count)}
+    try:
+        spark.conf.set(scan, "128MB")
+        spark.conf.set(part, "8m")
+        configure(spark)
+        assert (spark.conf.get(scan), spark.conf.get(part)) == (f"{16 << 20}b", "8m")
+        assert int(spark.conf.get(count)) >= 400
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        configure(spark)
