@@ -40,7 +40,8 @@ def seasonal_persistence(
 
     All targets of a sequence lie in consecutive months of one entity, so the panel is packed into
     one map per entity (bounded by the calendar) and joined once. A missing month falls back to the
-    matching lookback step, or to the index at the origin with ``fallback='origin'``.
+    matching lookback step, or to the index at the origin with ``fallback='origin'``. Fallbacks are taken
+    before the join, so that no lookback travels through it unless the caller keeps it.
     """
     e = spec.entity
     if panel is None:
@@ -49,12 +50,13 @@ def seasonal_persistence(
     series = panel.groupBy(e).agg(
         F.map_from_entries(F.collect_list(F.struct(spec.date, INDEX))).alias("_series")
     )
-    preds = []
+    others, preds = {}, []
     for h in range(1, spec.horizon + 1):
-        other = F.col("wsi_at_origin") if fallback == "origin" else _step_mean(F.col("x"), h)
+        others[f"_other{h}"] = F.col("wsi_at_origin") if fallback == "origin" else _step_mean(F.col("x"), h)
         stored = F.try_element_at("_series", F.add_months(f"target_t{h}", -period))
-        preds.append(F.coalesce(stored, other).cast("float"))
-    return sequences.join(series, e, "left").withColumn("pred", F.array(*preds)).drop("_series")
+        preds.append(F.coalesce(stored, f"_other{h}").cast("float"))
+    rows = sequences.withColumns(others).join(series, e, "left")
+    return rows.withColumn("pred", F.array(*preds)).drop("_series", *others)
 
 
 # ---- ridge -----------------------------------------------------------------------------------

@@ -20,7 +20,10 @@ def _series(spec: PanelSpec, *extra: str) -> Window:
 
 
 def slide(panel: DataFrame, spec: PanelSpec, *partition: str) -> DataFrame:
-    """Every row with a full lookback and horizon: inputs, index history, targets and their dates."""
+    """Every row with a full lookback and horizon: inputs, index history, targets and their dates.
+
+    Whether a lookback is full follows from the row number, so that counting windows collects no values.
+    """
     w = _series(spec, *partition)
     back = w.rowsBetween(-(spec.lookback - 1), 0)
     step = F.array(*[F.col(c).cast("float") for c in spec.components])
@@ -37,8 +40,10 @@ def slide(panel: DataFrame, spec: PanelSpec, *partition: str) -> DataFrame:
             F.collect_list(INDEX).over(back).alias("wsi_history"),
             F.array(*[F.lead(INDEX, h).over(w).cast("float") for h in leads]).alias("y"),
             F.col(INDEX).alias("wsi_at_origin"),
+            F.row_number().over(w).alias("_months"),
         )
-        .where((F.size("x") == spec.lookback) & F.col(f"target_t{spec.horizon}").isNotNull())
+        .where((F.col("_months") >= spec.lookback) & F.col(f"target_t{spec.horizon}").isNotNull())
+        .drop("_months")
     )
 
 
