@@ -14,6 +14,10 @@ For squared error the gradient is the error and the second derivative is one. Wi
 T(G) by the L1 penalty and L2 penalty l2, a cut gains T(Gl)^2/(Nl+l2) + T(Gr)^2/(Nr+l2) - T(G)^2/(N+l2), and a leaf is worth -step * T(G)/(N+l2).
 Gradients are multiples of 2^-20, so that their sums do not depend on the order of adding, and equal data give equal trees under any
 partitioning. Rows and columns are drawn per tree by a hash of the row's key, or of the column, with the round.
+
+A group whose bins take no more than ``ALONE_BYTES`` is sent to single tasks instead, which grow its models from the first round to the last
+(:func:`grow_alone`): a level then costs no job, and no row is read twice. As sums are whole numbers, a cut side's sums are the node's less the
+other side's, and the trees are those of the passes over all tasks.
 """
 
 from __future__ import annotations
@@ -37,6 +41,11 @@ BINS = 64
 KEEP = 25
 #: Rows of a part of the written rows, when there are more than every core needs.
 PART_ROWS = 500_000
+#: Bins of a group, in bytes, up to which single tasks grow its models.
+ALONE_BYTES = 256 << 20
+#: Rows that such a task adds up at a time, and rows from which on two features share a sum.
+_SLICE = 1 << 15
+_PAIRED = 1 << 16
 _UNIT = 2.0**20
 # Smallest gain of a cut, fewest rows of a side.
 MIN_GAIN = 1e-6
@@ -193,11 +202,13 @@ def fit_edges(rows: DataFrame, bins: int = BINS) -> dict[int, np.ndarray]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            group, x = batch.column("group").to_numpy().astype(np.int64), _matrix(batch.column("x"))
-            keys = (((group[:, None] << 16) + np.arange(x.shape[1])) << 16) + (_cells(x).astype(np.int64) + (1 << 15))
-            keys, n = np.unique(keys, return_counts=True)
-            seen.append((keys, n))
-            held += len(keys)
+            group, x = batch.column("group").to_numpy(), _matrix(batch.column("x"))
+            for g in np.unique(group):
+                cells = np.sort(_cells(x[group == g]).astype(np.int16).T, axis=1, kind="stable")  # by digits, as they have 16 bits
+                at = np.flatnonzero(np.diff(cells, axis=1, prepend=cells[:, :1] ^ 1))
+                keys = (((int(g) << 16) + at // cells.shape[1]) << 16) + (cells.ravel()[at].astype(np.int64) + (1 << 15))
+                seen.append((keys, np.diff(at, append=cells.size)))
+                held += len(keys)
             if held > limit:
                 seen = [compact(*map(np.concatenate, zip(*seen)))]
                 held = len(seen[0][0])
@@ -466,11 +477,209 @@ def _with_margins(plan: _Plan):
     return update
 
 
+# ---- growing in one task -----------------------------------------------------------------------
+
+
+class Columns:
+    """Bins of a task's rows, column by column; with many rows a column holds two features, so that one sum serves both."""
+
+    def __init__(self, features: int, bins: int, rows: int):
+        self.features, self.bins, self.rows = features, bins, rows
+        self.per = 2 if rows >= _PAIRED and bins <= 256 else 1
+        self.data = np.zeros((-(-features // self.per), rows), np.uint16 if self.per == 2 else np.uint8)
+
+    def put(self, feature: int, bins: np.ndarray, at: slice = slice(None)) -> None:
+        column = self.data[feature // self.per, at]
+        if self.per == 1:
+            column[:] = bins
+        else:
+            column += bins if feature % 2 else bins * np.uint16(self.bins)
+
+    def above(self, rows: np.ndarray | None, feature: int, cut: int) -> np.ndarray:
+        """Which of the rows (None for all) have a bin above the cut."""
+        column = self.data[feature // self.per]
+        v = column if rows is None else column.take(rows)
+        if self.per == 1:
+            return v > cut
+        return v % np.uint16(self.bins) > cut if feature % 2 else v // np.uint16(self.bins) > cut
+
+    def sums(self, rows: np.ndarray | None, gradient: np.ndarray, use: np.ndarray | None) -> np.ndarray:
+        """Gradients (in units) and counts per (feature, bin) of the rows (None for all) in ``use`` (None for all)."""
+        out = np.zeros((2, self.features, self.bins))
+        if rows is not None and use is not None:
+            rows = rows[use[rows]]
+        index = np.empty(_SLICE, np.intp)
+        for start in range(0, self.rows if rows is None else len(rows), _SLICE):
+            at = slice(start, start + _SLICE) if rows is None else rows[start : start + _SLICE].astype(np.intp)
+            g, n = gradient[at], 1.0
+            if rows is None and use is not None:
+                g, n = np.where(use[at], g, 0.0), use[at].astype(float)
+            unit = 2.0 ** np.ceil(np.log2(2.0 * np.abs(g).sum() + 2.0))
+            if unit * (len(g) + 1) < 2.0**53:  # see _node_sums
+                both = self._added(at, g + unit * n, index)
+                n = np.rint(both / unit)
+                out[0] += both - unit * n
+                out[1] += n
+            else:
+                out[0] += self._added(at, g, index)
+                out[1] += self._added(at, np.zeros(len(g)) + n, index)
+        return out
+
+    def _added(self, at, weights: np.ndarray, index: np.ndarray) -> np.ndarray:
+        index, size = index[: len(weights)], self.bins**self.per
+        found = np.empty((len(self.data), size))
+        for column, sums in zip(self.data, found):
+            index[:] = column[at] if isinstance(at, slice) else column.take(at)
+            sums[:] = np.bincount(index, weights, size)
+        if self.per == 2:
+            found = found.reshape(-1, self.bins, self.bins)
+            found = np.stack([found.sum(axis=2), found.sum(axis=1)], axis=1).reshape(-1, self.bins)
+        return found[: self.features]
+
+    def add_values(self, tree: Tree, margins: np.ndarray) -> None:
+        """Add to each row's margin the value of the leaf that it reaches."""
+        held: dict[int, np.ndarray | None] = {1: None}
+        while held:
+            node, rows = held.popitem()
+            if tree.feature[node] < 0:
+                margins[slice(None) if rows is None else rows] += tree.value[node]
+            else:
+                held[2 * node], held[2 * node + 1] = _sides(self.above(rows, tree.feature[node], tree.cut[node]), rows)
+
+
+def _sides(go: np.ndarray, rows: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    if rows is None:
+        return np.flatnonzero(~go).astype(np.int32), np.flatnonzero(go).astype(np.int32)
+    return rows[~go], rows[go]
+
+
+def _one_tree(columns: Columns, gradient: np.ndarray, use: np.ndarray | None, setting: TreeSetting, mask: np.ndarray, margins: np.ndarray) -> Tree:
+    """Grow the tree of a round on a task's own rows and add it to their margins; only the smaller side of a cut is added up."""
+    tree = Tree.empty(setting.max_depth)
+    rows: dict[int, np.ndarray | None] = {1: None}
+    held = {1: columns.sums(None, gradient, use)}
+    whole = np.abs(gradient).sum() < 2.0**53  # all sums are exact
+    for depth in range(setting.max_depth):
+        below: dict[int, np.ndarray] = {}
+        for node, sums in held.items():
+            if not sums[1, 0].any():
+                continue
+            numbers = best_cut(sums[0] / _UNIT, sums[1], setting, mask)
+            if not _grow_node(tree, node, numbers, setting):
+                continue
+            left, right = 2 * node, 2 * node + 1
+            at = rows.pop(node)
+            rows[left], rows[right] = _sides(columns.above(at, tree.feature[node], tree.cut[node]), at)
+            if depth + 1 < setting.max_depth:
+                small, large = (left, right) if 2 * numbers[3] <= numbers[5] else (right, left)
+                below[small] = columns.sums(rows[small], gradient, use)
+                below[large] = sums - below[small] if whole else columns.sums(rows[large], gradient, use)
+        held = below
+    for node, at in rows.items():
+        margins[slice(None) if at is None else at] += tree.value[node]
+    return tree
+
+
+def grow_alone(
+    booster: Booster, edges: np.ndarray, columns: Columns, y: np.ndarray, ids: np.ndarray | None, base: float, rounds: int, patience: int | None,
+    seed: int, val: Columns | None = None, y_val: np.ndarray | None = None,
+) -> BoostedModel:
+    """One model on a task's own training rows, judged on its validation rows. ``ids`` may be left out when all rows take part."""
+    state = _Growing(BoostedModel(booster, base, edges), 0, seed, rounds, patience)
+    model, setting = state.model, booster.setting
+    margins = np.full(columns.rows, base)
+    judged = None if val is None or not val.rows else np.full(val.rows, base)
+    while not state.done and len(model.trees) < rounds:
+        turn = len(model.trees)
+        gradient = margins - y
+        gradient *= _UNIT
+        np.rint(gradient, out=gradient)
+        use = None if setting.rows >= 1.0 else drawn_rows(ids, setting.rows, seed, turn)
+        tree = _one_tree(columns, gradient, use, setting, drawn_columns(columns.features, setting.columns, seed, turn), margins)
+        model.trees.append(tree)
+        if patience is None and len(model.trees) >= rounds:  # nothing to judge: the last tree ends it
+            break
+        stats = None
+        if judged is not None:
+            val.add_values(tree, judged)
+            e = judged - y_val
+            stats = np.array([np.sum(e * e), np.sum(np.abs(e)), len(e)])
+        state.judge(stats)
+    return state.kept()
+
+
+#: A task's work: its group and the numbers of the models that it grows.
+_Work = tuple[int, list[int]]
+
+
+def deal_models(boosters: list[Booster], sizes: dict[int, int], cores: int) -> list[_Work]:
+    """Tasks that grow the models of the groups in ``sizes`` (rows): a group's models are parted when there are fewer groups than twice the cores."""
+    members: dict[int, list[int]] = {}
+    for number, b in enumerate(boosters):
+        if b.group in sizes:
+            members.setdefault(b.group, []).append(number)
+    out: list[tuple[int, int, list[int]]] = []
+    for group, numbers in members.items():
+        tasks = min(len(numbers), -(-2 * cores // len(members)))
+        deepest = sorted(numbers, key=lambda n: -boosters[n].setting.max_depth)
+        for k in range(tasks):
+            mine = sorted(deepest[k::tasks])
+            out.append((sizes[group] * sum(boosters[n].setting.max_depth for n in mine), group, mine))
+    return [(group, mine) for _, group, mine in sorted(out, key=lambda w: (-w[0], w[1:]))]
+
+
+def grow_in_tasks(values: RDD, work: list[_Work], grow) -> dict[int, BoostedModel]:
+    """Send the values (group, value) of a group to each of its tasks; ``grow`` makes the models, by number, of a task's work and values."""
+    tasks: dict[int, list[int]] = {}
+    for k, (group, _) in enumerate(work):
+        tasks.setdefault(group, []).append(k)
+
+    def run(task: int, sent: Iterator) -> Iterator[tuple[int, BoostedModel]]:
+        return iter(grow(work[task], (value for _, value in sent)))
+
+    sent = values.flatMap(lambda v: [(k, v[1]) for k in tasks.get(v[0], ())]).partitionBy(len(work), int)
+    return dict(sent.mapPartitionsWithIndex(run).collect())
+
+
+def _grow_blocks(
+    boosters: list[Booster], limits: list[int], patience: int | None, seed: int, bins: int, edges: dict[int, np.ndarray], bases: dict[int, list[float]],
+    sizes: dict[int, tuple[int, int]],
+):
+    """Task-side growing from blocks; ``sizes`` are the training and the validation rows of a group."""
+
+    def grow(work: _Work, blocks: Iterator[_Block]) -> Iterator[tuple[int, BoostedModel]]:
+        group, numbers = work
+        targets, features = 1 + max(boosters[n].target for n in numbers), len(edges[group])
+        columns, ids = [Columns(features, bins, n) for n in sizes[group]], np.zeros(sizes[group][0], np.int64)
+        ys, at = [np.zeros((targets, n)) for n in sizes[group]], [0, 0]
+        for val, some, raw, y, _ in blocks:
+            for k, mine in enumerate((~val, val)):
+                place = slice(at[k], at[k] + int(mine.sum()))
+                at[k] = place.stop
+                for f in range(features):
+                    columns[k].put(f, raw[mine, f], place)
+                ys[k][:, place] = y[mine, :targets].T
+                if k == 0:
+                    ids[place] = some[mine]
+        if tuple(at) != sizes[group]:
+            raise ValueError(f"group {group} has {at} rows where {sizes[group]} were counted")
+        for number in numbers:
+            b = boosters[number]
+            yield number, grow_alone(
+                b, edges[group], columns[0], ys[0][b.target], ids, bases[group][b.target], limits[number], patience, seed, columns[1], ys[1][b.target]
+            )
+
+    return grow
+
+
+# ---- growing in passes over all tasks ----------------------------------------------------------
+
+
 _STATE = "group int, is_val boolean, id bigint, bins binary, y array<double>, m array<double>"
 
 
-def _state_rows(rows: DataFrame, edges: dict[int, np.ndarray], bases: dict[int, list[float]], parts: int) -> DataFrame:
-    """Binned rows with their first margins, dealt by group and id to so many parts, written once."""
+def _binned_rows(rows: DataFrame, edges: dict[int, np.ndarray], bases: dict[int, list[float]]) -> DataFrame:
+    """Binned rows of the groups in ``bases`` with their first margins."""
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -484,8 +693,12 @@ def _state_rows(rows: DataFrame, edges: dict[int, np.ndarray], bases: dict[int,
             columns = [batch.column("group"), batch.column("is_val"), batch.column("id"), pa.array(raw, pa.binary()), batch.column("y"), margins]
             yield pa.RecordBatch.from_arrays(columns, names=["group", "is_val", "id", "bins", "y", "m"])
 
-    known = rows.where(F.col("group").isin(list(edges)))
-    return materialize(known.mapInArrow(prepare, _STATE).repartitionByRange(parts, "group", "id"), "boost-rows")
+    return rows.where(F.col("group").isin(list(bases))).mapInArrow(prepare, _STATE)
+
+
+def _state_rows(rows: DataFrame, edges: dict[int, np.ndarray], bases: dict[int, list[float]], parts: int) -> DataFrame:
+    """Binned rows dealt by group and id to so many parts, written once."""
+    return materialize(_binned_rows(rows, edges, bases).repartitionByRange(parts, "group", "id"), "boost-rows")
 
 
 def fit_boosters(
@@ -501,24 +714,42 @@ def fit_boosters(
     train = rows.where(~F.col("is_val"))
     edges = fit_edges(train, bins)
     targets = 1 + max(b.target for b in boosters)
-    found = train.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("y")[t]).alias(f"t{t}") for t in range(targets)]).collect()
-    means = {r["group"]: [round(float(v), 6) if base is None else base for v in r[2:]] for r in found}
+    mine = ~F.col("is_val")
+    counted = rows.groupBy("group").agg(
+        F.count_if(mine).alias("train"), F.count_if(~mine).alias("val"), *[F.avg(F.when(mine, F.col("y")[t])).alias(f"t{t}") for t in range(targets)]
+    )
+    found = [r for r in counted.collect() if r["group"] in edges]
+    means = {r["group"]: [round(float(v), 6) if base is None else base for v in r[3:]] for r in found}
+    sizes = {r["group"]: (r["train"], r["val"]) for r in found}
     limits = rounds if isinstance(rounds, list) else [rounds] * len(boosters)
-    growing: list[_Growing | None] = []
+    features = len(next(iter(edges.values()), []))
+    alone = {g: n for g, n in sizes.items() if sum(n) * features <= ALONE_BYTES}
+    done: dict[int, BoostedModel] = {}
+    if work := deal_models(boosters, {g: sum(n) for g, n in alone.items()}, rows.sparkSession.sparkContext.defaultParallelism):
+        blocks = _blocks(_binned_rows(rows, edges, {g: [] for g in alone}), features).unpersist()  # read once
+        done = grow_in_tasks(blocks, work, _grow_blocks(boosters, limits, patience, seed, bins, edges, means, sizes))
+    large = [n for n, b in enumerate(boosters) if b.group in edges and n not in done]
+    if large:
+        grown = _fit_in_passes(rows, [boosters[n] for n in large], [limits[n] for n in large], patience, seed, bins, edges, means, sizes)
+        done |= dict(zip(large, grown))
+    return [done.get(n) for n in range(len(boosters))]
+
+
+def _fit_in_passes(
+    rows: DataFrame, boosters: list[Booster], limits: list[int], patience: int | None, seed: int, bins: int, edges: dict[int, np.ndarray],
+    means: dict[int, list[float]], sizes: dict[int, tuple[int, int]],
+) -> list[BoostedModel]:
+    """Grow models on groups of any size."""
+    growing: list[_Growing] = []
     by_group: dict[int, list[_Growing]] = {}
     for booster, limit in zip(boosters, limits, strict=True):
-        if booster.group not in edges:
-            growing.append(None)
-            continue
         members = by_group.setdefault(booster.group, [])
         model = BoostedModel(booster, means[booster.group][booster.target], edges[booster.group])
         growing.append(_Growing(model, len(members), seed, limit, patience))
         members.append(growing[-1])
-    if not by_group:
-        return [None] * len(boosters)
     features = len(next(iter(edges.values())))
     # A number of parts that is given is kept: few rows go to all cores, too.
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, sum(r["n"] for r in found) // PART_ROWS)
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, sum(sizes[g][0] for g in by_group) // PART_ROWS)
     blocks = _blocks(_state_rows(rows, edges, {g: [s.model.base for s in m] for g, m in by_group.items()}, parts), features)
     kept = [blocks]
     try:
@@ -526,14 +757,14 @@ def fit_boosters(
     finally:
         for blocks in kept:
             blocks.unpersist()
-    return [None if s is None else s.kept() for s in growing]
+    return [s.kept() for s in growing]
 
 
-def _grow(kept: list[RDD], growing: list[_Growing | None], features: int, bins: int, patience: int | None) -> None:
+def _grow(kept: list[RDD], growing: list[_Growing], features: int, bins: int, patience: int | None) -> None:
     """Grow all models to their end; ``kept`` holds the blocks that the executors keep."""
     turn = 0
     while True:
-        active = [(n, s) for n, s in enumerate(growing) if s is not None and not s.done]
+        active = [(n, s) for n, s in enumerate(growing) if not s.done]
         if not active:
             break
         for _, s in active:
@@ -558,8 +789,8 @@ def _grow(kept: list[RDD], growing: list[_Growing | None], features: int, bins:
             for _, s in active:
                 s.done = s.done or len(s.model.trees) >= s.rounds
         turn += 1
-        if turn % KEEP == 0 and not all(s is None or s.done for s in growing):
-            alive = [(n, s) for n, s in enumerate(growing) if s is not None and not s.done]
+        if turn % KEEP == 0 and not all(s.done for s in growing):
+            alive = [(n, s) for n, s in enumerate(growing) if not s.done]
             kept.append(kept[-1].map(_with_margins(_plan(alive))).persist(StorageLevel.MEMORY_AND_DISK))
             for _, s in alive:
                 s.written = len(s.model.trees)

@@ -167,3 +167,52 @@ def test_sums_of_large_gradients_are_exact():
         for k, f, b in np.ndindex(2, 3, 8):
             at = use & (place == k) & (raw[:, f] == b)
             assert (got[0, k, f, b], got[1, k, f, b]) == (gradient[at].sum(), at.sum())
+
+
+def test_models_of_one_task_are_those_of_the_passes(spark, monkeypatch):
+    """Every level of every round was a job, however small the table; models of a small group are now grown by one job."""
+    df, _ = rows_of(spark, 2)
+    boosters = [bo.Booster(g, t, s) for g in (0, 1) for t in (0, 1) for s in SETTINGS]
+    tracker, fits, jobs = spark.sparkContext.statusTracker(), {}, {}
+    for name, rounds, most in (("alone", 6, bo.ALONE_BYTES), ("short", 2, bo.ALONE_BYTES), ("passes", 6, 0), ("mixed", 6, 220 * 5)):
+        monkeypatch.setattr(bo, "ALONE_BYTES", most)
+        rows = df.where("group = 0 OR id % 7 > 0") if name == "mixed" else df  # group 1 is the smaller one there
+        spark.sparkContext.setJobGroup(name, name)
+        fits[name] = bo.fit_boosters(rows, boosters, rounds, patience=3, seed=5)
+        jobs[name] = len(tracker.getJobIdsForGroup(name))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs["alone"] == jobs["short"] < jobs["passes"]
+    for a, b in [*zip(fits["alone"], fits["passes"], strict=True), *zip(fits["alone"][:4], fits["mixed"][:4], strict=True)]:
+        assert a.booster == b.booster and a.base == b.base and len(a.trees) == len(b.trees) and a.errors == pytest.approx(b.errors, rel=1e-12)
+        assert all(np.array_equal(getattr(x, k), getattr(y, k)) for x, y in zip(a.trees, b.trees) for k in ("feature", "cut", "value"))
+    assert all(m is not None for m in fits["mixed"])
+
+
+def test_two_features_share_a_sum(monkeypatch):
+    """Columns of one or two features, in slices or as a whole, with whole sums or with sums that do not fit, give the same trees."""
+    rng = np.random.default_rng(4)
+    raw, ids = rng.integers(0, 64, (5, 700)).astype(np.uint8), np.arange(700)
+    for scale in (1.0, 2.0**32):
+        y, models = np.rint(rng.normal(size=700) * 1e3) * scale / 1e3 + raw[1] * scale, []
+        for paired, part in ((1, 64), (10**6, 10**6)):
+            monkeypatch.setattr(bo, "_PAIRED", paired)
+            monkeypatch.setattr(bo, "_SLICE", part)
+            columns = bo.Columns(5, 64, 700)
+            for f in range(5):
+                columns.put(f, raw[f, :300], slice(0, 300))
+                columns.put(f, raw[f, 300:], slice(300, 700))
+            assert columns.per == (2 if paired == 1 else 1)
+            sums = columns.sums(None, np.rint(y), None)
+            assert all(sums[1, f, b] == (raw[f] == b).sum() for f in range(5) for b in range(64))
+            models.append(bo.grow_alone(bo.Booster(0, 0, SETTINGS[0]), np.zeros((5, 63)), columns, y, ids, 0.0, 4, None, 9))
+        assert all(np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) for a, b in zip(models[0].trees, models[1].trees, strict=True))
+        assert all(np.allclose(a.value, b.value, rtol=1e-12) for a, b in zip(models[0].trees, models[1].trees))
+
+
+def test_work_is_dealt_to_all_cores():
+    boosters = [bo.Booster(0, h, s) for h in range(3) for s in SETTINGS]
+    assert sorted(len(numbers) for _, numbers in bo.deal_models(boosters, {0: 10}, 6)) == [1] * 6
+    many = [bo.Booster(g, h, SETTINGS[0]) for g in range(28) for h in range(3)]
+    work = bo.deal_models(many, {g: g + 1 for g in range(28)}, 6)
+    assert [g for g, _ in work] == list(range(27, -1, -1)) and all(len(numbers) == 3 for _, numbers in work)
+    assert bo.deal_models(many, {}, 6) == []
