@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelstress.operators.boosting import Booster, TreeSetting, fit_boosters, predict_boosted
+from panelstress.operators import boosting
+from panelstress.operators.boosting import (
+    BINS, BoostedModel, Booster, Columns, TreeSetting, cell_bins, cell_numbers, deal_models, fit_boosters, grow_alone, grow_in_tasks, predict_boosted,
+)
 from panelstress.operators.forecast import Moments, error_columns, solve_ridge, tree_rows
-from panelstress.operators.sequences import causal_sequences, flat_inputs
+from panelstress.operators.sequences import causal_series, count_windows, cut_windows, flat_inputs, pack_windows, unpack_windows
 from panelstress.session import materialize
 from panelstress.spec import INDEX, PanelSpec
 
@@ -221,18 +224,62 @@ def rolling_backtest(
     return out.unionByName(backtest_trees(panel, origins, spec, rounds)) if "trees" in models else out
 
 
+def _grow_windows(boosters: list[Booster], rounds: int, seed: int, spec: PanelSpec):
+    """Task-side growing from packed windows; the bins' edges are those of :func:`fit_edges`, as the task holds all rows of its group."""
+    back, ahead, width = spec.lookback, spec.horizon, len(spec.components)
+
+    def grow(work: tuple[int, list[int]], packs: Iterator[bytes]) -> Iterator[tuple[int, BoostedModel]]:
+        cells, first, y, first_target = unpack_windows(packs, back, ahead)
+        columns, edges = Columns(back * width, BINS, len(first)), np.full((back * width, BINS - 1), np.inf)
+        for f in range(back * width):
+            step, component = divmod(f, width)
+            mine = cells[component].take(first + step)
+            edges[f], of_cell = cell_bins(np.bincount(mine, minlength=1 << 16), BINS)
+            columns.put(f, of_cell.take(mine))
+        for number in work[1]:
+            target = y.take(first_target + boosters[number].target)
+            base = round(float(np.nanmean(target, dtype=np.float64)), 6)
+            yield number, grow_alone(boosters[number], edges, columns, target, None, base, rounds, None, seed)
+
+    return grow
+
+
+def fit_origin_trees(series: DataFrame, origins: list[str], spec: PanelSpec, rounds: int, seed: int, parallelism: int) -> list[BoostedModel | None]:
+    """One model per origin and horizon on the windows whose targets the origin knows; the origin's number is the group.
+
+    The windows of an origin go to one task as long as their bins take no more than ``ALONE_BYTES``; those of larger ones are written as rows.
+    """
+    boosters = [Booster(g, h, BACKTEST_TREES) for g in range(len(origins)) for h in range(spec.horizon)]
+    width = spec.lookback * len(spec.components)
+    sizes = {origins.index(o): n for o, n in count_windows(series, origins, spec).items()}
+    alone = {g: n for g, n in sizes.items() if n * width <= boosting.ALONE_BYTES and BACKTEST_TREES.rows >= 1.0}
+    done: dict[int, BoostedModel] = {}
+    if work := deal_models(boosters, alone, parallelism):
+        packs = pack_windows(series, {origins[g]: g for g in alone}, cell_numbers, spec)
+        done = grow_in_tasks(packs.rdd, work, _grow_windows(boosters, rounds, seed, spec))
+    large = [n for n, b in enumerate(boosters) if b.group in sizes and n not in done]
+    if large:
+        some = [origins[g] for g in sizes if g not in alone]
+        wanted = F.filter("moments", lambda m: m.origin.isin([F.lit(o).cast("date") for o in some]))
+        dates = F.array(*[F.lit(o).cast("date") for o in origins])
+        group = (F.array_position(dates, F.col("origin")) - 1).cast("int")
+        windows = materialize(cut_windows(series.withColumn("moments", wanted), spec, "train").withColumn("group", group), "backtest-windows")
+        rows = tree_rows(windows, spec, F.lit(False), F.col("group"))
+        done |= dict(zip(large, fit_boosters(rows, [boosters[n] for n in large], rounds, seed=seed)))
+    return [done.get(n) for n in range(len(boosters))]
+
+
 def backtest_trees(panel: DataFrame, origins: list[str], spec: PanelSpec, rounds: int = BACKTEST_ROUNDS, seed: int = 42) -> DataFrame:
     """Boosted trees at every origin, on the windows whose targets it knows.
 
-    The models of all origins and horizons grow together: the origin is the booster's group, so the number of passes is rounds
-    times depth however many origins there are. Origins without training windows have no forecasts.
+    An entity's months and moments are written once; training windows are cut where models grow, current ones where they are forecast.
+    Origins without training windows have no forecasts.
     """
+    series = materialize(causal_series(panel, origins, spec), "backtest-series")
+    models = fit_origin_trees(series, origins, spec, rounds, seed, panel.sparkSession.sparkContext.defaultParallelism)
     dates = F.array(*[F.lit(o).cast("date") for o in origins])
-    windows = materialize(causal_sequences(panel, origins, spec).withColumn("group", (F.array_position(dates, F.col("origin")) - 1).cast("int")), "backtest-windows")
-    rows = tree_rows(windows.where("role = 'train'"), spec, F.lit(False), F.col("group"))
-    boosters = [Booster(g, h, BACKTEST_TREES) for g in range(len(origins)) for h in range(spec.horizon)]
-    models = fit_boosters(rows, boosters, rounds, seed=seed)
-    current = windows.where("role = 'current'").select("group", spec.entity, "forecast_origin", "x")
+    current = cut_windows(series, spec, "current").withColumn("group", (F.array_position(dates, F.col("origin")) - 1).cast("int"))
+    current = current.select("group", spec.entity, "forecast_origin", "x")
     pred = predict_boosted(current, models, flat_inputs(), F.col("group")).select(spec.entity, "forecast_origin", "pred")
     truth = current_windows(panel, origins, spec).select(spec.entity, "forecast_origin", "actual")
     return backtest_long(pred.join(truth, [spec.entity, "forecast_origin"]), {"Boosted_Trees": F.col("pred")}, spec)

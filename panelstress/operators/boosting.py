@@ -151,7 +151,9 @@ def drawn_columns(features: int, share: float, seed: int, turn: int) -> np.ndarr
 
 def _cells(x: np.ndarray) -> np.ndarray:
     """Upper half of a monotone code of single-precision values: 128 cells per doubling."""
-    bits = x.astype(np.float32).view(np.int32)
+    x = x.astype(np.float32)
+    x[np.isnan(x)] = np.nan  # of either sign
+    bits = x.view(np.int32)
     return (bits ^ ((bits >> 31) & 0x7FFFFFFF)) >> 16
 
 
@@ -172,6 +174,24 @@ def quantile_edges(cells: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarr
     return tops[chosen[chosen < len(tops) - 1]]
 
 
+def cell_numbers(x: np.ndarray) -> np.ndarray:
+    """The cell of each value, counted from the smallest on."""
+    out = np.empty(x.shape, np.uint16)
+    for row, cells in zip(x, out):  # a row at a time, as the codes take more room than the values
+        cells[:] = _cells(row) + (1 << 15)
+    return out
+
+
+def cell_bins(counts: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the rows of every cell the edges, filled up with infinity, and each cell's bin: the number of edges below it."""
+    cells = np.flatnonzero(counts)
+    found = quantile_edges(cells - (1 << 15), counts[cells], bins)
+    edges = np.full(bins - 1, np.inf)
+    edges[: len(found)] = found
+    steps = np.bincount(_cells(edges) + (1 << 15) + 1, minlength=1 << 16)
+    return edges, np.cumsum(steps)[: 1 << 16].astype(np.uint8)
+
+
 def binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Number of edges below each value, as a byte; a missing value stands above all."""
     return np.stack([np.searchsorted(e, v, "left") for e, v in zip(edges, x.astype(np.float32).astype(float).T)], axis=1).astype(np.uint8)
@@ -501,7 +521,7 @@ class Columns:
         v = column if rows is None else column.take(rows)
         if self.per == 1:
             return v > cut
-        return v % np.uint16(self.bins) > cut if feature % 2 else v // np.uint16(self.bins) > cut
+        return v % np.uint16(self.bins) > cut if feature % 2 else v >= (int(cut) + 1) * self.bins
 
     def sums(self, rows: np.ndarray | None, gradient: np.ndarray, use: np.ndarray | None) -> np.ndarray:
         """Gradients (in units) and counts per (feature, bin) of the rows (None for all) in ``use`` (None for all)."""
@@ -569,11 +589,14 @@ def _one_tree(columns: Columns, gradient: np.ndarray, use: np.ndarray | None, se
                 continue
             left, right = 2 * node, 2 * node + 1
             at = rows.pop(node)
-            rows[left], rows[right] = _sides(columns.above(at, tree.feature[node], tree.cut[node]), at)
-            if depth + 1 < setting.max_depth:
-                small, large = (left, right) if 2 * numbers[3] <= numbers[5] else (right, left)
-                below[small] = columns.sums(rows[small], gradient, use)
-                below[large] = sums - below[small] if whole else columns.sums(rows[large], gradient, use)
+            go = columns.above(at, tree.feature[node], tree.cut[node])
+            if depth + 1 == setting.max_depth:
+                margins[slice(None) if at is None else at] += np.where(go, tree.value[right], tree.value[left])
+                continue
+            rows[left], rows[right] = _sides(go, at)
+            small, large = (left, right) if 2 * numbers[3] <= numbers[5] else (right, left)
+            below[small] = columns.sums(rows[small], gradient, use)
+            below[large] = sums - below[small] if whole else columns.sums(rows[large], gradient, use)
         held = below
     for node, at in rows.items():
         margins[slice(None) if at is None else at] += tree.value[node]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -242,8 +243,9 @@ def expanding_z(panel: DataFrame, origins: list[str], spec: PanelSpec) -> DataFr
     )
 
 
-#: Rows of a batch that a task hands back.
+#: Rows of a batch that a task hands back, and entities whose packed windows share a value.
 _BATCH = 8_192
+_PACKED = 256
 
 
 def _lists(values: pa.Array, *sizes: int) -> pa.Array:
@@ -259,8 +261,8 @@ def _numbers(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, width), flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _cut_windows(batches: Iterator[pa.RecordBatch], back: int, ahead: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Per entity of a batch (entity, series, moments) the windows of all origins, standardised by what an origin knows."""
+def _cut_windows(batches: Iterator[pa.RecordBatch], back: int, ahead: int, width: int, role: str | None) -> Iterator[pa.RecordBatch]:
+    """Per entity of a batch (entity, series, moments) the windows of all origins, or those of one role, standardised by what an origin knows."""
 
     def gather(entity: pa.Array, parts: list[tuple]) -> pa.RecordBatch:
         owner, origin, at, x, x_null, index, index_null, y, y_null, train = (np.concatenate(c) for c in zip(*parts))
@@ -292,7 +294,8 @@ def _cut_windows(batches: Iterator[pa.RecordBatch], back: int, ahead: int, width
             (mean, mean_null), (std, std_null) = _numbers(m.field("mean"), width), _numbers(m.field("std"), width)
             at = dates[back - 1 :]
             train = (at[:, None] <= known) & (at[:, None] != origins)
-            w, o = np.nonzero(train | (at[:, None] == origins))
+            current = at[:, None] == origins
+            w, o = np.nonzero({"train": train, "current": current}.get(role, train | current))
             step = w[:, None] + np.arange(back)
             with np.errstate(all="ignore"):
                 x = ((features[step] - mean[o][:, None]) / std[o][:, None]).astype(np.float32)
@@ -310,24 +313,95 @@ def _cut_windows(batches: Iterator[pa.RecordBatch], back: int, ahead: int, width
             yield gather(batch.column(0), parts)
 
 
-def causal_sequences(panel: DataFrame, origins: list[str], spec: PanelSpec) -> DataFrame:
-    """Training windows (targets known at the origin) and the current window, per backtest origin.
-
-    ``role`` is 'train' or 'current'; current windows carry no targets. An entity's months, bounded by the calendar, meet its
-    moments in one row; its windows are cut and standardised from that row by array arithmetic inside the task.
+def _packed_windows(
+    batches: Iterator[pa.RecordBatch], groups: dict[np.datetime64, int], code: Callable[[np.ndarray], np.ndarray], back: int, ahead: int, width: int
+) -> Iterator[pa.RecordBatch]:
+    """Per group (origin) and some entities one value that holds their training windows, see :func:`unpack_windows`."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, _PACKED):
+            found: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+            series, moments = (batch.slice(start, _PACKED).column(c) for c in ("s", "moments"))
+            for s, m in zip(series, moments):
+                s, m = s.values, m.values
+                dates = s.field("d").to_numpy(zero_copy_only=False).astype("datetime64[D]")
+                if len(dates) < back:
+                    continue
+                origins, known = (m.field(c).to_numpy(zero_copy_only=False).astype("datetime64[D]") for c in ("origin", "known"))
+                features, mean, std = (_numbers(c, width)[0] for c in (s.field("f"), m.field("mean"), m.field("std")))
+                with np.errstate(all="ignore"):
+                    x = code(((features[None] - mean[:, None]) / std[:, None]).astype(np.float32))
+                index = np.append(s.field("w").to_numpy(zero_copy_only=False).astype(np.float32), np.full(ahead, np.nan, np.float32))
+                later = np.append(dates, np.full(ahead, dates[-1]))
+                for i, n in enumerate(np.searchsorted(dates[back - 1 :], known, "right")):
+                    group = groups.get(origins[i])
+                    if n and group is not None:
+                        target = slice(back, back + n + ahead - 1)
+                        y = np.where(later[target] > origins[i], np.float32(np.nan), index[target])
+                        found.setdefault(group, []).append((n, x[i, : n + back - 1], y))
+            for group, parts in found.items():
+                n, x, y = zip(*parts)
+                value = pickle.dumps((np.array(n), np.concatenate(x), np.concatenate(y)))
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([value], pa.binary())], names=["group", "pack"])
+
+
+def pack_windows(series: DataFrame, groups: dict[str, int], code: Callable[[np.ndarray], np.ndarray], spec: PanelSpec) -> DataFrame:
+    """Values (group, pack) that hold the training windows of the origins in ``groups``, from :func:`causal_series`.
+
+    The windows of an entity at an origin overlap, so its standardised months are sent once instead of once per window. ``code`` gives the
+    form, of the same shape, in which they are sent.
     """
-    e, back, ahead, width = spec.entity, spec.lookback, spec.horizon, len(spec.components)
+    of_day = {np.datetime64(o, "D"): g for o, g in groups.items()}
+    back, ahead, width = spec.lookback, spec.horizon, len(spec.components)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed_windows(batches, of_day, code, back, ahead, width)
+
+    return series.mapInArrow(pack, "group int, pack binary")
+
+
+def unpack_windows(packs: Iterator[bytes], back: int, ahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Coded values by component and month of all entities, the first month of every window, targets, and the first target of every window."""
+    n, x, y = (np.concatenate(c) for c in zip(*map(pickle.loads, packs)))
+    number, entity = np.arange(n.sum()), np.repeat(np.arange(len(n)), n)
+    return np.ascontiguousarray(x.T), number + entity * (back - 1), y, number + entity * (ahead - 1)
+
+
+def count_windows(series: DataFrame, origins: list[str], spec: PanelSpec) -> dict[str, int]:
+    """Training windows per origin that has any."""
+    last = F.array(*[F.struct(F.lit(o).alias("origin"), F.add_months(F.lit(o).cast("date"), -spec.horizon).alias("known")) for o in origins])
+    at = F.explode(F.expr(f"slice(s.d, {spec.lookback}, size(s))")).alias("d")
+    known = F.explode(F.filter(last, lambda k: k.known >= F.col("d"))).alias("k")
+    dates = series.select(at).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    return {r["origin"]: r["n"] for r in dates.select("n", known).groupBy("k.origin").agg(F.sum("n").alias("n")).collect()}
+
+
+def causal_series(panel: DataFrame, origins: list[str], spec: PanelSpec) -> DataFrame:
+    """One row per entity: its months in order (date, features, index), bounded by the calendar, and its moments at every origin."""
+    e, ahead = spec.entity, spec.horizon
     month = F.struct(F.col(spec.date).alias("d"), F.array(*[F.col(c).cast("double") for c in spec.components]).alias("f"), F.col(INDEX).cast("double").alias("w"))
     series = panel.groupBy(e).agg(F.sort_array(F.collect_list(month)).alias("s"))
     moments = origin_moments(panel, origins, spec).select(
         e, F.transform("moments", lambda m: F.struct(m.origin.alias("origin"), F.add_months(m.origin, -ahead).alias("known"), m.mean.alias("mean"), m.std.alias("std"))).alias("moments")
     )
-    rows = series.join(moments, e).select(F.col(e).alias("entity"), "s", "moments")
-    entity = panel.schema[e].dataType.simpleString()
+    return series.join(moments, e).select(e, "s", "moments")
+
+
+def cut_windows(series: DataFrame, spec: PanelSpec, role: str | None = None) -> DataFrame:
+    """The windows of :func:`causal_series`, all or those of one role, cut and standardised by array arithmetic inside the task."""
+    e, back, ahead, width = spec.entity, spec.lookback, spec.horizon, len(spec.components)
+    entity = series.schema[e].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _cut_windows(batches, back, ahead, width)
+        return _cut_windows(batches, back, ahead, width, role)
 
-    return rows.mapInArrow(
+    return series.mapInArrow(
         cut, f"origin date, entity {entity}, forecast_origin date, x array<array<float>>, wsi_history array<float>, y array<float>, role string"
     ).withColumnRenamed("entity", e)
+
+
+def causal_sequences(panel: DataFrame, origins: list[str], spec: PanelSpec) -> DataFrame:
+    """Training windows (targets known at the origin) and the current window, per backtest origin.
+
+    ``role`` is 'train' or 'current'; current windows carry no targets. An entity's months meet its moments in one row.
+    """
+    return cut_windows(causal_series(panel, origins, spec), spec)

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelstress.operators import backtest, forecast, metrics, residual, significance
+from panelstress.operators import backtest, boosting, forecast, metrics, residual, significance
 from panelstress.operators import sequences as seq
 from panelstress.plans.baselines import run_baselines
 from panelstress.spec import COMPONENTS
@@ -224,6 +224,27 @@ def test_backtest_trees_of_all_origins(panel, panel_pdf, spec):
     assert both.select("model").distinct().count() == 5
 
 
+def test_backtest_trees_of_packed_windows(panel, spec, monkeypatch):
+    """All windows of all origins were written and every level was a job; months are now sent once per origin, and growing is one job."""
+    origins = ["2003-12-01", "2006-02-01", "2007-09-01", "2008-11-01"]
+    odd = panel.where("entity <> 'A' OR date <> '2006-01-01'").withColumn(COMPONENTS[1], F.when(F.col("date") != "2004-05-01", F.col(COMPONENTS[1])))
+    sc, found, jobs = panel.sparkSession.sparkContext, {}, {}
+    for name, rounds, most in (("packed", 4, boosting.ALONE_BYTES), ("short", 1, boosting.ALONE_BYTES), ("rows", 4, 0), ("mixed", 4, 120 * 72)):
+        for input_name, rows in (("whole", panel), ("odd", odd)):
+            monkeypatch.setattr(boosting, "ALONE_BYTES", most)
+            sc.setJobGroup(name + input_name, name)
+            out = backtest.backtest_trees(rows, origins, spec, rounds).orderBy("entity", "forecast_origin", "horizon").collect()
+            found[name, input_name], jobs[name, input_name] = out, len(sc.statusTracker().getJobIdsForGroup(name + input_name))
+    sc.setJobGroup("", "")
+    for input_name in ("whole", "odd"):
+        assert jobs["packed", input_name] == jobs["short", input_name] < jobs["rows", input_name]
+        assert str(found["packed", input_name]) == str(found["rows", input_name]) == str(found["mixed", input_name])
+    assert len(found["packed", "whole"]) == 3 * (3 + 3 + 1)
+    series = seq.causal_series(odd, origins, spec)
+    counts = seq.cut_windows(series, spec, "train").groupBy(F.col("origin").cast("string")).count().collect()
+    assert seq.count_windows(series, origins, spec) == {r[0]: r[1] for r in counts}
+
+
 # ---- metrics ---------------------------------------------------------------------------------
 
 def long(spark, rows):
