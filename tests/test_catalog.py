@@ -40,3 +40,21 @@ def test_query_equals_its_oracle(spark, name):
         return sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
 
     assert rows(got) == rows(expected)
+
+
+FIVE = {"Persistence", "Seasonal_Persistence", "WSI_Autoregression", "Ridge_Regression", "Boosted_Trees"}
+
+
+def of_five_models(spark, name):
+    """Rows of a query over five models; its trees took a job per level, hundreds of them, for ten entities."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    rows = entry.queries()[name](spark, SF).collect()
+    context.setJobGroup("", "")
+    assert {r["model"] for r in rows} == FIVE and len(context.statusTracker().getJobIdsForGroup(name)) < 120
+    return rows
+
+
+def test_suite_of_five_models(spark):
+    rows = of_five_models(spark, "g10_five_models")
+    assert len(rows) == 2 * 3 * 5 and len({(r["evaluation_type"], r["horizon"], r["n"]) for r in rows}) == 2 * 3  # the same rows for every model
