@@ -25,6 +25,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -657,11 +658,12 @@ def grow_in_tasks(values: RDD, work: list[_Work], grow) -> dict[int, BoostedMode
     for k, (group, _) in enumerate(work):
         tasks.setdefault(group, []).append(k)
 
-    def run(task: int, sent: Iterator) -> Iterator[tuple[int, BoostedModel]]:
-        return iter(grow(work[task], (value for _, value in sent)))
+    def run(sent: Iterator) -> Iterator[tuple[int, BoostedModel]]:
+        for task, value in sent:  # those of one task, or none when there are more parts than tasks
+            yield from grow(work[task], chain([value], (v for _, v in sent)))
 
     sent = values.flatMap(lambda v: [(k, v[1]) for k in tasks.get(v[0], ())]).partitionBy(len(work), int)
-    return dict(sent.mapPartitionsWithIndex(run).collect())
+    return dict(sent.mapPartitions(run).collect())
 
 
 def _grow_blocks(

@@ -216,3 +216,13 @@ def test_work_is_dealt_to_all_cores():
     work = bo.deal_models(many, {g: g + 1 for g in range(28)}, 6)
     assert [g for g, _ in work] == list(range(27, -1, -1)) and all(len(numbers) == 3 for _, numbers in work)
     assert bo.deal_models(many, {}, 6) == []
+
+
+def test_more_parts_than_tasks(spark, monkeypatch):
+    """A cluster may deal the values to more parts than there are tasks; the parts without values failed."""
+    df, _ = rows_of(spark, 2)
+    boosters = [bo.Booster(g, 0, SETTINGS[0]) for g in (0, 1)]
+    few = bo.fit_boosters(df, boosters, 2)
+    monkeypatch.setattr(bo.RDD, "partitionBy", lambda self, n, *a, f=bo.RDD.partitionBy, **b: f(self, max(n, 9), *a, **b))
+    for a, b in zip(few, bo.fit_boosters(df, boosters, 2), strict=True):
+        assert all(np.array_equal(x.value, y.value) for x, y in zip(a.trees, b.trees, strict=True))
