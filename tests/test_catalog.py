@@ -58,3 +58,8 @@ def of_five_models(spark, name):
 def test_suite_of_five_models(spark):
     rows = of_five_models(spark, "g10_five_models")
     assert len(rows) == 2 * 3 * 5 and len({(r["evaluation_type"], r["horizon"], r["n"]) for r in rows}) == 2 * 3  # the same rows for every model
+
+
+def test_backtest_summary_of_five_models(spark):
+    rows = of_five_models(spark, "h16_five_models")
+    assert len(rows) == 5
